@@ -10,14 +10,8 @@ from .measures import round_to
 # What vendors write for yes and no.
 YES_WORDS = ("y", "yes", "true", "t", "1")
 NO_WORDS = ("n", "no", "false", "f", "0")
-# Date-time layouts tried after ISO.
-DATETIME_LAYOUTS = (
-    "M/d/yyyy H:mm:ss",
-    "M/d/yyyy H:mm",
-    "M/d/yyyy h:mm:ss a",
-    "M/d/yyyy h:mm a",
-    "M/d/yyyy",
-)
+_MONTH_FIRST = r"^(\d{1,2})/(\d{1,2})/(\d{4})"
+_TWELVE_HOUR = "yyyy-M-d h:mm[:ss] a"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _FIRST_NUMBER = r"-?\d[\d,]*(?:\.\d+)?"
 _CLOCK = r"^(?:(\d+) days?,? +)?(\d+):(\d{1,2}):(\d{1,2}(?:\.\d+)?)$"
@@ -37,11 +31,11 @@ def number(x: Column) -> Column:
 
 
 def datetime(x: Column) -> Column:
-    """ISO first, then the month-first layouts."""
-    text = blank_to_null(x)
-    tried = [text.try_cast("timestamp_ntz")]
-    tried += [F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz") for layout in DATETIME_LAYOUTS]
-    return F.coalesce(*tried)
+    """Year first or month first, 24-hour or AM/PM clock, date alone allowed."""
+    text = F.regexp_replace(F.trim(x), _MONTH_FIRST, r"$3-$1-$2")
+    return F.coalesce(
+        text.try_cast("timestamp_ntz"), F.try_to_timestamp(text, F.lit(_TWELVE_HOUR)).cast("timestamp_ntz")
+    )
 
 
 def day(x: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,25 +27,43 @@ def _raw_utc(local: Column, tz: str) -> Column:
 
 def is_gap(local: Column, tz: str = LOCAL_TZ) -> Column:
     """True for wall times the spring change skips: converting there and back does not return."""
-    return utc_to_local(_raw_utc(local, tz), tz) != local
+    return _skipped(local, _raw_utc(local, tz), tz)
 
 
 def is_ambiguous(local: Column, tz: str = LOCAL_TZ) -> Column:
     """True for wall times the autumn change repeats: one hour later shows the same clock."""
-    return utc_to_local(_raw_utc(local, tz) + _hour(), tz) == local
+    return _repeated(local, _raw_utc(local, tz), tz)
 
 
-def local_to_utc(local: Column, tz: str = LOCAL_TZ, *, gap: str = "shift", fold: Column | None = None) -> Column:
-    """C4 and C6. ``gap='shift'`` moves a skipped time to the change, ``'null'`` drops it.
+def _skipped(local: Column, utc: Column, tz: str) -> Column:
+    return utc_to_local(utc, tz) != local
 
-    ``fold`` tells for a repeated time which pass it is: 0 first, 1 second, null unknown.
+
+def _repeated(local: Column, utc: Column, tz: str) -> Column:
+    return utc_to_local(utc + _hour(), tz) == local
+
+
+def local_to_utc(
+    df: DataFrame, columns: Sequence[str] | Mapping[str, str], tz: str = LOCAL_TZ, *, gap: str = "shift", fold: Column | None = None
+) -> DataFrame:
+    """Replace local wall clocks by UTC, or add them under new names (a mapping).
+
+    ``gap='shift'`` moves a skipped time to the change, ``'null'`` drops it. ``fold`` tells for a repeated
+    time which pass it is: 0 first, 1 second, null unknown. The conversion and its checks are two
+    projections, so the parsed clock is evaluated once.
     """
-    utc = _raw_utc(local, tz)
-    skipped = hour_floor(utc) if gap == "shift" else F.lit(None).cast("timestamp_ntz")
-    repeated = F.lit(None).cast("timestamp_ntz")
-    if fold is not None:
-        repeated = F.when(fold == 0, utc).when(fold == 1, utc + _hour())
-    return F.when(is_gap(local, tz), skipped).when(is_ambiguous(local, tz), repeated).otherwise(utc)
+    names = dict(columns) if isinstance(columns, Mapping) else {c: c for c in columns}
+    nothing = F.lit(None).cast("timestamp_ntz")
+    staged = df.withColumns({f"__utc_{out}": _raw_utc(F.col(c), tz) for c, out in names.items()})
+
+    def checked(local: Column, utc: Column) -> Column:
+        second = nothing if fold is None else F.when(fold == 0, utc).when(fold == 1, utc + _hour())
+        moved = hour_floor(utc) if gap == "shift" else nothing
+        return F.when(_skipped(local, utc, tz), moved).when(_repeated(local, utc, tz), second).otherwise(utc)
+
+    return staged.withColumns(
+        {out: checked(F.col(c), F.col(f"__utc_{out}")) for c, out in names.items()}
+    ).drop(*[f"__utc_{out}" for out in names.values()])
 
 
 def localize_in_row_order(
@@ -66,6 +84,5 @@ def localize_in_row_order(
         .withColumn("__step", stepped)
     )
     fold = F.when(F.max("__step").over(group) == 1, F.max("__step").over(scope))
-    return marked.withColumn("__fold", fold).withColumn(
-        out, local_to_utc(F.col(local), tz, gap="shift", fold=F.col("__fold"))
-    ).drop("__day", "__twice", "__step", "__fold")
+    resolved = local_to_utc(marked.withColumn("__fold", fold), {local: out}, tz, fold=F.col("__fold"))
+    return resolved.drop("__day", "__twice", "__step", "__fold")

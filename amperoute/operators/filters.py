@@ -106,12 +106,18 @@ def valid_sessions(df: DataFrame, start: str, end: str, minutes: str = "tot_ref_
     return df.where((F.col(end) > F.col(start)) & (F.col(minutes) > 0) & (F.col(energy) > 0))
 
 
-def data_rows(df: DataFrame, label: str | None = None, total: str = "grand total") -> DataFrame:
+# Columns a reader adds to each row; they do not make a row non-empty.
+PLACE_COLUMNS = ("path", "sheet", "row_no")
+
+
+def data_rows(df: DataFrame, label: Column | None = None, total: str = "grand total") -> DataFrame:
     """no empty rows, no total row."""
-    df = df.na.drop("all")
-    if label is None:
-        return df
-    return df.where(not_violating(F.lower(label) == total))
+    filled = F.lit(False)
+    for name in df.columns:
+        if name not in PLACE_COLUMNS:
+            filled = filled | F.col(f"`{name}`").isNotNull()
+    df = df.where(filled)
+    return df if label is None else df.where(not_violating(F.lower(label) == total))
 
 
 def positive_payload(df: DataFrame) -> DataFrame:

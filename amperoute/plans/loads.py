@@ -37,7 +37,7 @@ def report_samples(sheet: DataFrame, codes: DataFrame) -> DataFrame:
     raw = require(normalize_headers(sheet), header, "telematics report")
     rows = raw.select(
         F.trim("Vehicle ID").alias("vin"),
-        local_to_utc(p.datetime(F.col("Date/Time"))).alias("timestamp"),
+        p.datetime(F.col("Date/Time")).alias("timestamp"),
         p.number(F.col("`Speed (mph)`")).alias("speed"),
         p.number(F.col("Odometer")).alias("mileage"),
         p.soc_share(p.number(F.col("State of Charge"))).alias("soc"),
@@ -46,6 +46,7 @@ def report_samples(sheet: DataFrame, codes: DataFrame) -> DataFrame:
         F.col("Details").alias("details"),
         "row_no",
     )
+    rows = local_to_utc(rows, ["timestamp"])
     return resolve_key(rows, codes, {"vin": "vin"}, "fleet_vehicle_id", "fleet_vehicle_id")
 
 
@@ -166,24 +167,22 @@ def load_utc_sessions(sheet: DataFrame, charger: DataFrame, vehicle: DataFrame)
     return resolve_key(known, upper, {"code": "fleet_vehicle_id"}, "id", "veh_id").drop("plug", "code")
 
 
-def _strict_utc(text: Column) -> Column:
-    return local_to_utc(p.datetime(text), gap="null")
-
-
 def load_local_sessions(sheet: DataFrame, charger: DataFrame, vehicle: DataFrame) -> DataFrame:
     """Local clock (skipped and repeated times are unusable), duration from start and end."""
     rows = sheet.select(
         p.charger_code_before_colon(F.col("Charger ID"), F.col("Port")).alias("plug"),
         F.col("Vehicle ID").alias("code"),
-        _strict_utc(F.col("Connect Time")).alias("connect_time"),
-        _strict_utc(F.col("Disconnect Time")).alias("disconnect_time"),
-        _strict_utc(F.col("Charge Start Time")).alias("refuel_start"),
-        _strict_utc(F.col("Charge End Time")).alias("refuel_end"),
+        p.datetime(F.col("Connect Time")).alias("connect_time"),
+        p.datetime(F.col("Disconnect Time")).alias("disconnect_time"),
+        p.datetime(F.col("Charge Start Time")).alias("refuel_start"),
+        p.datetime(F.col("Charge End Time")).alias("refuel_end"),
         p.number(F.col("Peak Power")).alias("max_power"),
         p.number(F.col("Energy Dispensed")).alias("tot_energy"),
         p.soc_from_percent_text(F.col("Vehicle SoC at start of Charging")).alias("start_soc"),
         p.soc_from_percent_text(F.col("Vehicle SoC at end of Charging")).alias("end_soc"),
-    ).withColumn("tot_ref_dura", round_to(minutes_between(F.col("refuel_start"), F.col("refuel_end")), 2))
+    )
+    rows = local_to_utc(rows, ["connect_time", "disconnect_time", "refuel_start", "refuel_end"], gap="null")
+    rows = rows.withColumn("tot_ref_dura", round_to(minutes_between(F.col("refuel_start"), F.col("refuel_end")), 2))
     good = _power(valid_sessions(rows, "connect_time", "disconnect_time"))
     known = resolve_key(good, charger, {"plug": "charger"}, "id", "charger_id", unmapped="drop")
     return resolve_key(known, vehicle, {"code": "fleet_vehicle_id"}, "id", "veh_id").drop("plug", "code")
@@ -194,14 +193,15 @@ def load_session_list(sheet: DataFrame, charger: DataFrame, vehicle: DataFrame)
     rows = normalize_headers(sheet).select(
         F.trim("Connector").alias("plug"),
         p.leading_code(F.col("Vehicle ID")).alias("code"),
-        _strict_utc(F.col("`Session start (America/New_York)`")).alias("connect_time"),
-        _strict_utc(F.col("`Session end (America/New_York)`")).alias("disconnect_time"),
+        p.datetime(F.col("`Session start (America/New_York)`")).alias("connect_time"),
+        p.datetime(F.col("`Session end (America/New_York)`")).alias("disconnect_time"),
         round_to(p.duration_minutes(F.col("`Charging duration (hh:mm:ss)`")), 2).alias("tot_ref_dura"),
         p.number(F.col("`Charged Energy (kWh)`")).alias("tot_energy"),
         p.number(F.col("`Peak power (kW)`")).alias("max_power"),
         p.soc_share_clamped(p.number(F.col("`Battery level at start (%)`"))).alias("start_soc"),
         p.soc_share_clamped(p.number(F.col("`Battery level at end (%)`"))).alias("end_soc"),
     )
+    rows = local_to_utc(rows, ["connect_time", "disconnect_time"], gap="null")
     good = _power(valid_sessions(rows, "connect_time", "disconnect_time"))
     known = resolve_key(good, charger, {"plug": "charger"}, "id", "charger_id", unmapped="drop")
     return resolve_key(known, vehicle, {"code": "fleet_vehicle_id"}, "id", "veh_id", unmapped="drop").drop("plug", "code")
@@ -427,7 +427,7 @@ def payload(sheets: DataFrame, vehicle: DataFrame) -> DataFrame:
         "load": {"exact": ["(11) Peak payload of the day (lbs)"]},
         "code": {"exact": ["(1) Vehicle ID (unique vehicle identifier)", "sheet"]},
     }
-    raw = resolve(sheets, wanted, "payload workbook")
+    raw = resolve(normalize_headers(sheets), wanted, "payload workbook")
     rows = raw.select(
         F.trim("code").alias("code"),
         p.day(F.col("date_text")).alias("date"),

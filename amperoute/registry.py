@@ -351,15 +351,11 @@ def _hourly_samples(t: Tables) -> DataFrame:
 
 @query
 def c04_local_to_utc(t):
-    wall = t.refuel_inf.select("id", "connect_time")
-    c = F.col("connect_time")
-    return wall.select(
-        "id",
-        local_to_utc(c, gap="shift").alias("shifted"),
-        local_to_utc(c, gap="null").alias("strict"),
-        local_to_utc(c, gap="shift", fold=F.lit(0)).alias("first_pass"),
-        local_to_utc(c, gap="shift", fold=F.lit(1)).alias("second_pass"),
-    )
+    wall = t.refuel_inf.select("id", F.col("connect_time").alias("wall"))
+    wall = local_to_utc(wall, {"wall": "shifted"})
+    wall = local_to_utc(wall, {"wall": "strict"}, gap="null")
+    wall = local_to_utc(wall, {"wall": "first_pass"}, fold=F.lit(0))
+    return local_to_utc(wall, {"wall": "second_pass"}, fold=F.lit(1)).drop("wall")
 
 
 @query
@@ -435,7 +431,7 @@ def w12_series_slots(t):
 
 
 @query
-def j06_vehicle_keys(t):
+def b06_vehicle_keys(t):
     trips = t.veh_trip.groupBy("veh_id").agg(F.count("*").alias("n")).selectExpr(
         "case when veh_id % 2 = 0 then concat('Customer#', lpad(cast(veh_id as string), 9, '0')) else concat('X', veh_id) end as code",
         "n",
