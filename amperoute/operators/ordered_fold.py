@@ -10,10 +10,12 @@ settles in about log2(n) rounds. Only block-level states are kept between rounds
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,9 @@ from pyspark.sql import types as T
 from ..functions.geo import EARTH_RADIUS_MILES, haversine_miles
 from ..session import ensure_checkpoint_dir
 
+# Workers need not have this package installed: its functions travel with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Columns = dict[str, np.ndarray]
 # A fold takes one batch sorted by (key, run, order) and the carry of the batch before; it returns
 # the output columns, the state after every row, and the carry for the next batch.

@@ -361,7 +361,7 @@ def c04_local_to_utc(t):
 @query
 def c16_cost_texts(t):
     text = F.expr(
-        "case when id % 4 = 0 then concat('$', format_number(labor_cost, 2), ' (tow + ', id, ')') "
+        "case when id % 4 = 0 then concat('$', format_number(round(cast(labor_cost as decimal(28,8)), 2), 2), ' (tow + ', id, ')') "
         "when id % 4 = 1 then concat(' ', maint_categ, ' ') when id % 4 = 2 then concat('-', id, ' credit') else '  ' end"
     )
     return t.maintenance.select("id", text.alias("x")).select(

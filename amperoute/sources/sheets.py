@@ -166,7 +166,7 @@ def maintenance_workbook(t: Tables, asset: str) -> DataFrame:
         _clock("exit_shop", "yyyy-MM-dd HH:mm") + " as `The timestamp when vehicle exited the shop (yyyy-mm-dd hh24:mm)`",
         "string(enter_odo + 0.5) as `Odometer reading upon entering  shop (miles)`",
         "string(enter_odo + 2) as `Odometer reading upon exiting shop (miles)`",
-        "concat('$', format_number(parts_cost, 2)) as `Parts cost ($)`",
+        "concat('$', format_number(round(cast(parts_cost as decimal(28,8)), 2), 2)) as `Parts cost ($)`",
         "concat(string(labor_cost), ' USD') as `Labor cost ($)`",
         "case when id % 3 = 1 then concat('$', int(add_cost), ' (towing)') when id % 5 = 0 then 'none so far' "
         "when id % 5 = 1 then ' ' else '(-1,250.50)' end as `Additional costs, if any ($) (please describe)`",
