@@ -3,9 +3,11 @@
 A plain fold would hold a whole vehicle in one task. Here each (vehicle, day) block is folded on its own
 from a guessed entry state. Blocks without anything unusual never leave the JVM: their exit is known from
 their last row. Then every block's guess is compared with the exit of the block before it, and only blocks
-that guessed wrong are folded again, in runs whose length doubles per round. The first wrong block of a
+that guessed wrong are folded again, in runs whose length grows fourfold per round. The first wrong block of a
 vehicle is right after each round, so the result equals the sequential fold, and a chain of n wrong blocks
-settles in about log2(n) rounds. Only block-level states are kept between rounds (checkpointed files).
+settles in about log4(n) rounds. A vehicle with few rows left (``direct_rows``, counted per block) is folded
+through from its first wrong block instead, which settles it in one round. Vehicles without a wrong block leave the loop. Only block-level states are
+kept between rounds (checkpointed files).
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ from ..session import ensure_checkpoint_dir
 # Workers need not have this package installed: its functions travel with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Rows of one vehicle that one task may fold through in sequence.
+DIRECT_ROWS = 2_000_000
+
 Columns = dict[str, np.ndarray]
 # A fold takes one batch sorted by (key, run, order) and the carry of the batch before; it returns
 # the output columns, the state after every row, and the carry for the next batch.
@@ -88,11 +93,11 @@ def _exits(
 
 def _settle(
     rows: DataFrame, blocks: DataFrame, key: str, order: Sequence[str], reads: Sequence[str], state: Sequence[str],
-    known: Sequence[str], fold: BatchFold,
+    known: Sequence[str], fold: BatchFold, direct_rows: int,
 ) -> DataFrame:
     """Entry states of all blocks as (key, block, entry_*, known columns, needs_fold).
 
-    ``blocks`` has key, block, ``known`` columns, guess_* and plain_* states and ``unusual``.
+    ``blocks`` has key, block, its row count ``n``, ``known`` columns, guess_* and plain_* states and ``unusual``.
     """
     ensure_checkpoint_dir(rows.sparkSession)
     guess = [F.col(f"guess_{s}").alias(f"entry_{s}") for s in state]
@@ -100,27 +105,35 @@ def _settle(
     first = blocks.where("unusual").select(key, "block", F.col("block").alias("run"), *known, *guess)
     folded = _exits(rows, first, key, order, reads, state, fold)
     table = blocks.join(folded, [key, "block"], "left").select(
-        key, "block", "unusual", *known, *[f"guess_{s}" for s in state], *guess,
+        key, "block", "n", "unusual", *known, *[f"guess_{s}" for s in state], *guess,
         *[F.when(F.col("unusual"), F.col(f"exit_{s}")).otherwise(F.col(f"plain_{s}")).alias(f"exit_{s}") for s in state],
     ).checkpoint()
 
-    length = 1
+    length, settled = 2, []
     by_block = Window.partitionBy(key).orderBy("block")
+    whole = by_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     while True:
         actual = table.withColumns({f"actual_{s}": F.lag(f"exit_{s}").over(by_block) for s in state})
         actual = actual.withColumn("at", F.row_number().over(by_block)).withColumn("wrong", ~_same(state, "actual_", "entry_"))
-        start = F.last(F.when(F.col("wrong"), F.col("at")), ignorenulls=True).over(by_block)
-        head = F.last(
-            F.when(F.col("wrong"), F.struct(F.col("block").alias("run"), *[F.col(f"actual_{s}").alias(f"entry_{s}") for s in state], *known)),
-            ignorenulls=True,
-        ).over(by_block)
+        true_entry = [F.col(f"actual_{s}").alias(f"entry_{s}") for s in state]
+        head = F.struct(F.col("at").alias("start"), F.col("block").alias("run"), *true_entry, *known)
+        heads = F.when(F.col("wrong"), head)
+        first_wrong = F.min(F.when(F.col("wrong"), F.col("at"))).over(whole)
         runs = (
-            actual.withColumn("start", start)
-            .withColumn("head", head)
-            .where(F.col("start").isNotNull() & (F.col("at") - F.col("start") < length))
+            actual.withColumn("first_wrong", first_wrong)
+            .withColumn("short", F.sum(F.when(F.col("at") >= F.col("first_wrong"), F.col("n"))).over(whole) <= direct_rows)
+            .withColumn(
+                "head",
+                F.when(F.col("short"), F.first(heads, ignorenulls=True).over(whole)).otherwise(
+                    F.last(heads, ignorenulls=True).over(by_block)
+                ),
+            )
+            .where((F.col("at") >= F.col("head.start")) & (F.col("short") | (F.col("at") - F.col("head.start") < length)))
             .select(key, "block", "head.*")
-        ).checkpoint()
+            .drop("start")
+        )
         if runs.isEmpty():
+            settled.append(table)
             break
         redone = _exits(rows, runs, key, order, reads, state, fold)
         previous = Window.partitionBy(key, "run").orderBy("block")
@@ -131,15 +144,20 @@ def _settle(
         redone = runs.join(redone, [key, "block"]).select(
             key, "block", *inside, *[F.col(f"exit_{s}").alias(f"new_exit_{s}") for s in state], F.lit(True).alias("redone")
         )
-        table = table.join(redone, [key, "block"], "left").select(
-            key, "block", "unusual", *known, *[f"guess_{s}" for s in state],
+        moving = runs.select(key).distinct()
+        settled.append(table.join(moving, key, "left_anti"))
+        table = table.join(moving, key, "left_semi").join(redone, [key, "block"], "left").select(
+            key, "block", "n", "unusual", *known, *[f"guess_{s}" for s in state],
             *[
                 F.when(F.col("redone"), F.col(f"new_{side}_{s}")).otherwise(F.col(f"{side}_{s}")).alias(f"{side}_{s}")
                 for side in ("entry", "exit")
                 for s in state
             ],
         ).checkpoint()
-        length *= 2
+        length *= 4
+    table = settled[0]
+    for part in settled[1:]:
+        table = table.unionByName(part)
     needs = F.col("unusual") | ~_same(state, "guess_", "entry_")
     return table.select(key, "block", *[f"entry_{s}" for s in state], *known, needs.alias("needs_fold"))
 
@@ -166,6 +184,11 @@ def _fold_rows(
     return _sorted_runs(joined, key, order).mapInArrow(apply, schema)
 
 
+def _untouched(rows: DataFrame, settled: DataFrame, key: str) -> DataFrame:
+    """Rows of the blocks no fold is needed for; the unusual blocks are the few, so they are what is matched."""
+    return rows.join(settled.where("needs_fold").select(key, "block"), [key, "block"], "left_anti")
+
+
 # ---------------------------------------------------------------- W7
 
 
@@ -233,6 +256,7 @@ def flag_gps_jumps(
     lat: str = "latitude",
     lon: str = "longitude",
     max_jump_miles: float = 5.0,
+    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Add ``gps_outlier`` to samples that are unique per (key, ts).
 
@@ -249,23 +273,21 @@ def flag_gps_jumps(
         rows.select(key, "block", ts, lat, lon)
         .withColumn("far", miles > max_jump_miles)
         .groupBy(key, "block")
-        .agg(F.max_by(last, ts).alias("last"), F.min_by(first, ts).alias("first"), F.bool_or("far").alias("far"))
+        .agg(F.max_by(last, ts).alias("last"), F.min_by(first, ts).alias("first"), F.bool_or("far").alias("far"), F.count("*").alias("n"))
         .withColumn("prev", F.lag("last").over(Window.partitionBy(key).orderBy("block")))
     )
     entry_miles = haversine_miles(F.col("prev.prev_lat"), F.col("prev.prev_lon"), F.col("first.lat"), F.col("first.lon"))
     nothing = {f"{kind}_{s}": F.lit(None).cast("double") for kind in ("guess", "plain") for s in ("lat", "lon")}
     blocks = blocks.select(
-        key, "block", "prev.*",
+        key, "block", "n", "prev.*",
         F.coalesce(F.col("far") | (entry_miles > max_jump_miles), F.col("far"), entry_miles > max_jump_miles, F.lit(False)).alias("unusual"),
     ).withColumns(nothing)
     fold = _jump_fold(key, ts, lat, lon, max_jump_miles)
     narrow = rows.select(key, "block", ts, lat, lon)
     reads = [ts, lat, lon]
-    settled = _settle(narrow, blocks, key, [ts], reads, ["lat", "lon"], ["prev_lat", "prev_lon", "prev_ts"], fold)
+    settled = _settle(narrow, blocks, key, [ts], reads, ["lat", "lon"], ["prev_lat", "prev_lon", "prev_ts"], fold, direct_rows)
     flagged = _fold_rows(rows, settled, key, [ts], reads, T.StructType([T.StructField("gps_outlier", T.BooleanType())]), fold)
-    plain = rows.join(settled.where("not needs_fold").select(key, "block"), [key, "block"], "left_semi").withColumn(
-        "gps_outlier", F.lit(False)
-    )
+    plain = _untouched(rows, settled, key).withColumn("gps_outlier", F.lit(False))
     return plain.unionByName(flagged).drop("block")
 
 
@@ -327,7 +349,13 @@ def _unusual(m: Column, s: Column, pm: Column, ps: Column, tolerance: float) ->
 
 
 def repair_doubled(
-    samples: DataFrame, *, key: str = "veh_id", ts: str = "timestamp", row: str = "row_no", tolerance: float = 0.05
+    samples: DataFrame,
+    *,
+    key: str = "veh_id",
+    ts: str = "timestamp",
+    row: str = "row_no",
+    tolerance: float = 0.05,
+    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Halve mileage and SOC readings that doubled against the last kept row; mark rows to drop.
 
@@ -348,24 +376,24 @@ def repair_doubled(
         rows.select(key, "block", *order, "mileage", "soc")
         .withColumn("odd", odd)
         .groupBy(key, "block")
-        .agg(F.min_by(here, place).alias("first"), F.max_by(here, place).alias("last"), F.bool_or("odd").alias("odd"))
+        .agg(F.min_by(here, place).alias("first"), F.max_by(here, place).alias("last"), F.bool_or("odd").alias("odd"), F.count("*").alias("n"))
         .withColumn("prev", F.lag("last").over(by_block))
     )
     entry_odd = _unusual(F.col("first.m"), F.col("first.s"), F.col("prev.m"), F.col("prev.s"), tolerance)
     blocks = blocks.select(
-        key, "block", (F.col("odd") | entry_odd).alias("unusual"),
+        key, "block", "n", (F.col("odd") | entry_odd).alias("unusual"),
         *[F.col(f"prev.{s}").alias(f"guess_{s}") for s in "ms"],
         *[F.col(f"last.{s}").alias(f"plain_{s}") for s in "ms"],
     )
     fold = _doubling_fold(key, tolerance)
     narrow = rows.select(key, "block", *order, "mileage", "soc")
     reads = ["mileage", "soc"]
-    settled = _settle(narrow, blocks, key, order, reads, ["m", "s"], [], fold)
+    settled = _settle(narrow, blocks, key, order, reads, ["m", "s"], [], fold, direct_rows)
     flags = [T.StructField(c, T.BooleanType()) for c in ("kept", "mileage_fixed", "soc_fixed")]
     values = [T.StructField(c, T.DoubleType()) for c in ("mileage_new", "soc_new")]
     folded = _fold_rows(rows, settled, key, order, reads, T.StructType([*flags, *values]), fold)
     folded = folded.withColumns({"mileage": F.col("mileage_new"), "soc": F.col("soc_new")}).drop("mileage_new", "soc_new")
-    plain = rows.join(settled.where("not needs_fold").select(key, "block"), [key, "block"], "left_semi").withColumns(
+    plain = _untouched(rows, settled, key).withColumns(
         {"kept": F.lit(True), "mileage_fixed": F.lit(False), "soc_fixed": F.lit(False)}
     )
     return plain.unionByName(folded).drop("block")
