@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.merge import merge_into
-from ..schema import TABLES
 
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -89,7 +88,3 @@ def upsert_partitions(
         .partitionBy(partition)
         .parquet(path)
     )
-
-
-def known_schema(name: str) -> T.StructType:
-    return TABLES[name]
