@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .measures import hour_floor
+from .staging import evaluated
 
 LOCAL_TZ = "America/New_York"
 
@@ -49,21 +50,31 @@ def local_to_utc(
     """Replace local wall clocks by UTC, or add them under new names (a mapping).
 
     ``gap='shift'`` moves a skipped time to the change, ``'null'`` drops it. ``fold`` tells for a repeated
-    time which pass it is: 0 first, 1 second, null unknown. The conversion and its checks are two
-    projections, so the parsed clock is evaluated once.
+    time which pass it is: 0 first, 1 second, null unknown. Only clocks within three hours of a change of
+    offset take the detailed checks; conversions are evaluated once per row.
     """
     names = dict(columns) if isinstance(columns, Mapping) else {c: c for c in columns}
     nothing = F.lit(None).cast("timestamp_ntz")
-    staged = df.withColumns({f"__utc_{out}": _raw_utc(F.col(c), tz) for c, out in names.items()})
-
-    def checked(local: Column, utc: Column) -> Column:
+    margin = F.expr("interval 3 hours")
+    staged = df
+    for c, out in names.items():
+        staged = staged.withColumns(
+            {f"__early_{out}": _raw_utc(F.col(c) - margin, tz), f"__late_{out}": _raw_utc(F.col(c) + margin, tz)}
+        )
+    staged = evaluated(staged)
+
+    def near_change(local: Column) -> Column:
+        utc = _raw_utc(local, tz)
         second = nothing if fold is None else F.when(fold == 0, utc).when(fold == 1, utc + _hour())
         moved = hour_floor(utc) if gap == "shift" else nothing
         return F.when(_skipped(local, utc, tz), moved).when(_repeated(local, utc, tz), second).otherwise(utc)
 
-    return staged.withColumns(
-        {out: checked(F.col(c), F.col(f"__utc_{out}")) for c, out in names.items()}
-    ).drop(*[f"__utc_{out}" for out in names.values()])
+    def resolved(c: str, out: str) -> Column:
+        early, late = F.col(f"__early_{out}"), F.col(f"__late_{out}")
+        return F.when(late - early == margin + margin, early + margin).otherwise(near_change(F.col(c)))
+
+    done = staged.withColumns({out: resolved(c, out) for c, out in names.items()})
+    return evaluated(done.drop(*[f"__{side}_{out}" for side in ("early", "late") for out in names.values()]))
 
 
 def localize_in_row_order(

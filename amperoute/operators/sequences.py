@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import floor_at_zero, hour_floor, minutes_between, round_to, seconds
+from ..functions.staging import evaluated
 from ..functions.zones import LOCAL_TZ, utc_to_local
 
 
@@ -294,7 +295,7 @@ def weekday_hour_minutes(sessions: DataFrame, start: str, end: str, tz: str = LO
     """Minutes of each session by local weekday (Monday 0) and hour, all 168 cells present.
 
     Hour borders are cut in UTC; the zone's offsets are whole hours, so they are local borders too.
-    Overlaps add up as intervals, exactly and in any order.
+    Overlaps add up as intervals, exactly and in any order, per UTC hour before that hour is localized.
     """
     hour = F.expr("interval 1 hour")
     cut = (
@@ -303,10 +304,10 @@ def weekday_hour_minutes(sessions: DataFrame, start: str, end: str, tz: str = LO
         .withColumn("b", F.explode(F.sequence(hour_floor(F.col("s")), F.col("e"), hour)))
         .withColumn("overlap", F.least(F.col("e"), F.col("b") + hour) - F.greatest("s", "b"))
     )
+    hours = cut.groupBy("b").agg(F.sum("overlap").alias("overlap"))
     local = utc_to_local(F.col("b"), tz)
-    cells = cut.groupBy(F.weekday(local).alias("weekday"), F.hour(local).alias("hour")).agg(
-        (seconds(F.sum("overlap")) / 60).alias("m")
-    )
+    placed = evaluated(hours.select(F.weekday(local).alias("weekday"), F.hour(local).alias("hour"), "overlap"))
+    cells = placed.groupBy("weekday", "hour").agg((seconds(F.sum("overlap")) / 60).alias("m"))
     spark = sessions.sparkSession
     grid = spark.range(168).select(
         F.floor(F.col("id") / 24).cast("int").alias("weekday"), (F.col("id") % 24).cast("int").alias("hour")

@@ -137,7 +137,7 @@ add("q06_weekday_hours_recent", _CV, _m[0], _CHARGE, *_m[1:])
 
 # ---- trips and usage
 
-_PLACE = ("coalesce(trip_num, 1048576), id, tot_dist, tot_energy, idle_time, init_soc, coalesce(init_odo, -1), coalesce(final_odo, -1)")
+_PLACE = "place"
 
 
 def _days(used: str = "case when init_soc - final_soc < 0 then 0 else init_soc - final_soc end", where: str = "true") -> str:

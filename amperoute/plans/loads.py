@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import parse as p
 from ..functions.geo import point
 from ..functions.measures import average_power, floor_at_zero, half_even_int, minutes_between, minutes_to_hours, round_to
+from ..functions.staging import evaluated
 from ..functions.zones import local_to_utc, localize_in_row_order
 from ..operators.conform import normalize_headers, require, resolve, resolve_key
 from ..operators.filters import (
@@ -76,7 +77,7 @@ def fleet_file_samples(sheet: DataFrame, vehicle: DataFrame) -> DataFrame:
         "row_no": {"exact": ["row_no"]},
     }
     raw = resolve(sheet, wanted, "fleet telematics")
-    rows = raw.withColumn("local", p.datetime_of_parts(F.col("date_text"), F.col("time_text")))
+    rows = evaluated(raw.withColumn("local", p.datetime_of_parts(F.col("date_text"), F.col("time_text"))))
     rows = localize_in_row_order(rows, "local", "timestamp", ["asset"], ["row_no"]).select(
         "asset", "timestamp", *[p.number(F.col(c)).alias(c) for c in ("speed", "mileage_raw", "latitude", "longitude")], "row_no"
     )
@@ -97,7 +98,7 @@ def sheet_samples(sheet: DataFrame, vehicle: DataFrame) -> DataFrame:
     header = ["Data Timestamp", "Vehicle ID", "Speed", "Odometer", "Latitude", "Longitude", "Elevation",
               "State Of Charge", "Total Travel Time (Hrs)"]
     raw = require(sheet, header, "telematics sheet").withColumn("local", p.datetime(F.col("Data Timestamp")))
-    rows = localize_in_row_order(raw, "local", "timestamp", ["Vehicle ID"], ["row_no"]).select(
+    rows = localize_in_row_order(evaluated(raw), "local", "timestamp", ["Vehicle ID"], ["row_no"]).select(
         F.col("Vehicle ID").alias("code"),
         "timestamp",
         p.number(F.col("Elevation")).alias("elevation"),
@@ -137,7 +138,8 @@ def load_vehicle_files(sheet: DataFrame, vehicle: DataFrame) -> DataFrame:
         p.number(F.col("latitude")).alias("latitude"),
         p.number(F.col("longitude")).alias("longitude"),
         "row_no",
-    ).where("timestamp is not null")
+    )
+    rows = evaluated(rows).where("timestamp is not null")
     mapped = resolve_key(rows, vehicle, {"code": "fleet_vehicle_id"}, "id", "veh_id", unmapped="drop").drop("code")
     return _located(keep_last(mapped, TEL_KEY, F.col("row_no").asc()).drop("row_no"))
 
@@ -161,7 +163,7 @@ def load_utc_sessions(sheet: DataFrame, charger: DataFrame, vehicle: DataFrame)
         p.soc_from_percent_text(F.col("Battery State Of Charge At Session Start")).alias("start_soc"),
         p.soc_from_percent_text(F.col("Battery State Of Charge At Session Stop")).alias("end_soc"),
     )
-    good = _power(valid_sessions(rows, "refuel_start", "refuel_end"))
+    good = _power(valid_sessions(evaluated(rows), "refuel_start", "refuel_end"))
     known = resolve_key(good, charger, {"plug": "charger"}, "id", "charger_id", unmapped="drop")
     upper = vehicle.select("id", F.upper("fleet_vehicle_id").alias("fleet_vehicle_id"))
     return resolve_key(known, upper, {"code": "fleet_vehicle_id"}, "id", "veh_id").drop("plug", "code")
@@ -182,7 +184,7 @@ def load_local_sessions(sheet: DataFrame, charger: DataFrame, vehicle: DataFrame
         p.soc_from_percent_text(F.col("Vehicle SoC at end of Charging")).alias("end_soc"),
     )
     rows = local_to_utc(rows, ["connect_time", "disconnect_time", "refuel_start", "refuel_end"], gap="null")
-    rows = rows.withColumn("tot_ref_dura", round_to(minutes_between(F.col("refuel_start"), F.col("refuel_end")), 2))
+    rows = evaluated(rows.withColumn("tot_ref_dura", round_to(minutes_between(F.col("refuel_start"), F.col("refuel_end")), 2)))
     good = _power(valid_sessions(rows, "connect_time", "disconnect_time"))
     known = resolve_key(good, charger, {"plug": "charger"}, "id", "charger_id", unmapped="drop")
     return resolve_key(known, vehicle, {"code": "fleet_vehicle_id"}, "id", "veh_id").drop("plug", "code")
@@ -337,7 +339,7 @@ def trip_report(sheet: DataFrame, codes: DataFrame, vehicle: DataFrame, *, unmap
         p.number(F.col("Total kWh used")).alias("tot_energy"),
         "row_no",
     )
-    days = trips_to_days(trips, ["vin", "date"], trip_order())
+    days = trips_to_days(evaluated(trips), ["vin", "date"], trip_order())
     coded = resolve_key(days, codes, {"vin": "vin"}, "fleet_vehicle_id", "fleet_vehicle_id", unmapped=unmapped)
     return resolve_key(coded, vehicle, {"fleet_vehicle_id": "fleet_vehicle_id"}, "id", "veh_id", unmapped=unmapped)
 
@@ -387,7 +389,7 @@ def daily_trips_sheet(sheet: DataFrame, vehicle: DataFrame) -> DataFrame:
         p.number(F.col("energy")).alias("tot_energy"),
         F.col("row_no").cast("bigint").alias("row_no"),
     )
-    days = trips_to_days(trips, ["code", "date"], trip_order(), soc_used="reported")
+    days = trips_to_days(evaluated(trips), ["code", "date"], trip_order(), soc_used="reported")
     return resolve_key(days, vehicle, {"code": "fleet_vehicle_id"}, "id", "veh_id", unmapped="drop").drop("code")
 
 
@@ -415,7 +417,8 @@ def daily_summary(sheets: DataFrame, vehicle: DataFrame) -> DataFrame:
         soc("Total SOC Used").alias("tot_soc_used"),
         half_even_int(p.number(F.col("`Total Energy Consumed for the Day (kWh)`"))).cast("double").alias("tot_energy"),
         F.col("row_no").cast("bigint").alias("row_no"),
-    ).where("date is not null")
+    )
+    rows = evaluated(rows).where("date is not null")
     mapped = resolve_key(rows, vehicle, {"sheet": "fleet_vehicle_id"}, "id", "veh_id", unmapped="drop").drop("sheet")
     return keep_last(mapped, ["veh_id", "date"], F.col("row_no").asc()).drop("row_no")
 
@@ -434,7 +437,7 @@ def payload(sheets: DataFrame, vehicle: DataFrame) -> DataFrame:
         p.number(F.col("load")).alias("peak_payload"),
     )
     best = (
-        positive_payload(rows)
+        positive_payload(evaluated(rows))
         .groupBy("code", "date")
         .agg(F.max(half_even_int(F.col("peak_payload"))).alias("peak_payload"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import parse as p
@@ -34,16 +34,8 @@ def runnable() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: bind(f) for name, f in QUERIES.items()}
 
 
-def trip_place() -> Column:
-    """Order of trips in a day; the trips view has no unique row number."""
-    return F.struct(
-        F.coalesce("trip_num", F.lit(2**20)).alias("n"), "id", "tot_dist", "tot_energy", "idle_time", "init_soc",
-        F.coalesce("init_odo", F.lit(-1.0)).alias("a"), F.coalesce("final_odo", F.lit(-1.0)).alias("b"),
-    )
-
-
 def days(trips: DataFrame, soc_used: str = "from_levels") -> DataFrame:
-    return loads.trips_to_days(trips, ["veh_id", "date"], trip_place(), soc_used=soc_used)
+    return loads.trips_to_days(trips, ["veh_id", "date"], F.col("place"), soc_used=soc_used)
 
 
 def charging_scope(t: Tables, **options) -> charging.Scope:
