@@ -61,3 +61,12 @@ def energy_per_mile(distance: Column, energy: Column, reported: Column | None =
 def hour_floor(ts: Column) -> Column:
     """Start of the clock hour of a zone-less timestamp, without touching the session zone."""
     return ts - F.make_dt_interval(F.lit(0), F.lit(0), F.minute(ts), F.date_part(F.lit("SECOND"), ts))
+
+
+def time_block(ts: Column, minutes: int) -> Column:
+    """Start of the block of ``minutes`` within the day; a date when blocks are whole days."""
+    day = F.to_date(ts)
+    if minutes >= 1440:
+        return day
+    number = F.floor((F.hour(ts) * 60 + F.minute(ts)) / minutes).cast("int")
+    return day.cast("timestamp_ntz") + F.make_dt_interval(mins=number * minutes)

@@ -1,6 +1,6 @@
 """Ordered folds whose state depends on earlier decisions: GPS jump clusters (W7), doubled readings.
 
-A plain fold would hold a whole vehicle in one task. Here each (vehicle, day) block is folded on its own
+A plain fold would hold a whole vehicle in one task. Here each (vehicle, time block) is folded on its own
 from a guessed entry state. Blocks without anything unusual never leave the JVM: their exit is known from
 their last row. Then every block's guess is compared with the exit of the block before it, and only blocks
 that guessed wrong are folded again, in runs whose length grows fourfold per round. The first wrong block of a
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geo import EARTH_RADIUS_MILES, haversine_miles
+from ..functions.measures import time_block
 from ..session import ensure_checkpoint_dir
+from .sequences import BLOCK_MINUTES
 
 # Workers need not have this package installed: its functions travel with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -256,15 +258,16 @@ def flag_gps_jumps(
     lat: str = "latitude",
     lon: str = "longitude",
     max_jump_miles: float = 5.0,
+    block_minutes: int = BLOCK_MINUTES,
     direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Add ``gps_outlier`` to samples that are unique per (key, ts).
 
     A jump of more than ``max_jump_miles`` between neighbours opens a cluster; a point stays in it until it
     is at least as close to the last normal point as to its predecessor. A missing position, or time that
-    does not advance, ends it. Starts jobs: cluster states crossing days are settled before returning.
+    does not advance, ends it. Starts jobs: cluster states crossing blocks are settled before returning.
     """
-    rows = samples.withColumn("block", F.to_date(ts))
+    rows = samples.withColumn("block", time_block(F.col(ts), block_minutes))
     in_block = Window.partitionBy(key, "block").orderBy(ts)
     miles = haversine_miles(F.lag(lat).over(in_block), F.lag(lon).over(in_block), F.col(lat), F.col(lon))
     last = F.struct(F.col(lat).alias("prev_lat"), F.col(lon).alias("prev_lon"), F.col(ts).alias("prev_ts"))
@@ -355,6 +358,7 @@ def repair_doubled(
     ts: str = "timestamp",
     row: str = "row_no",
     tolerance: float = 0.05,
+    block_minutes: int = BLOCK_MINUTES,
     direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Halve mileage and SOC readings that doubled against the last kept row; mark rows to drop.
@@ -363,7 +367,7 @@ def repair_doubled(
     or mileage are not part of any series and are left out; ``row`` breaks ties of equal times. Starts jobs.
     """
     rows = samples.where(F.col(key).isNotNull() & F.col(ts).isNotNull() & F.col("mileage").isNotNull())
-    rows = rows.withColumn("block", F.to_date(ts))
+    rows = rows.withColumn("block", time_block(F.col(ts), block_minutes))
     order = [ts, row]
     in_block = Window.partitionBy(key, "block").orderBy(*order)
     here = F.struct(F.col("mileage").alias("m"), F.col("soc").alias("s"))

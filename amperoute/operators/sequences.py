@@ -13,16 +13,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.measures import floor_at_zero, hour_floor, minutes_between, round_to, seconds
+from ..functions.measures import floor_at_zero, hour_floor, round_to, seconds, time_block
 from ..functions.staging import evaluated
 from ..functions.zones import LOCAL_TZ, utc_to_local
 
+# Rows of one vehicle are ordered within blocks of this length. Shorter blocks split a busy vehicle over
+# more tasks, longer ones leave fewer block summaries.
+BLOCK_MINUTES = 240
+
 
 def vehicle_day(
     samples: DataFrame,
     *,
     idle_threshold_minutes: float = 15.0,
-    slice_minutes: int = 60,
+    slice_minutes: int = BLOCK_MINUTES,
     tz: str | None = None,
 ) -> DataFrame:
     """One row per (veh_id, date) from (veh_id, timestamp, mileage, soc, speed).
@@ -173,13 +177,14 @@ def monotonic_mileage(
     raw: str = "mileage_raw",
     out: str = "mileage",
     anchors: DataFrame | None = None,
+    block_minutes: int = BLOCK_MINUTES,
 ) -> DataFrame:
     """Turn a counter that resets into a mileage that never falls.
 
     Missing readings repeat the previous one (leading ones the first); only positive steps count. With
     ``anchors`` (key, anchor) the series continues from the stored mileage instead of its own start.
     """
-    keyed = samples.withColumn("__block", F.to_date(ts))
+    keyed = samples.withColumn("__block", time_block(F.col(ts), block_minutes))
     in_block = Window.partitionBy(key, "__block").orderBy(ts)
     before = in_block.rowsBetween(Window.unboundedPreceding, -1)
     upto = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -249,37 +254,40 @@ def keep_best_sample(df: DataFrame, keys: Sequence[str], *tie_break: Column) ->
     return keep_last(df, keys, sample_priority().desc(), F.coalesce("speed", F.lit(-1.0)).desc(), *tie_break)
 
 
-def trajectories(points: DataFrame, keys: Sequence[str], ts: str = "timestamp") -> DataFrame:
+def trajectories(
+    points: DataFrame, keys: Sequence[str], ts: str = "timestamp", block_minutes: int = BLOCK_MINUTES
+) -> DataFrame:
     """Points numbered along each track, tracks of one point left out.
 
-    Numbers are an offset per (track, day) plus a rank inside the day, so a long track spreads over tasks.
+    Numbers are an offset per (track, block) plus a rank inside the block, so a long track spreads over tasks.
     """
-    keyed = points.withColumn("__day", F.to_date(ts))
-    days = keyed.groupBy(*keys, "__day").agg(F.count("*").alias("__n"))
-    earlier = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = points.withColumn("__block", time_block(F.col(ts), block_minutes))
+    blocks = keyed.groupBy(*keys, "__block").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    days = days.select(
+    blocks = blocks.select(
         *keys,
-        "__day",
+        "__block",
         F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
         F.sum("__n").over(whole).alias("points"),
     ).where("points >= 2")
-    in_day = Window.partitionBy(*keys, "__day").orderBy(ts)
+    in_block = Window.partitionBy(*keys, "__block").orderBy(ts)
     return (
-        keyed.withColumn("__rank", F.row_number().over(in_day))
-        .join(days, [*keys, "__day"])
+        keyed.withColumn("__rank", F.row_number().over(in_block))
+        .join(blocks, [*keys, "__block"])
         .withColumn("seq", F.col("__before") + F.col("__rank"))
-        .drop("__day", "__rank", "__before")
+        .drop("__block", "__rank", "__before")
     )
 
 
-def track_pieces(points: DataFrame, keys: Sequence[str], ts: str = "timestamp") -> DataFrame:
-    """W11 as coordinate lists: one ordered (lat, lon) list per track and hour, sized by the clock, not the history."""
-    piece = F.sort_array(F.collect_list(F.struct(F.col(ts).alias("ts"), "latitude", "longitude")))
+def track_pieces(points: DataFrame, keys: Sequence[str], ts: str = "timestamp", piece_points: int = 1000) -> DataFrame:
+    """W11 as coordinate lists: each track cut into ordered (lat, lon) lists of at most ``piece_points``."""
+    piece = F.sort_array(F.collect_list(F.struct("seq", "latitude", "longitude")))
+    number = F.floor((F.col("seq") - 1) / piece_points)
     return (
         trajectories(points, keys, ts)
-        .groupBy(*keys, hour_floor(F.col(ts)).alias("piece_start"))
-        .agg(piece.alias("piece"), F.min("seq").alias("first_seq"))
+        .groupBy(*keys, number.alias("piece_no"))
+        .agg(piece.alias("piece"))
         .withColumn("positions", F.transform("piece", lambda p: F.struct(p["latitude"], p["longitude"])))
         .drop("piece")
     )
@@ -321,7 +329,6 @@ __all__ = [
     "dense_slot",
     "keep_best_sample",
     "keep_last",
-    "minutes_between",
     "monotonic_mileage",
     "sample_priority",
     "service_interval",

@@ -273,7 +273,7 @@ _TRACK = (
     from tel where {_POS}""",
 )
 add("q17_tracks", _TV, f"""select veh_id, {TS}, latitude, longitude, points, seq, fleet_name, fleet_vehicle_id from track where points >= 2""", _TEL, _TRACK)
-add("q17_track_pieces", _TV, f"""select veh_id, fleet_name, fleet_vehicle_id, date_trunc('hour', {TS}) as piece_start, min(seq) as first_seq,
+add("q17_track_pieces", _TV, f"""select veh_id, fleet_name, fleet_vehicle_id, (seq - 1) // 1000 as piece_no,
     string_agg(printf('%.4f %.4f', latitude, longitude), ';' order by {TS}) as line from track where points >= 2 group by 1, 2, 3, 4""", _TEL, _TRACK)
 add("q27_recent_samples", _TV, f"select {TS}, speed, fleet_vehicle_id, fleet_name from tel order by {TS} desc, veh_id limit 100", _TEL)
 add("f06_latest_month", "veh_tel", f"select cast(max({TS}) as date) - 30 as start_date, cast(max({TS}) as date) as end_date from veh_tel")

@@ -41,7 +41,7 @@ def summary(tel, vehicle, fleet, *, fleet_name=None, vehicle_code=None, start=No
 
 
 def tracks(tel, vehicle, fleet, *, fleet_name=None, vehicle_code=None, start=None, end=None, pieces=False) -> DataFrame:
-    """Q17: numbered points of every vehicle's track, or lists per hour (``pieces``). Labels join last."""
+    """Q17: numbered points of every vehicle's track, or bounded coordinate lists (``pieces``). Labels join last."""
     rows = with_position(instants_between(tel, "timestamp", start, end)).select(
         "veh_id", "timestamp", "latitude", "longitude"
     )

@@ -187,7 +187,7 @@ def q17_tracks(t):
 def q17_track_pieces(t):
     pieces = telematics.tracks(t.veh_tel, t.vehicle, t.fleet, pieces=True)
     line = F.array_join(F.transform("positions", lambda x: F.format_string("%.4f %.4f", x["latitude"], x["longitude"])), ";")
-    return pieces.select("veh_id", "fleet_name", "fleet_vehicle_id", "piece_start", "first_seq", line.alias("line"))
+    return pieces.select("veh_id", "fleet_name", "fleet_vehicle_id", "piece_no", line.alias("line"))
 
 
 @query
