@@ -51,6 +51,11 @@ def latest_days(df: DataFrame, column: str = "date", days: int = 30, bounds_of:
     return df.where((F.col(column) >= F.date_sub(newest, days - 1)) & (F.col(column) <= newest))
 
 
+def date_bounds(df: DataFrame, column: str = "date") -> DataFrame:
+    """A16."""
+    return df.agg(F.min(column).alias("start_date"), F.max(column).alias("end_date"))
+
+
 def latest_month_bounds(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     """newest day and the day 30 days before it."""
     newest = F.to_date(F.max(ts))

@@ -20,6 +20,13 @@ def _sided(df: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
     )
 
 
+def _by_key(df: DataFrame, keys: Sequence[str], side: str) -> tuple[DataFrame, DataFrame]:
+    complete = F.lit(True)
+    for k in keys:
+        complete = complete & F.col(f"{side}_k_{k}").isNotNull()
+    return df.where(complete), df.where(~complete)
+
+
 def merge_into(
     target: DataFrame,
     source: DataFrame,
@@ -42,12 +49,19 @@ def merge_into(
     keys = list(keys)
     writable = set(columns if columns is not None else [c for c in source.columns if c not in keys])
     old, new = _sided(target, keys, "old"), _sided(source, keys, "new")
+    if not null_safe_keys:
+        # rows without a full key meet nobody: they pass beside the join instead of crowding one partition
+        old, old_lone = _by_key(old, keys, "old")
+        new, new_lone = _by_key(new, keys, "new")
     condition = None
     for k in keys:
         a, b = F.col(f"old_k_{k}"), F.col(f"new_k_{k}")
         term = a.eqNullSafe(b) if null_safe_keys else a == b
         condition = term if condition is None else condition & term
     joined = old.join(new, condition, "full_outer")
+    if not null_safe_keys:
+        for lone in (old_lone, new_lone):
+            joined = joined.unionByName(lone, allowMissingColumns=True)
 
     stored, arrived = F.col("old_here").isNotNull(), F.col("new_here").isNotNull()
     changes: list[Column] = []

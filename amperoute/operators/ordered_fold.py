@@ -1,13 +1,14 @@
 """Ordered folds whose state depends on earlier decisions: GPS jump clusters (W7), doubled readings.
 
-A plain fold would hold a whole vehicle in one task. Here each (vehicle, time block) is folded on its own
-from a guessed entry state. Blocks without anything unusual never leave the JVM: their exit is known from
-their last row. Then every block's guess is compared with the exit of the block before it, and only blocks
-that guessed wrong are folded again, in runs whose length grows fourfold per round. The first wrong block of a
-vehicle is right after each round, so the result equals the sequential fold, and a chain of n wrong blocks
-settles in about log4(n) rounds. A vehicle with few rows left (``direct_rows``, counted per block) is folded
-through from its first wrong block instead, which settles it in one round. Vehicles without a wrong block leave the loop. Only block-level states are
-kept between rounds (checkpointed files).
+A plain fold would hold a whole vehicle in one task. Here rows fall into (vehicle, time block), and blocks
+without anything unusual never leave the JVM: the state they pass on is known from their last row.
+
+A vehicle with few rows from its first unusual block on (``direct_rows``, counted per block) is folded
+through from there in one task, streaming. Any other vehicle is settled block by block: each unusual block
+is folded from a guessed entry state, every guess is compared with the exit of the block before, and blocks
+that guessed wrong are folded again, in runs whose length grows fourfold per round. The first wrong block
+of a vehicle is right after each round, so the result equals the sequential fold, and a chain of n wrong
+blocks settles in about log4(n) rounds. Only block-level states are kept between rounds (checkpointed files).
 """
 
 from __future__ import annotations
@@ -97,13 +98,8 @@ def _settle(
     rows: DataFrame, blocks: DataFrame, key: str, order: Sequence[str], reads: Sequence[str], state: Sequence[str],
     known: Sequence[str], fold: BatchFold, direct_rows: int,
 ) -> DataFrame:
-    """Entry states of all blocks as (key, block, entry_*, known columns, needs_fold).
-
-    ``blocks`` has key, block, its row count ``n``, ``known`` columns, guess_* and plain_* states and ``unusual``.
-    """
-    ensure_checkpoint_dir(rows.sparkSession)
+    """Runs of one block each, with true entry states, for the blocks that need a fold; see _runs."""
     guess = [F.col(f"guess_{s}").alias(f"entry_{s}") for s in state]
-    blocks = blocks.checkpoint()
     first = blocks.where("unusual").select(key, "block", F.col("block").alias("run"), *known, *guess)
     folded = _exits(rows, first, key, order, reads, state, fold)
     table = blocks.join(folded, [key, "block"], "left").select(
@@ -161,17 +157,41 @@ def _settle(
     for part in settled[1:]:
         table = table.unionByName(part)
     needs = F.col("unusual") | ~_same(state, "guess_", "entry_")
-    return table.select(key, "block", *[f"entry_{s}" for s in state], *known, needs.alias("needs_fold"))
+    return table.where(needs).select(key, "block", F.col("block").alias("run"), *[f"entry_{s}" for s in state], *known)
+
+
+def _runs(
+    rows: DataFrame, blocks: DataFrame, key: str, order: Sequence[str], reads: Sequence[str], state: Sequence[str],
+    known: Sequence[str], fold: BatchFold, direct_rows: int,
+) -> DataFrame:
+    """The blocks to fold as (key, block, run, entry_*, known): rows of one run are folded in sequence.
+
+    ``blocks`` has key, block, its row count ``n``, ``known`` columns, guess_* and plain_* states and ``unusual``.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    blocks = blocks.checkpoint()
+    by_block = Window.partitionBy(key).orderBy("block")
+    whole = by_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    head = F.struct(F.col("block").alias("run"), *[F.col(f"guess_{s}").alias(f"entry_{s}") for s in state], *known)
+    marked = blocks.withColumn("head", F.first(F.when(F.col("unusual"), head), ignorenulls=True).over(by_block))
+    marked = marked.withColumn("left", F.sum(F.when(F.col("head").isNotNull(), F.col("n"))).over(whole))
+    direct = marked.where(F.col("head").isNotNull() & (F.col("left") <= direct_rows)).select(key, "block", "head.*")
+    busy = marked.where(F.col("left") > direct_rows)
+    if busy.isEmpty():
+        return direct
+    settled = _settle(
+        rows, busy.drop("head", "left"), key, order, reads, state, known, fold, direct_rows
+    )
+    return direct.unionByName(settled)
 
 
 def _fold_rows(
-    rows: DataFrame, settled: DataFrame, key: str, order: Sequence[str], reads: Sequence[str], out: T.StructType, fold: BatchFold
+    rows: DataFrame, runs: DataFrame, key: str, order: Sequence[str], reads: Sequence[str], out: T.StructType, fold: BatchFold
 ) -> DataFrame:
-    """Fold the rows of blocks that need it, from their settled entries; other columns pass untouched."""
-    todo = settled.where("needs_fold").drop("needs_fold").withColumn("run", F.col("block"))
-    joined = rows.join(todo, [key, "block"])
+    """Fold the rows of the runs; columns the fold does not read pass untouched."""
+    joined = rows.join(runs, [key, "block"])
     kept = rows.columns
-    used = [key, "run", *reads, *[c for c in todo.columns if c not in (key, "block", "run")]]
+    used = [key, "run", *reads, *[c for c in runs.columns if c not in (key, "block", "run")]]
     schema = T.StructType([*[joined.schema[c] for c in kept], *out.fields])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,9 +206,9 @@ def _fold_rows(
     return _sorted_runs(joined, key, order).mapInArrow(apply, schema)
 
 
-def _untouched(rows: DataFrame, settled: DataFrame, key: str) -> DataFrame:
-    """Rows of the blocks no fold is needed for; the unusual blocks are the few, so they are what is matched."""
-    return rows.join(settled.where("needs_fold").select(key, "block"), [key, "block"], "left_anti")
+def _untouched(rows: DataFrame, runs: DataFrame, key: str) -> DataFrame:
+    """Rows outside all runs; the blocks in runs are the few, so they are what is matched."""
+    return rows.join(runs.select(key, "block"), [key, "block"], "left_anti")
 
 
 # ---------------------------------------------------------------- W7
@@ -288,9 +308,9 @@ def flag_gps_jumps(
     fold = _jump_fold(key, ts, lat, lon, max_jump_miles)
     narrow = rows.select(key, "block", ts, lat, lon)
     reads = [ts, lat, lon]
-    settled = _settle(narrow, blocks, key, [ts], reads, ["lat", "lon"], ["prev_lat", "prev_lon", "prev_ts"], fold, direct_rows)
-    flagged = _fold_rows(rows, settled, key, [ts], reads, T.StructType([T.StructField("gps_outlier", T.BooleanType())]), fold)
-    plain = _untouched(rows, settled, key).withColumn("gps_outlier", F.lit(False))
+    runs = _runs(narrow, blocks, key, [ts], reads, ["lat", "lon"], ["prev_lat", "prev_lon", "prev_ts"], fold, direct_rows)
+    flagged = _fold_rows(rows, runs, key, [ts], reads, T.StructType([T.StructField("gps_outlier", T.BooleanType())]), fold)
+    plain = _untouched(rows, runs, key).withColumn("gps_outlier", F.lit(False))
     return plain.unionByName(flagged).drop("block")
 
 
@@ -392,12 +412,12 @@ def repair_doubled(
     fold = _doubling_fold(key, tolerance)
     narrow = rows.select(key, "block", *order, "mileage", "soc")
     reads = ["mileage", "soc"]
-    settled = _settle(narrow, blocks, key, order, reads, ["m", "s"], [], fold, direct_rows)
+    runs = _runs(narrow, blocks, key, order, reads, ["m", "s"], [], fold, direct_rows)
     flags = [T.StructField(c, T.BooleanType()) for c in ("kept", "mileage_fixed", "soc_fixed")]
     values = [T.StructField(c, T.DoubleType()) for c in ("mileage_new", "soc_new")]
-    folded = _fold_rows(rows, settled, key, order, reads, T.StructType([*flags, *values]), fold)
+    folded = _fold_rows(rows, runs, key, order, reads, T.StructType([*flags, *values]), fold)
     folded = folded.withColumns({"mileage": F.col("mileage_new"), "soc": F.col("soc_new")}).drop("mileage_new", "soc_new")
-    plain = _untouched(rows, settled, key).withColumns(
+    plain = _untouched(rows, runs, key).withColumns(
         {"kept": F.lit(True), "mileage_fixed": F.lit(False), "soc_fixed": F.lit(False)}
     )
     return plain.unionByName(folded).drop("block")

@@ -77,6 +77,12 @@ _VEH_DAY = f"""select veh_id, date, cast(case when nm = 0 then 0 else 1 + coales
     from agg left join breaks using (veh_id, date)"""
 add("q01_vehicle_day", "veh_tel", _VEH_DAY, *_W1)
 
+_OF = [
+    ("own", "select t.* from veh_tel t join vehicle v on v.id = t.veh_id where v.fleet_id in (0, 3, 5, 8, 12, 19, 20, 23)"),
+    *[(n, x.replace("from veh_tel", "from own").replace("900000000", "3600000000")) for n, x in _W1],
+]
+add("q01_vehicle_day_of_fleets", "veh_tel vehicle", _VEH_DAY, *_OF)
+
 # ---- charging
 
 _LABEL = "case charger_type " + " ".join(f"when '{k}' then '{v}'" for k, v in CHARGER_TYPE.items()) + " else charger_type end"
@@ -276,6 +282,7 @@ add("q17_tracks", _TV, f"""select veh_id, {TS}, latitude, longitude, points, seq
 add("q17_track_pieces", _TV, f"""select veh_id, fleet_name, fleet_vehicle_id, (seq - 1) // 1000 as piece_no,
     string_agg(printf('%.4f %.4f', latitude, longitude), ';' order by {TS}) as line from track where points >= 2 group by 1, 2, 3, 4""", _TEL, _TRACK)
 add("q27_recent_samples", _TV, f"select {TS}, speed, fleet_vehicle_id, fleet_name from tel order by {TS} desc, veh_id limit 100", _TEL)
+add("a16_date_bounds", "maintenance", "select min(date) as start_date, max(date) as end_date from maintenance")
 add("f06_latest_month", "veh_tel", f"select cast(max({TS}) as date) - 30 as start_date, cast(max({TS}) as date) as end_date from veh_tel")
 
 # ---- fleets
@@ -423,6 +430,12 @@ add("q22_fleet_file", "veh_tel vehicle", f"""select m.veh_id, m.{TS}, speed, cas
     ("utc", f"select r.* replace ({_SHEET_UTC} as {TS}) from raw r join vehicle v on v.id = r.veh_id"),
     ("uq", f"select * from utc where {TS} is not null qualify row_number() over (partition by veh_id, {TS} order by id desc) = 1"),
     *_asof("uq", "veh_tel"), *_jumps("uq"), *_mono("uq"), recursive=True)
+add("dq6_fleet_file", "veh_tel vehicle", f"""select (select count(*) from veh_tel) as rows_read, (select count(*) from raw where {_SHEET_UTC} is null) as missing_timestamp,
+    (select count(*) from veh_tel t left join vehicle v on v.id = t.veh_id and t.id % 503 <> 0 where v.id is null) as unmapped_vehicle,
+    (select count(*) - count(distinct (veh_id, hr)) from raw r where veh_id in (select id from vehicle) and id % 503 <> 0) as duplicates_removed""",
+    ("raw", f"select *, {_HOUR} as hr from veh_tel"))
+add("dq6_repairs", "veh_tel", """select count(*) filter (where mileage_fixed) as mileage_fixed, count(*) filter (where soc_fixed) as soc_fixed,
+    count(*) filter (where not kept) as dropped from fold where rn > 0""", *_doubled("veh_tel", f"{TS}, id"), recursive=True)
 add("q22_telematics_sheet", "veh_tel vehicle", f"""select u.veh_id, u.{TS}, cast(u.id % 300 as double) as elevation, speed, pm as mileage, ps as soc,
     cast(null as double) as key_on_time, latitude, longitude from fold k join utc u on u.id = k.id
     where kept and rn > 0 and latitude between -90 and 90 and longitude between -180 and 180 and not coalesce(speed < 0, false)

@@ -79,6 +79,21 @@ def rejections(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     return df.agg(F.count("*").alias("rows_read"), *[F.count_if(rule).alias(name) for name, rule in rules.items()])
 
 
+def duplicates(df: DataFrame, keys: Sequence[str], out: str = "duplicates_removed") -> DataFrame:
+    """Rows a keep-one-per-key step removes."""
+    per_key = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    return per_key.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias(out))
+
+
+def repairs(repaired: DataFrame) -> DataFrame:
+    """Q-DQ6 for doubled readings: corrected and dropped rows."""
+    return repaired.agg(
+        F.count_if("mileage_fixed").alias("mileage_fixed"),
+        F.count_if("soc_fixed").alias("soc_fixed"),
+        F.count_if(~F.col("kept")).alias("dropped"),
+    )
+
+
 def duplicate_codes(dim: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Q-DQ7: (fleet, code) pairs that occur more than once."""
     return dim.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,15 @@ from ..functions.measures import round_to
 from ..operators import mergeable as m
 from ..operators.filters import instants_between, where_set, with_position
 from ..operators.joins import vehicles_with_fleet
-from ..operators.sequences import track_pieces, trajectories
+from ..operators.sequences import track_pieces, trajectories, vehicle_day
+
+
+def vehicle_days(
+    tel: DataFrame, vehicle: DataFrame, fleet_ids: Sequence[int] | None = None, *, idle_threshold_minutes: float = 15.0
+) -> DataFrame:
+    """Q1: vehicle-days of known vehicles, of the given fleets or all; merge with columns=DAILY_VALUES."""
+    known = where_set(vehicle, {"fleet_id": list(fleet_ids) if fleet_ids else None}).select(F.col("id").alias("veh_id"))
+    return vehicle_day(tel.join(known, "veh_id", "left_semi"), idle_threshold_minutes=idle_threshold_minutes)
 
 
 def kpis(tel: DataFrame) -> DataFrame:

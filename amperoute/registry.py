@@ -50,6 +50,11 @@ def q01_vehicle_day(t):
     return sequences.vehicle_day(t.veh_tel)
 
 
+@query
+def q01_vehicle_day_of_fleets(t):
+    return telematics.vehicle_days(t.veh_tel, t.vehicle, [0, 3, 5, 8, 12, 19, 20, 23], idle_threshold_minutes=60.0)
+
+
 @query
 def q02_charging_kpis(t):
     return charging.kpis(charging_scope(t))
@@ -361,6 +366,11 @@ def c16_cost_texts(t):
     )
 
 
+@query
+def a16_date_bounds(t):
+    return filters.date_bounds(t.maintenance)
+
+
 @query
 def f06_latest_month(t):
     return filters.latest_month_bounds(t.veh_tel)
@@ -553,6 +563,20 @@ def dq6_rejections(t):
     return health.rejections(samples, filters.sample_rules("fleet_vehicle_id"))
 
 
+@query
+def dq6_fleet_file(t):
+    samples = loads.fleet_file_samples(sheets.fleet_file(t), t.vehicle)
+    rules = {k: v for k, v in filters.sample_rules().items() if k in ("missing_timestamp", "unmapped_vehicle")}
+    lost = health.duplicates(filters.passing(samples, rules), ["veh_id", "timestamp"])
+    return health.rejections(samples, rules).select("*", lost.scalar().alias("duplicates_removed"))
+
+
+@query
+def dq6_repairs(t):
+    rows = t.veh_tel.withColumn("row_no", F.col("id"))
+    return health.repairs(ordered_fold.repair_doubled(rows))
+
+
 @query
 def dq7_duplicate_codes(t):
     return health.duplicate_codes(t.vehicle.select("fleet_id", "make", "model"), ["fleet_id", "make", "model"])

@@ -138,6 +138,11 @@ class Tables:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def register(self) -> None:
+        """All views by name, for queries written in SQL."""
+        for name in VIEWS:
+            getattr(self, name).createOrReplaceTempView(name)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             raise AttributeError(name)
