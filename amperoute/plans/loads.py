@@ -21,10 +21,17 @@ from ..operators.filters import (
 from ..operators.joins import asof_anchor
 from ..operators.ordered_fold import null_gps_jumps, repair_doubled
 from ..operators.sequences import keep_best_sample, keep_last, monotonic_mileage
+from ..session import ensure_checkpoint_dir
 
 TEL_KEY = ["veh_id", "timestamp"]
 
 
+def _landed(df: DataFrame) -> DataFrame:
+    """Parsed rows as checkpointed files: the ordered steps after it read them several times."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def _located(df: DataFrame) -> DataFrame:
     return df.withColumn("location", point(F.col("latitude"), F.col("longitude")))
 
@@ -85,9 +92,9 @@ def fleet_file_samples(sheet: DataFrame, vehicle: DataFrame) -> DataFrame:
 
 
 def load_fleet_file(sheet: DataFrame, vehicle: DataFrame, stored: DataFrame) -> DataFrame:
-    """Drop unmapped rows, last row per key, GPS jumps nulled, mileage rebuilt from the stored anchor."""
+    """Starts jobs. Drop unmapped rows, last row per key, GPS jumps nulled, mileage rebuilt from the stored anchor."""
     mapped = fleet_file_samples(sheet, vehicle).where("veh_id is not null and timestamp is not null")
-    unique = keep_last(mapped, TEL_KEY, F.col("row_no").desc())
+    unique = _landed(keep_last(mapped, TEL_KEY, F.col("row_no").desc()))
     anchors = asof_anchor(unique, stored).select("veh_id", "anchor")
     rebuilt = monotonic_mileage(null_gps_jumps(unique), anchors=anchors)
     return _located(rebuilt.drop("gps_outlier", "mileage_raw", "row_no"))
@@ -114,8 +121,8 @@ def sheet_samples(sheet: DataFrame, vehicle: DataFrame) -> DataFrame:
 
 
 def load_sheet(sheet: DataFrame, vehicle: DataFrame) -> DataFrame:
-    """Doubled readings repaired, rows without a valid position or with bad ranges dropped, last row per key."""
-    repaired = repair_doubled(sheet_samples(sheet, vehicle)).where("kept")
+    """Starts jobs. Doubled readings repaired, rows without a valid position or with bad ranges dropped, last row per key."""
+    repaired = repair_doubled(_landed(sheet_samples(sheet, vehicle))).where("kept")
     rules = {k: v for k, v in sample_rules().items() if k in ("bad_speed", "bad_soc")}
     good = passing(with_position(repaired), rules)
     return _located(
