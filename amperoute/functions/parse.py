@@ -16,6 +16,7 @@ _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _FIRST_NUMBER = r"-?\d[\d,]*(?:\.\d+)?"
 _CLOCK = r"^(?:(\d+) days?,? +)?(\d+):(\d{1,2}):(\d{1,2}(?:\.\d+)?)$"
 _ZONE = r"(?:Z|UTC|[+-]\d{2}:?\d{2})$"
+# The station-level code and the note its rows carry.
 STATION_CODE = "C03"
 STATION_NOTE = "[Station-level C03]"
 

@@ -13,6 +13,7 @@ blocks settles in about log4(n) rounds. Only block-level states are kept between
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Callable, Iterator, Sequence
 
@@ -329,29 +330,32 @@ def _doubling_fold(key: str, tolerance: float) -> BatchFold:
         return abs(a - b) <= tolerance * max(abs(b), 1e-9)
 
     def fold(batch: Columns, carry):
-        keys, runs, miles, socs = (batch[c] for c in (key, "run", "mileage", "soc"))
-        entry_m, entry_s = batch["entry_m"], batch["entry_s"]
+        # plain Python numbers: scalar steps on arrays are several times slower
+        keys, runs, miles, socs, entry_m, entry_s = (
+            batch[c].tolist() for c in (key, "run", "mileage", "soc", "entry_m", "entry_s")
+        )
         n = len(keys)
-        keep = np.zeros(n, dtype=bool)
-        fixed_m, fixed_s = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
-        new_m, new_s = miles.copy(), socs.copy()
-        state_m, state_s = np.empty(n), np.empty(n)
-        at = (carry[0], carry[1]) if carry is not None else None
-        pm, ps = (carry[2], carry[3]) if carry is not None else (np.nan, np.nan)
+        keep, fixed_m, fixed_s = [True] * n, [False] * n, [False] * n
+        new_m, new_s, state_m, state_s = miles[:], socs[:], miles[:], socs[:]
+        at_key, at_run, pm, ps = carry if carry is not None else (None, None, math.nan, math.nan)
+        lowest = 1.0 - tolerance
         for i in range(n):
-            here = (keys[i], runs[i])
-            if here != at:
-                at, pm, ps = here, entry_m[i], entry_s[i]
+            if runs[i] != at_run or keys[i] != at_key:
+                at_key, at_run, pm, ps = keys[i], runs[i], entry_m[i], entry_s[i]
             m, s = miles[i], socs[i]
             if pm == pm and near(m - pm, pm):
                 m, fixed_m[i] = m / 2.0, True
             if ps == ps and s == s and near(s, 2.0 * ps):
                 s, fixed_s[i] = s / 2.0, True
-            dropped = m < 0 or (pm == pm and m < pm * (1.0 - tolerance)) or s < 0 or s > 1
-            if not dropped:
-                keep[i], new_m[i], new_s[i] = True, m, s
+            if m < 0 or m < pm * lowest or s < 0 or s > 1:  # comparisons with NaN are false
+                keep[i] = False
+            else:
                 pm, ps = m, s
+                new_m[i], new_s[i] = m, s
             state_m[i], state_s[i] = pm, ps
+        keep, fixed_m, fixed_s, new_m, new_s, state_m, state_s = (
+            np.array(x) for x in (keep, fixed_m, fixed_s, new_m, new_s, state_m, state_s)
+        )
         out = {"kept": keep, "mileage_fixed": fixed_m, "soc_fixed": fixed_s, "mileage_new": new_m, "soc_new": new_s}
         return out, {"m": state_m, "s": state_s}, (keys[-1], runs[-1], pm, ps)
 

@@ -445,12 +445,12 @@ add("q22_telematics_sheet", "veh_tel vehicle", f"""select u.veh_id, u.{TS}, cast
     ("utc", f"""select r.* replace ({_SHEET_UTC} as {TS}, {r('soc * 100 / 100', 4)} as soc, case when r.id % 401 = 1 then 95.5 else latitude end as latitude)
         from raw r join vehicle v on v.id = r.veh_id"""),
     *_doubled("utc", f"{TS}, id"), recursive=True)
-_FEL_SOC = "case when id % 71 = 2 then 120.5 when id % 71 = 3 then -0.5 else soc * 100 end"
+_UNIT_SOC = "case when id % 71 = 2 then 120.5 when id % 71 = 3 then -0.5 else soc * 100 end"
 add("q22_vehicle_files", "veh_tel vehicle", f"""select {TS}, cast(null as double) as elevation, speed, mileage,
     {r("case when sv is null then null when sv > 1.000001 then least(sv / 100, 1) when sv < 0 then 0 else least(sv, 1) end", 4)} as soc,
     case when id % 9 = 0 then null else id / 8 end as key_on_time, latitude, longitude, veh_id from f
     qualify row_number() over (partition by veh_id, {TS} order by id) = 1""",
-    ("f", f"select * replace ({_HOUR} + interval 5 hour as {TS}), {_FEL_SOC} as sv from veh_tel where veh_id in (select id from vehicle)"))
+    ("f", f"select * replace ({_HOUR} + interval 5 hour as {TS}), {_UNIT_SOC} as sv from veh_tel where veh_id in (select id from vehicle)"))
 
 _DUR = "(case when r.id % 10 = 0 then (tot_ref_dura / 1440) * 1440 else tot_ref_dura end)"
 _PLUG = "join charger c on c.charger = concat('CH', cast(cast(floor(charger_id / 4) as bigint) as string), '-', cast(charger_id % 4 as string))"
