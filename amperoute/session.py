@@ -7,10 +7,23 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# Fixed value: the JVM compiles no method above this many bytecodes.
+_COMPILED_METHOD_BYTES = "8000"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Fix the session zone: stored instants are UTC wall clocks without a zone."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Session settings the queries rely on.
+
+    Stored instants are UTC wall clocks, so the session zone is UTC. Wide parsing stages generate methods too
+    large for the JVM to compile; above the limit Spark's split form is used instead, which it does compile.
+    """
+    wanted = {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.codegen.hugeMethodLimit": _COMPILED_METHOD_BYTES,
+    }
+    for name, value in wanted.items():
+        if spark.conf.get(name, None) != value:
+            spark.conf.set(name, value)
     return spark
 
 

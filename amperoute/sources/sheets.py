@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..functions.staging import evaluated
 from .views import Tables
 
 _NAME = "concat('Customer#', lpad(cast({} as string), 9, '0'))"
 
 
+def _written(df: DataFrame, *columns: str) -> DataFrame:
+    """Text columns that, like a file's, exist before anything reads them."""
+    return evaluated(df.selectExpr(*columns))
+
+
 def _clock(column: str, layout: str = "yyyy-MM-dd HH:mm:ss") -> str:
     return f"date_format({column}, '{layout}')"
 
 
 def report_sheet(t: Tables) -> DataFrame:
-    return t.veh_tel.selectExpr(
+    return _written(
+        t.veh_tel,
         "concat(' VIN', veh_id, ' ') as `Vehicle ID `",
         _clock("timestamp", "yyyy-MM-dd HH:00:00") + " as `Date/Time`",
         "case when id % 401 = 1 then '95.5' else string(latitude) end as Latitude",
@@ -28,11 +35,13 @@ def report_sheet(t: Tables) -> DataFrame:
 
 
 def serial_codes(t: Tables) -> DataFrame:
-    return t.vehicle.selectExpr("concat('VIN', id) as vin", "fleet_vehicle_id")
+    return _written(
+        t.vehicle,"concat('VIN', id) as vin", "fleet_vehicle_id")
 
 
 def fleet_file(t: Tables) -> DataFrame:
-    return t.veh_tel.selectExpr(
+    return _written(
+        t.veh_tel,
         _clock("timestamp", "M/d/yyyy") + " as Date",
         _clock("timestamp", "H:00:00") + " as `Time(EST)`",
         f"case when id % 503 = 0 then 'unknown' else {_NAME.format('veh_id')} end as `Asset No.`",
@@ -45,7 +54,8 @@ def fleet_file(t: Tables) -> DataFrame:
 
 
 def telematics_sheet(t: Tables) -> DataFrame:
-    return t.veh_tel.selectExpr(
+    return _written(
+        t.veh_tel,
         _clock("timestamp", "yyyy-MM-dd HH:00:00") + " as `Data Timestamp`",
         f"{_NAME.format('veh_id')} as `Vehicle ID`",
         "string(speed) as Speed",
@@ -60,7 +70,8 @@ def telematics_sheet(t: Tables) -> DataFrame:
 
 
 def vehicle_files(t: Tables) -> DataFrame:
-    return t.veh_tel.selectExpr(
+    return _written(
+        t.veh_tel,
         f"{_NAME.format('veh_id')} as code",
         "'unit' as name",
         "concat(" + _clock("timestamp", "yyyy-MM-dd HH:00:00") + ", '-05:00') as timeStamp",
@@ -83,7 +94,8 @@ _DURATION = (
 
 def utc_sessions(t: Tables) -> DataFrame:
     name = _NAME.format("veh_id")
-    return t.refuel_inf.selectExpr(
+    return _written(
+        t.refuel_inf,
         "concat(' CH', bigint(floor(charger_id / 4)), ' ') as `Serial Number`",
         "string(charger_id % 4) as `Connector Number`",
         f"case when id % 6 = 0 then null when id % 6 = 1 then ' ?' else concat(lower({name}), ' ?') end as `Tractor ID`",
@@ -98,7 +110,8 @@ def utc_sessions(t: Tables) -> DataFrame:
 
 
 def local_sessions(t: Tables) -> DataFrame:
-    return t.refuel_inf.selectExpr(
+    return _written(
+        t.refuel_inf,
         "concat('CH', bigint(floor(charger_id / 4)), ':box') as `Charger ID`",
         "string(charger_id % 4) as Port",
         f"{_NAME.format('veh_id')} as `Vehicle ID`",
@@ -114,7 +127,8 @@ def local_sessions(t: Tables) -> DataFrame:
 
 
 def session_list(t: Tables) -> DataFrame:
-    return t.refuel_inf.selectExpr(
+    return _written(
+        t.refuel_inf,
         "concat(' CH', bigint(floor(charger_id / 4)), '-', charger_id % 4) as Connector",
         f"case when id % 12 = 7 then null else concat({_NAME.format('veh_id')}, ' :sha256:', id) end as `Vehicle ID `",
         _clock("connect_time") + " as `Session start (America/New_York)`",
@@ -128,7 +142,8 @@ def session_list(t: Tables) -> DataFrame:
 
 
 def maintenance_sheet(t: Tables) -> DataFrame:
-    return t.maintenance.selectExpr(
+    return _written(
+        t.maintenance,
         f"case when veh_id is null then 'yard' else {_NAME.format('veh_id')} end as `Vehicle ID`",
         "maint_categ as Category",
         "maint_loc as Location",
@@ -154,7 +169,8 @@ def maintenance_workbook(t: Tables, asset: str) -> DataFrame:
         "case when charger_id is null then 'C03' when id % 36 = 0 then 'C99' "
         "else concat('CH', bigint(floor(charger_id / 4)), '-', charger_id % 4) end"
     )
-    return mine.selectExpr(
+    return _written(
+        mine,
         f"concat(' ', {code}) as `Vehicle ID (unique identifier)`",
         "case when id % 4 = 0 then concat(' repair: axle ', id) when id % 4 = 1 then 'repair:' "
         "when id % 4 = 2 then ' ' else maint_categ end as `Maintenance category (identify all\n that apply)`",
@@ -176,7 +192,8 @@ def maintenance_workbook(t: Tables, asset: str) -> DataFrame:
 
 def trip_report(t: Tables) -> DataFrame:
     """Trips from sessions: the sheet's rows have a unique place."""
-    return t.refuel_inf.selectExpr(
+    return _written(
+        t.refuel_inf,
         "concat('VIN', bigint(floor(veh_id / 100))) as `Vehicle ID`",
         "case when id % 31 = 0 then null else string(id % 7) end as Trip",
         _clock("connect_time", "M/d/yyyy") + " as Date",
@@ -193,7 +210,8 @@ def trip_report(t: Tables) -> DataFrame:
 
 
 def daily_trips(t: Tables) -> DataFrame:
-    return t.refuel_inf.selectExpr(
+    return _written(
+        t.refuel_inf,
         f"concat({_NAME.format('bigint(floor(veh_id / 100))')}, ' ') as `Vehicle ID`",
         _clock("connect_time", "yyyy-MM-dd") + " as Date",
         "case when id % 31 = 0 then null else string(id % 7) end as `Trip Nbr`",
@@ -211,7 +229,8 @@ def daily_trips(t: Tables) -> DataFrame:
 
 
 def daily_summary(t: Tables) -> DataFrame:
-    return t.refuel_inf.selectExpr(
+    return _written(
+        t.refuel_inf,
         f"{_NAME.format('bigint(floor(veh_id / 100))')} as sheet",
         "case when id % 97 = 0 then 'Grand Total' else " + _clock("connect_time", "yyyy-MM-dd") + " end as Day",
         "string(id % 7) as `Total Trips in  Day`",
@@ -229,7 +248,8 @@ def daily_summary(t: Tables) -> DataFrame:
 
 
 def payload_sheets(t: Tables) -> DataFrame:
-    return t.veh_trip.selectExpr(
+    return _written(
+        t.veh_trip,
         f"{_NAME.format('veh_id')} as sheet",
         "string(date) as ` (2) Date (yyyy-mm-dd)`",
         "case when id % 13 = 0 then 'n/a' when id % 13 = 1 then '-20' else string(init_odo / 4) end "
