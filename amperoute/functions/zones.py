@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .measures import hour_floor
@@ -17,12 +17,21 @@ def _hour() -> Column:
     return F.expr("interval 1 hour")
 
 
+def _in_utc_session() -> bool:
+    session = SparkSession.getActiveSession()
+    return session is not None and session.conf.get("spark.sql.session.timeZone") == "UTC"
+
+
 def utc_to_local(ts: Column, tz: str = LOCAL_TZ) -> Column:
-    """C8."""
+    """C8. In a UTC session the zoned functions serve, which look the zone up once per query, not per row."""
+    if _in_utc_session():
+        return F.from_utc_timestamp(ts.cast("timestamp"), tz).cast("timestamp_ntz")
     return F.convert_timezone(F.lit("UTC"), F.lit(tz), ts)
 
 
 def _raw_utc(local: Column, tz: str) -> Column:
+    if _in_utc_session():
+        return F.to_utc_timestamp(local.cast("timestamp"), tz).cast("timestamp_ntz")
     return F.convert_timezone(F.lit(tz), F.lit("UTC"), local)
 
 
