@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets, sharding
+from . import packing, quality, secrets, sharding, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +22,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_token_counts(spark, folder):
+    counted = token_count.count_tokens(table(spark, folder, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.tiktoken"))
+    return counted.select("row.doc_id", "n_words", "n_tokens")
+
+
+@query
+def op3_hierarchical_packing(spark, folder):
+    pieces = packing.pack(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 @query
 def op7_extendible_shards(spark, folder):
     return sharding.shards(table(spark, folder, "documents"))
