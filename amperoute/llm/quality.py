@@ -1,6 +1,6 @@
 """Quality rules: rule counts of every text, and a hashed n-gram log-likelihood ratio.
 
-Words, word pairs and word endings of a text are hashed into a fixed number of buckets. Two multinomials over
+Words and word endings (character trigrams) of a text are hashed into a fixed number of buckets. Two multinomials over
 the buckets are counted: one over all documents (raw), one over trusted documents (target). A text's score is
 the mean over its n-grams of log(target share / raw share); texts below a fixed threshold are rejected.
 
@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 
 from .rows import ROW, SPACE, packed, words_of
 
-# Buckets per kind of n-gram (words, pairs, endings): with 3 kinds the ratio table is 3 * 8 * 2^14 bytes at any size.
-BUCKETS = 1 << 14
-KINDS = 3
+# Buckets of hashed words and word endings: the ratio table is 8 * 2^15 bytes at any size of the input.
+BUCKETS = 1 << 15
 # Trusted documents that the target is counted on, at most (those with the smallest hashed ids).
 TRUSTED_DOCS = 20_000
 # Mean log ratio per n-gram below which a text is rejected.
@@ -26,21 +25,30 @@ THRESHOLD = -0.3
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW_WORDS = 8
-SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
+SYMBOLS = "[#*$%&|<>]"
 
 
-def _with_windows(rows: DataFrame) -> DataFrame:
-    """``windows``: one hash per window of consecutive ``words``, in order."""
-    rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    starts = F.sequence(F.lit(0), F.size("hashes") - WINDOW_WORDS)
-    window = F.transform(starts, lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(WINDOW_WORDS)]))
-    none = F.array().cast("array<bigint>")
-    return rows.withColumn("windows", F.when(F.size("hashes") >= WINDOW_WORDS, window).otherwise(none)).drop("hashes")
+def _pairs(hashes: str, apart: int):
+    """A hash of each element with the one ``apart`` places on; shorter by that number."""
+    rest = F.slice(hashes, F.lit(apart + 1), F.greatest(F.size(hashes) - apart, F.lit(0)))
+    return F.zip_with(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - apart, F.lit(0))), rest, lambda x, y: F.xxhash64(x, y))
+
+
+def _grams(word: Column, buckets: int) -> tuple[Column, Column]:
+    """Buckets of a word's n-grams: itself and its last three characters."""
+    whole, ending = F.xxhash64(word), F.xxhash64(F.lit("ending"), F.substring(word, -3, 3))
+    return tuple(F.pmod(h, F.lit(buckets)).cast("int") for h in (whole, ending))
 
 
 def _with_repeats(rows: DataFrame) -> DataFrame:
-    """``n_repeat_words``: words inside windows that occur twice or more. Equal windows meet by sorting (hash, start)."""
+    """``n_repeat_words``: words inside windows that occur twice or more. Equal windows meet by sorting (hash, start).
+
+    The hash of eight words is made from pairs of pairs of pairs.
+    """
+    nothing = F.array().cast("array<bigint>")
+    rows = rows.withColumn("fours", _pairs("doubles", 2)).drop("doubles")
+    again = F.size(F.array_distinct("fours")) < F.size("fours")
+    rows = rows.withColumn("windows", F.when(again, _pairs("fours", 4)).otherwise(nothing)).drop("fours")
     none = F.array().cast("array<struct<h:bigint,i:int>>")
     placed = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     rows = rows.withColumn("placed", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), placed).otherwise(none))
@@ -54,33 +62,20 @@ def _with_repeats(rows: DataFrame) -> DataFrame:
 
 
 def rule_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``row`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long), ``words``, base_failed."""
+    """``row`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long), base_failed, ``words``."""
     body = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(f"[^{SPACE}]"))
     rows = packed(docs, text=text).withColumn("words", words_of(F.col("text"))).withColumn("lines", lines)
     rows = rows.select(
         ROW, "words",
+        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate(body, BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     )
-    counted = _with_repeats(_with_windows(rows))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return counted.withColumn("base_failed", failed)
-
-
-def _grams(words: Column, buckets: int) -> Column:
-    """Bucket numbers of all words, word pairs and word endings of a text."""
-    def bucket(kind, *parts):
-        return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int") + kind * buckets
-
-    rest = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
-    return F.concat(
-        F.transform(words, lambda w: bucket(0, w)),
-        F.zip_with(F.slice(words, F.lit(1), F.size(rest)), rest, lambda a, b: bucket(1, a, b)),
-        F.transform(words, lambda w: bucket(2, F.right(w, F.lit(3)))),
-    )
+    return _with_repeats(rows.withColumn("doubles", _pairs("hashes", 1)).drop("hashes")).withColumn("base_failed", failed)
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
@@ -91,29 +86,43 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str
     """
     ids = trusted.select(F.col(f"`{key}`").alias("key")).where("key is not null").distinct()
     ids = ids.orderBy(F.xxhash64("key"), "key").limit(trusted_docs).withColumn("is_target", F.lit(1))
-    grams = packed(docs, text=text, key=key).select("key", F.explode(_grams(words_of(F.col("text")), buckets)).alias("bucket"))
-    # One partial sum per (bucket, trusted or not) and task leaves the scan.
-    counts = (
-        grams.join(F.broadcast(ids), "key", "left").groupBy("bucket")
-        .agg(F.count("*").alias("raw"), F.count("is_target").alias("target"))
-    )
-    every = docs.sparkSession.range(buckets * KINDS).select(F.col("id").cast("int").alias("bucket"))
+    words = docs.select(F.col(f"`{key}`").alias("key"), words_of(F.col(f"`{text}`")).alias("words"))
+    words = words.join(F.broadcast(ids), "key", "left").select("is_target", F.explode("words").alias("word"))
+    grams = words.select("is_target", F.explode(F.array(*_grams(F.col("word"), buckets))).alias("bucket"))
+    # One partial sum per bucket and task leaves the scan.
+    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("is_target").alias("target"))
+    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     full = every.join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
     placed = full.agg(F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("b"), F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    share = lambda n, total: (n + 1.0) / (F.col(total) + F.lit(buckets * KINDS))
+    share = lambda n, total: (n + 1.0) / (F.col(total) + F.lit(buckets))
     ratio = F.transform("b", lambda x: F.log(share(x["target"], "target") / share(x["raw"], "raw")))
     return placed.select(F.when(F.col("target") > 0, ratio).otherwise(F.transform("b", lambda x: F.lit(0.0))).alias("ratios"))
 
 
-def judge(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
-    """``row``, the rule counts, ``score`` (mean log ratio per n-gram) and ``kept`` for every row.
+def verdicts(docs: DataFrame, trusted: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
+    """The ``carry`` columns (small ones; they become keys of the sum), the rule counts, ``score`` (mean log ratio per
+    n-gram) and ``kept``, for every row.
 
-    The ratio table has a fixed size, so it is fetched once and becomes a constant of the scoring plan (a
-    subquery may not stand inside the fold).
+    The ratio table has a fixed size, so it is fetched once and becomes a constant of the scoring plan. A text's
+    words are summed in the task that split them; one row per document leaves it.
     """
     table = log_ratios(docs, trusted, text, key, buckets, trusted_docs).first()["ratios"]
     ratios = F.split(F.lit(" ".join(map(repr, table))), " ").cast("array<double>")
-    total = F.aggregate("grams", F.lit(0.0), lambda a, b: a + F.get(ratios, b))
-    scored = rule_counts(docs, text).withColumn("grams", _grams(F.col("words"), buckets))
-    scored = scored.withColumn("score", F.when(F.size("grams") == 0, F.lit(0.0)).otherwise(total / F.size("grams")))
-    return scored.drop("grams", "words").withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    kept = F.struct(*[F.col(f"{ROW}.`{c}`") for c in carry]).alias("carried")
+    # The number of a row only keeps the rows of one scan apart; it is never compared with another scan's.
+    rows = rule_counts(docs, text).select(F.monotonically_increasing_id().alias("n"), kept, *counts, "words")
+    rows = rows.select("n", "carried", *counts, F.explode_outer("words").alias("word"))
+    word, ending = (F.get(ratios, b) for b in _grams(F.col("word"), buckets))
+    summed = rows.groupBy("n", "carried", *counts).agg(F.sum(word + ending).alias("total"))
+    score = F.when(F.col("n_words") == 0, F.lit(0.0)).otherwise(F.col("total") / (2 * F.col("n_words")))
+    scored = summed.select("carried.*", *counts, score.alias("score"))
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+
+
+def kept_rows(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` that are kept. Equal rows are judged alike, so a hash of the whole row names the rejected."""
+    mark = "__row_hash"
+    marked = docs.withColumn(mark, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    judged = verdicts(marked, trusted, (mark,), text, key, **options)
+    return marked.join(judged.where(~F.col("kept")).select(mark).distinct(), mark, "left_anti").drop(mark)

@@ -48,8 +48,7 @@ def op7_extendible_shards(spark, folder):
 @query
 def op8_quality_rules(spark, folder):
     trusted = table(spark, folder, "labels").where("quality = 1").select("doc_id")
-    judged = quality.judge(table(spark, folder, "documents"), trusted)
-    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    return quality.verdicts(table(spark, folder, "documents"), trusted)
 
 
 @query

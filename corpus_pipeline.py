@@ -16,7 +16,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality rules keep."""
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
-    return quality.judge(docs, trusted).where("kept").select("row.*")
+    return quality.kept_rows(docs, trusted)
 
 
 STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules)]
