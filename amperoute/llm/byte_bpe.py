@@ -28,30 +28,27 @@ from .rows import packed, run_token, travels, worker_cache
 travels(__name__)
 
 # Entries that each of a worker's stores holds at most, words per recursive query, and the engine's memory.
-CACHED = 400_000
+CACHED = 500_000
 QUERY_WORDS = 40_000
 ENGINE_MB = 300
 
 MERGE_SQL = """
 with recursive step as (
-    select word, pos, token, false as done from symbols
+    select word, list(token order by pos) as tokens, false as done from symbols group by word
   union all (
-    with paired as (
-        select word, pos, token, lead(token) over near as next_token, lead(pos) over near as next_pos
-        from step where not done window near as (partition by word order by pos)),
-    ranked as (
-        select p.word, p.pos, p.token, p.next_pos, m.merged
-        from paired p left join merges m on m.left_token = p.token and m.right_token = p.next_token),
+    with positions as (
+        select word, tokens, unnest(generate_series(1, len(tokens) - 1)) as pos from step where not done),
     best as (
         -- a merged token's id is its rank: the lowest id is the lowest rank, the lowest position the leftmost pair
-        select word, min((merged::bigint << 32) | pos) as choice, arg_min(next_pos, (merged::bigint << 32) | pos) as gone
-        from ranked group by word)
-    select r.word, r.pos,
-           case when b.choice & 4294967295 = r.pos then (b.choice >> 32)::int else r.token end as token,
-           b.choice is null as done
-    from ranked r join best b using (word)
-    where b.gone is null or r.pos <> b.gone))
-select word, token from step where done order by word, pos
+        select p.word, min((m.merged::bigint << 32) | p.pos) as choice
+        from positions p join merges m on m.left_token = p.tokens[p.pos] and m.right_token = p.tokens[p.pos + 1]
+        group by p.word)
+    select s.word,
+           case when b.choice is null then s.tokens
+                else s.tokens[:(b.choice & 4294967295) - 1] || [(b.choice >> 32)::int] || s.tokens[(b.choice & 4294967295) + 2:] end,
+           b.choice is null
+    from step s left join best b using (word) where not s.done))
+select word, tokens from step where done order by word
 """
 
 DECODE_SQL = """
@@ -59,6 +56,20 @@ select s.run, string_agg(v.bytes, '' order by s.pos) as text
 from spans s join vocabulary v on v.token = s.token group by s.run order by s.run
 """
 
+# White space that str.split(" ") leaves inside its parts; next to a space it changes how words are cut.
+COMMON_BLANKS = "\t\n\r"
+RARE_ASCII_BLANKS = "\x0b\x0c\x1c\x1d\x1e\x1f"
+OTHER_BLANKS = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+# New pieces decoded as one run.
+RUN_PIECES = 64
+
+
+def plainly_spaced(text: str) -> bool:
+    """Whether every space stands alone between two characters that are no white space."""
+    if text[0].isspace() or text[-1].isspace() or "  " in text or any(f" {c}" in text or f"{c} " in text for c in COMMON_BLANKS):
+        return False
+    return not any(c in text for c in RARE_ASCII_BLANKS) and (text.isascii() or not any(c in text for c in OTHER_BLANKS))
+
 
 class Codec:
     """Encodes and decodes with one rank file; stores of one worker for one run."""
@@ -72,7 +83,8 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.apart = regex.compile(r"(?<=\S) (?=\S)").split
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.texts: dict[bytes, bytes] = {}
         self.engine = duckdb.connect(config={"threads": 1, "memory_limit": f"{ENGINE_MB}MB"})
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
@@ -80,6 +92,8 @@ class Codec:
         self._table("merges", pa.table(columns, ["left_token", "right_token", "merged"]))
         # Bytes as characters of the same number, which the engine can concatenate as text.
         self._table("vocabulary", pa.table({"token": pa.array(self.ranks.values(), pa.int32()), "bytes": [t.decode("latin-1") for t in self.ranks]}))
+        self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        self.sizes[list(self.ranks.values())] = list(map(len, self.ranks))
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
 
     def _table(self, name: str, rows: pa.Table) -> None:
@@ -88,27 +102,26 @@ class Codec:
         self.engine.unregister("given")
 
     def _pieces(self, text: str) -> list[str]:
-        """Cuts at single spaces between two characters that are no white space, each space staying with what
-        follows: no word of the pattern spans such a place, so the pieces can be matched one by one."""
-        head, *rest = self.apart(text)
-        return [head, *[" " + r for r in rest]]
+        """The parts between lone spaces; no word of the pattern spans such a place, and the space belongs to what
+        follows, so the parts can be matched one by one."""
+        return text.split(" ") if plainly_spaced(text) else self.apart(text)
 
     def segments(self, texts: list[str | None]) -> list[list[bytes]]:
-        """Per text the ids (little-endian 32-bit) of its successive pieces."""
-        if len(self.chunks) > CACHED:
-            self.chunks.clear()
-        if len(self.words) > CACHED:
-            self.words.clear()
+        """Per text the ids (little-endian 32-bit) of its successive parts."""
+        for store in (self.heads, self.tails, self.words):
+            if len(store) > CACHED:
+                store.clear()
         split = [self._pieces(t) if t else [] for t in texts]
-        found = [list(map(self.chunks.get, pieces)) for pieces in split]
+        found = [[self.heads.get(p[0]), *map(self.tails.get, p[1:])] if p else [] for p in split]
         short = [k for k, ids in enumerate(found) if None in ids]
-        new = list({c for k in short for c, ids in zip(split[k], found[k], strict=True) if ids is None})
-        cut = [self.find(c) for c in new]
-        self._learn(list({w for words in cut for w in words if w not in self.words}))
-        for chunk, words in zip(new, cut, strict=True):
-            self.chunks[chunk] = b"".join(map(self.words.__getitem__, words))
+        new = {(at > 0, c) for k in short for at, (c, ids) in enumerate(zip(split[k], found[k], strict=True)) if ids is None}
+        cut = {(tail, c): self.find(f" {c}" if tail else c) for tail, c in new}
+        self._learn(list({w for words in cut.values() for w in words if w not in self.words}))
+        for (tail, c), words in cut.items():
+            (self.tails if tail else self.heads)[c] = b"".join(map(self.words.__getitem__, words))
         for k in short:
-            found[k] = list(map(self.chunks.__getitem__, split[k]))
+            p = split[k]
+            found[k] = [self.heads[p[0]], *map(self.tails.__getitem__, p[1:])]
         return found
 
     def _learn(self, words: list[str]) -> None:
@@ -124,27 +137,33 @@ class Codec:
             word = np.repeat(np.arange(len(some), dtype=np.int32), sizes)
             pos = np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             self.engine.register("symbols", pa.table({"word": word, "pos": pos.astype(np.int32), "token": self.byte_ids[letters]}))
-            out = self.engine.execute(MERGE_SQL).fetchnumpy()
+            out = self.engine.sql(MERGE_SQL).to_arrow_table().column("tokens").combine_chunks()
             self.engine.unregister("symbols")
-            ids = np.asarray(out["token"]).astype("<u4").tobytes()
-            cuts = 4 * np.searchsorted(np.asarray(out["word"]), np.arange(len(some) + 1))
+            ids, cuts = out.values.to_numpy().astype("<u4").tobytes(), 4 * out.offsets.to_numpy()
             self.words.update((words[k], ids[a:b]) for k, a, b in zip(some, cuts[:-1], cuts[1:], strict=True))
 
     def decode(self, runs: list[bytes]) -> list[bytes]:
-        """The bytes that each run of ids stands for."""
+        """The bytes that each run of ids stands for. New runs are decoded several at once and cut at their lengths."""
         if len(self.texts) > CACHED:
             self.texts.clear()
-        new = list({r for r in runs if r not in self.texts})
-        if new:
-            sizes = np.array([len(r) // 4 for r in new])
-            run = np.repeat(np.arange(len(new), dtype=np.int32), sizes)
-            pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            token = np.frombuffer(b"".join(new), "<u4").astype(np.int32)
-            self.engine.register("spans", pa.table({"run": run, "pos": pos.astype(np.int32), "token": token}))
-            out = dict(self.engine.execute(DECODE_SQL).fetchall())
-            self.engine.unregister("spans")
-            self.texts.update((r, out.get(k, "").encode("latin-1")) for k, r in enumerate(new))
-        return list(map(self.texts.__getitem__, runs))
+        found = list(map(self.texts.get, runs))
+        if None in found:
+            new = list({r for r, text in zip(runs, found, strict=True) if text is None})
+            for at in range(0, len(new), QUERY_WORDS):
+                self._decode_new(new[at : at + QUERY_WORDS])
+            found = list(map(self.texts.__getitem__, runs))
+        return found
+
+    def _decode_new(self, new: list[bytes]) -> None:
+        token = np.frombuffer(b"".join(new), "<u4").astype(np.int32)
+        counts = np.array([len(r) // 4 for r in new])
+        run = np.repeat(np.arange(len(new), dtype=np.int32) // RUN_PIECES, counts)
+        pos = np.arange(len(token), dtype=np.int32)
+        self.engine.register("spans", pa.table({"run": run, "pos": pos, "token": token}))
+        decoded = "".join(t for _, t in self.engine.execute(DECODE_SQL).fetchall()).encode("latin-1")
+        self.engine.unregister("spans")
+        ends = np.concatenate([[0], np.cumsum(self.sizes[token])])[np.cumsum(counts)]
+        self.texts.update((r, decoded[a:b]) for r, a, b in zip(new, [0, *ends[:-1]], ends, strict=True))
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
