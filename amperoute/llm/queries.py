@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, extraction, packing, quality, secrets, sharding, token_count
+from . import byte_bpe, extraction, near_duplicates, neighbours, packing, quality, secrets, sharding, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,12 +34,22 @@ def op1_token_counts(spark, folder):
     return counted.select("row.doc_id", "n_words", "n_tokens")
 
 
+@query
+def op2_nearest_neighbours(spark, folder):
+    return neighbours.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op3_hierarchical_packing(spark, folder):
     pieces = packing.pack(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@query
+def op5_near_duplicates(spark, folder):
+    return near_duplicates.link(table(spark, folder, "documents"))
+
+
 @query
 def op6_main_text(spark, folder):
     found = extraction.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
