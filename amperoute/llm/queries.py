@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, extraction, near_duplicates, neighbours, packing, quality, secrets, sharding, token_count
+from . import byte_bpe, extraction, language_model, near_duplicates, neighbours, packing, quality, secrets, sharding, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,6 +45,14 @@ def op3_hierarchical_packing(spark, folder):
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@query
+def op4_language_model(spark, folder):
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return language_model.score(docs, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).select("row.doc_id", "*").drop("row")
+
+
 @query
 def op5_near_duplicates(spark, folder):
     return near_duplicates.link(table(spark, folder, "documents"))
