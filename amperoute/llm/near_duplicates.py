@@ -384,3 +384,13 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("copies", F.lit(1).cast("long")).alias("copies"),
     )
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is its component's: one document of each group, that with the smallest id.
+
+    Rows without words stay, and so do rows without an id, which cannot be named; repeated rows of a kept id all stay.
+    """
+    linked_ = link(docs, text, key)
+    gone = linked_.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[key] == gone["__gone"], "left_anti")
