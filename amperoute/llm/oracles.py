@@ -1,3 +1,72 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from __future__ import annotations
+
+from . import secrets, sharding
+
 ORACLES: dict[str, str] = {}
+
+ORACLES["op5_near_duplicates"] = r"""
+with recursive split as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+    select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_sort(list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')))) end as s from split),
+classes as (select s, min(doc_id) as rep, count(*) as copies from sets where len(s) > 0 group by s),
+grams as (select rep, len(s) as n, unnest(s) as g from classes),
+pairs as (
+    select a.rep as x, b.rep as y, any_value(a.n) as n, any_value(b.n) as m, count(*) as common
+    from grams a join grams b on a.g = b.g and a.rep < b.rep group by a.rep, b.rep),
+links as (select x, y from pairs where 100 * common >= 75 * (n + m - common)),
+edges as (select x, y from links union all select y, x from links),
+reach as (select rep as node, rep as root from classes union select e.y, r.root from reach r join edges e on e.x = r.node),
+roots as (select node, min(root) as root from reach group by node)
+select d.doc_id, len(d.s)::bigint as n_shingles,
+       case when len(d.s) = 0 then d.doc_id else r.root end as component_id, coalesce(c.copies, 1)::bigint as copies
+from sets d left join classes c on c.s = d.s left join roots r on r.node = c.rep
+"""
+
+ORACLES["op7_extendible_shards"] = f"""
+with entries as (
+    select doc_id, ('0x' || substr(md5(coalesce(doc_id::varchar, '-') || ':' || coalesce(text, '') || case when text is null then '-' else '+' end), 1, {sharding.BITS // 4}))::bigint as hash,
+           coalesce(strlen(text), 0)::bigint as n_bytes from documents),
+levels as (select unnest(generate_series(0, 30)) as depth),
+nodes as (select l.depth, e.hash >> ({sharding.BITS} - l.depth) as prefix, sum(e.n_bytes)::bigint as bytes from entries e, levels l group by all),
+placed as (
+    select e.doc_id, e.n_bytes, e.hash, min(n.depth) as depth
+    from entries e join nodes n on n.prefix = e.hash >> ({sharding.BITS} - n.depth) and n.bytes <= {sharding.LIMIT_BYTES} group by all)
+select p.doc_id, p.n_bytes,
+       case when p.depth = 0 then '' else right(lpad(bin(p.hash >> ({sharding.BITS} - p.depth)), 64, '0'), p.depth) end as shard,
+       p.depth::int as depth, n.bytes as shard_bytes, p.n_bytes > {sharding.LIMIT_BYTES} as oversize
+from placed p join nodes n on n.depth = p.depth and n.prefix = p.hash >> ({sharding.BITS} - p.depth)
+"""
+
+
+def _spans_sql() -> str:
+    def spans(order: int, rule: secrets.Rule) -> str:
+        pattern = rule.pattern.replace("'", "''")
+        if rule.group == 0 and pattern.endswith("]+"):  # a run that is too short holds no longer run
+            pattern = pattern[:-1] + f"{{{max(rule.least - len(pattern.split('[')[0]), 1)},}}"
+        whole = f"regexp_extract_all(t, '{pattern}', 0)"
+        return f"""
+        select doc_id, {order} as kind, '{rule.name}' as name,
+               list_sum([len(x) for x in gaps[:i]])::bigint + coalesce(list_sum([len(x) for x in m[:i - 1]]), 0)::bigint as start, len(m[i]) as size
+        from (select doc_id, m, v, gaps, unnest(generate_series(1, len(m))) as i
+              from (select doc_id, {whole} as m, regexp_extract_all(t, '{pattern}', {rule.group}) as v, string_split_regex(t, '{pattern}') as gaps from d))
+        where len(v[i]) >= {rule.least}"""
+
+    union = " union all ".join(spans(order, rule) for order, rule in enumerate(secrets.RULES))
+    n_base = len(secrets.BASE)
+    listed = "string_agg(name || ':' || start || ':' || (start + size), ',' order by start, kind)"
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents), spans as ({union}),
+found as (
+    select doc_id, count(*) filter (kind = 0) as a, count(*) filter (kind = 1) as k, count(*) filter (kind = 2) as h,
+           {listed} filter (kind < {n_base}) as base, {listed} as every from spans group by doc_id)
+select d.doc_id, coalesce(a, 0)::bigint as n_assign, coalesce(k, 0)::bigint as n_access, coalesce(h, 0)::bigint as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(every, '') as spans
+from d left join found f using (doc_id)
+"""
+
+
+ORACLES["op9_secret_scans"] = _spans_sql()
