@@ -8,9 +8,9 @@ other: documents that link meet in a cell (pigeonhole). Cells are chosen rarest
 size, so that shared passages are joined on only where nothing else is left.
 
 1. Documents with equal sets form classes; only classes are joined.
-2. Classes that share a chosen cell form groups. Each group is first compared with its smallest member only. Members
-   of a group that are not connected afterwards are compared with each other, so no link is lost and a large group of
-   near copies costs no pairs.
+2. Classes that share a chosen cell form groups. Each group is first compared with its smallest member only, then a
+   few times with another one. Members of a group that are not connected afterwards are compared with all others of it,
+   by their sketches, so no link is lost and a large group of near copies makes no pairs.
 3. Candidates are rejected by size and by the Hamming distance of one-bit sketches, which bounds the difference from
    below; the rest are verified on the whole sets.
 
@@ -47,6 +47,10 @@ COUNT_BITS = 20
 COUNT_SLICE = 1 << 12
 # A group is joined in parts of about this many rows.
 PART_ROWS = 20_000
+# Rounds in which open groups are compared with one more of their members, before all that is left is compared.
+TURNS = 4
+# Members of one side that are compared in one piece of work.
+BLOCK_ROWS = 4_096
 # Classes that a worker remembers to have sent, at most.
 SEEN = 500_000
 
@@ -309,18 +313,84 @@ def stars(groups_: DataFrame) -> DataFrame:
     return inside.union(hubs.join(least, "group_id").select("a", "b")).where("a <> b").distinct()
 
 
-def unconnected(groups_: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): members of one group that no link connects so far and whose sizes allow one."""
+def open_members(groups_: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """(group_id, set_id, root, n, sketch) of the groups whose members are not all connected, three members at least:
+    in a group of two, the one pair has been compared."""
     labelled = groups_.select("group_id", "set_id").distinct().join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
     labelled = labelled.withColumn("root", F.coalesce("root", "set_id"))
-    open_ = labelled.groupBy("group_id").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("group_id")
-    members = labelled.join(open_, "group_id", "left_semi").join(classes.select("set_id", "n"), "set_id")
-    x, y = (members.select("group_id", *[F.col(c).alias(f"{c}_{side}") for c in ("set_id", "root", "n")]) for side in "ab")
-    near = x.join(y, "group_id").where(
-        (F.col("root_a") < F.col("root_b"))
-        & (SHARE[1] * F.least("n_a", "n_b") >= SHARE[0] * F.greatest("n_a", "n_b"))
-    )
-    return near.select(F.least("set_id_a", "set_id_b").alias("a"), F.greatest("set_id_a", "set_id_b").alias("b")).distinct()
+    open_ = labelled.groupBy("group_id").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high and size > 2")
+    return labelled.join(open_.select("group_id"), "group_id", "left_semi").join(classes.select("set_id", "n", "sketch"), "set_id")
+
+
+def further_stars(members: DataFrame, turn: int) -> DataFrame:
+    """(a, b): the members of an open group with another of them, picked by a hash, unless they are connected."""
+    order = F.struct(F.xxhash64("set_id", F.lit(turn)).alias("h"), F.col("set_id").alias("a"), F.col("root").alias("top"))
+    hubs = members.groupBy("group_id").agg(F.min(order).alias("hub")).select("group_id", "hub.a", "hub.top")
+    met = members.join(hubs, "group_id").where("root <> top")
+    return met.select(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
+
+
+def unconnected(members: DataFrame) -> DataFrame:
+    """(a, b): members of one group that no link connects so far and whose sizes and sketches allow one.
+
+    Members outside a group's largest component are compared with all others of the group, by blocks and by sketches
+    alone; only pairs that pass leave the task.
+    """
+    counts = members.groupBy("group_id", "root").agg(F.count("*").alias("n_root"))
+    group = counts.groupBy("group_id").agg(F.max(F.struct("n_root", "root")).alias("most"), F.sum("n_root").alias("size"))
+    group = group.select("group_id", F.col("most.root").alias("main"), F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks"))
+    placed = members.join(group, "group_id").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    columns = ["group_id", "set_id", "root", "n", "sketch"]
+    asked = placed.where("root <> main").select(*columns, F.col("own").alias("probe"), F.explode(every).alias("block"), F.lit(True).alias("asks"))
+    others = placed.select(*columns, F.explode(every).alias("probe"), F.col("own").alias("block"), F.lit(False).alias("asks"))
+    work = asked.unionByName(others).repartition("group_id", "probe", "block").sortWithinPartitions("group_id", "probe", "block")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if tail is None else pa.concat_tables([tail, pa.Table.from_batches([batch])])
+            keys_ = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("group_id", "probe", "block")], 1)
+            starts = np.flatnonzero(np.concatenate([[True], (keys_[1:] != keys_[:-1]).any(1)])) if len(keys_) else np.array([0])
+            for a, b in zip(starts[:-1], starts[1:]):
+                yield from _passing(rows.slice(a, b - a))
+            tail = rows.slice(starts[-1])
+        if tail is not None and tail.num_rows:
+            yield from _passing(tail)
+
+    return work.mapInArrow(compared, "a long, b long").distinct()
+
+
+def _passing(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    own, root, n, asks = (rows.column(c).to_numpy() for c in ("set_id", "root", "n", "asks"))
+    sketch = rows.column("sketch").to_pylist()
+    others = np.flatnonzero(~asks)
+    folded: dict[tuple[int, int], np.ndarray] = {}
+    lengths = np.array([len(sketch[k]) for k in others])
+    found_a, found_b = [], []
+    for k in np.flatnonzero(asks):
+        mine = np.frombuffer(sketch[k], np.uint8)
+        for length in np.unique(lengths):
+            some = others[lengths == length]
+            short = min(int(length), len(mine))
+            if (length, short) not in folded:
+                folded[length, short] = _fold(np.frombuffer(b"".join(sketch[j] for j in some), np.uint8).reshape(len(some), -1), short)
+            apart = np.bitwise_count(folded[length, short] ^ _fold(mine[None], short)).sum(1, dtype=np.int64)
+            limit = (n[some] + n[k]) * (SHARE[1] - SHARE[0]) // (SHARE[1] + SHARE[0])
+            sizes = SHARE[1] * np.minimum(n[some], n[k]) >= SHARE[0] * np.maximum(n[some], n[k])
+            hit = some[(apart <= limit) & sizes & (root[some] != root[k])]
+            found_a.append(np.minimum(own[hit], own[k]))
+            found_b.append(np.maximum(own[hit], own[k]))
+    if found_a:
+        pairs = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)], 1), axis=0).T
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p)) for p in pairs], ["a", "b"])
+
+
+def _fold(sketches: np.ndarray, length: int) -> np.ndarray:
+    while sketches.shape[1] > length:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -373,7 +443,14 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     classes = rows.where("set_id is not null").groupBy("set_id", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("sketch").alias("sketch")).checkpoint()
     met = groups(chosen_cells(read, counts)).checkpoint()
     links = verified(stars(met), classes, read).checkpoint()
-    rest = verified(unconnected(met, components(links), classes), classes, read)
+    roots = components(links)
+    for turn in range(TURNS):
+        new = verified(further_stars(open_members(met, roots, classes), turn), classes, read).checkpoint()
+        if new.isEmpty():
+            break
+        links = links.union(new)
+        roots = components(links)
+    rest = verified(unconnected(open_members(met, roots, classes)), classes, read)
     roots = components(links.union(rest))
     named = classes.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

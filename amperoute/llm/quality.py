@@ -20,6 +20,8 @@ from .rows import ROW, SPACE, packed, words_of
 BUCKETS = 1 << 15
 # Trusted documents that the target is counted on, at most (those with the smallest hashed ids).
 TRUSTED_DOCS = 20_000
+# N-grams of prior evidence per bucket.
+PRIOR = 4.0
 # Mean log ratio per n-gram below which a text is rejected.
 THRESHOLD = -0.3
 MIN_WORDS = 20
@@ -79,7 +81,8 @@ def rule_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
-    """One row with ``ratios``: per bucket the log of target share over raw share, add-one smoothed.
+    """One row with ``ratios``: per bucket the log of target share over raw share, both drawn towards the raw share by
+    ``PRIOR`` n-grams, so that n-grams too rare to tell weigh little.
 
     Raw counts cover every document. ``trusted`` holds ids; at most ``trusted_docs`` of them are used, so the
     joined side stays below 16 bytes times that number and is broadcast.
@@ -94,8 +97,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     full = every.join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
     placed = full.agg(F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("b"), F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    share = lambda n, total: (n + 1.0) / (F.col(total) + F.lit(buckets))
-    ratio = F.transform("b", lambda x: F.log(share(x["target"], "target") / share(x["raw"], "raw")))
+    expected = lambda x: x["raw"] * F.col("target") / F.greatest(F.col("raw"), F.lit(1))
+    ratio = F.transform("b", lambda x: F.log((x["target"] + F.lit(PRIOR)) / (expected(x) + F.lit(PRIOR))))
     return placed.select(F.when(F.col("target") > 0, ratio).otherwise(F.transform("b", lambda x: F.lit(0.0))).alias("ratios"))
 
 
