@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +28,10 @@ from .rows import packed, run_token, travels, worker_cache
 
 travels(__name__)
 
-# Entries that each of a worker's stores holds at most, words per recursive query, and the engine's memory.
-CACHED = 500_000
+# Entries per generation of each of a worker's stores, words per recursive query, and the engine's memory.
+CACHED = 250_000
 QUERY_WORDS = 40_000
-ENGINE_MB = 300
+ENGINE_MB = 250
 
 MERGE_SQL = """
 with recursive step as (
@@ -82,10 +83,7 @@ class Codec:
             self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
         self.find = regex.compile(pattern).findall
         self.apart = regex.compile(r"(?<=\S) (?=\S)").split
-        self.words: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        self.texts: dict[bytes, bytes] = {}
+        self.words, self.heads, self.tails = Store(), Store(), Store()
         self.engine = duckdb.connect(config={"threads": 1, "memory_limit": f"{ENGINE_MB}MB"})
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         columns = [pa.array(c, pa.int32()) for c in zip(*pairs, strict=True)]
@@ -106,67 +104,91 @@ class Codec:
         follows, so the parts can be matched one by one."""
         return text.split(" ") if plainly_spaced(text) else self.apart(text)
 
-    def segments(self, texts: list[str | None]) -> list[list[bytes]]:
-        """Per text the ids (little-endian 32-bit) of its successive parts."""
-        for store in (self.heads, self.tails, self.words):
-            if len(store) > CACHED:
-                store.clear()
+    def parts(self, texts: list[str | None]) -> list[list[tuple[bytes, bytes]]]:
+        """Per text its successive parts as (ids as little-endian 32-bit numbers, the bytes these ids decode to)."""
         split = [self._pieces(t) if t else [] for t in texts]
-        found = [[self.heads.get(p[0]), *map(self.tails.get, p[1:])] if p else [] for p in split]
-        short = [k for k, ids in enumerate(found) if None in ids]
-        new = {(at > 0, c) for k in short for at, (c, ids) in enumerate(zip(split[k], found[k], strict=True)) if ids is None}
-        cut = {(tail, c): self.find(f" {c}" if tail else c) for tail, c in new}
-        self._learn(list({w for words in cut.values() for w in words if w not in self.words}))
-        for (tail, c), words in cut.items():
-            (self.tails if tail else self.heads)[c] = b"".join(map(self.words.__getitem__, words))
-        for k in short:
-            p = split[k]
-            found[k] = [self.heads[p[0]], *map(self.tails.__getitem__, p[1:])]
+        heads = self._found(self.heads, [p[0] for p in split if p], "")
+        tails = self._found(self.tails, [c for p in split for c in p[1:]], " ")
+        first, rest = iter(heads), iter(tails)
+        return [[next(first), *itertools.islice(rest, len(p) - 1)] if p else [] for p in split]
+
+    def _found(self, store: "Store", chunks: list[str], before: str) -> list[tuple[bytes, bytes]]:
+        found, new = store.get(chunks)
+        if new:
+            # Letters alone, with the space before them, are one word of the pattern.
+            single = {c: before + c for c in new if c.isalpha()}
+            cut = {c: self.find(before + c) for c in new if c not in single}
+            _, unknown = self.words.get([*single.values(), *itertools.chain.from_iterable(cut.values())])
+            self._learn(unknown)
+            known = self.words.now.__getitem__
+            store.now.update(zip(single, map(known, single.values())))
+            for c, words in cut.items():
+                ids, decoded = zip(*map(known, words), strict=True)
+                store.now[c] = (b"".join(ids), b"".join(decoded))
+            found = list(map(store.now.__getitem__, chunks))
+        for s in (store, self.words):
+            s.age()
         return found
 
     def _learn(self, words: list[str]) -> None:
-        spelled = [w.encode() for w in words]
-        for word, letters in zip(words, spelled, strict=True):
-            if letters in self.ranks:  # a whole word of the vocabulary needs no merges
-                self.words[word] = self.ranks[letters].to_bytes(4, "little")
-        rest = [k for k, w in enumerate(words) if w not in self.words]
+        ids = {w: self.ranks[b].to_bytes(4, "little") for w in words if (b := w.encode()) in self.ranks}  # a whole word needs no merges
+        rest = [w for w in words if w not in ids]
         for at in range(0, len(rest), QUERY_WORDS):
             some = rest[at : at + QUERY_WORDS]
-            sizes = np.array([len(spelled[k]) for k in some])
-            letters = np.frombuffer(b"".join(spelled[k] for k in some), np.uint8)
+            spelled = [w.encode() for w in some]
+            sizes = np.array([len(b) for b in spelled])
             word = np.repeat(np.arange(len(some), dtype=np.int32), sizes)
-            pos = np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            self.engine.register("symbols", pa.table({"word": word, "pos": pos.astype(np.int32), "token": self.byte_ids[letters]}))
+            pos = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            symbols = self.byte_ids[np.frombuffer(b"".join(spelled), np.uint8)]
+            self.engine.register("symbols", pa.table({"word": word, "pos": pos.astype(np.int32), "token": symbols}))
             out = self.engine.sql(MERGE_SQL).to_arrow_table().column("tokens").combine_chunks()
             self.engine.unregister("symbols")
-            ids, cuts = out.values.to_numpy().astype("<u4").tobytes(), 4 * out.offsets.to_numpy()
-            self.words.update((words[k], ids[a:b]) for k, a, b in zip(some, cuts[:-1], cuts[1:], strict=True))
+            flat, cuts = out.values.to_numpy().astype("<u4").tobytes(), 4 * out.offsets.to_numpy()
+            ids.update((w, flat[a:b]) for w, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        self.words.now.update(zip(ids, zip(ids.values(), self.decode(list(ids.values())))))
 
     def decode(self, runs: list[bytes]) -> list[bytes]:
-        """The bytes that each run of ids stands for. New runs are decoded several at once and cut at their lengths."""
-        if len(self.texts) > CACHED:
-            self.texts.clear()
-        found = list(map(self.texts.get, runs))
-        if None in found:
-            new = list({r for r, text in zip(runs, found, strict=True) if text is None})
-            for at in range(0, len(new), QUERY_WORDS):
-                self._decode_new(new[at : at + QUERY_WORDS])
-            found = list(map(self.texts.__getitem__, runs))
-        return found
-
-    def _decode_new(self, new: list[bytes]) -> None:
-        token = np.frombuffer(b"".join(new), "<u4").astype(np.int32)
-        counts = np.array([len(r) // 4 for r in new])
-        run = np.repeat(np.arange(len(new), dtype=np.int32) // RUN_PIECES, counts)
-        pos = np.arange(len(token), dtype=np.int32)
-        self.engine.register("spans", pa.table({"run": run, "pos": pos, "token": token}))
-        decoded = "".join(t for _, t in self.engine.execute(DECODE_SQL).fetchall()).encode("latin-1")
-        self.engine.unregister("spans")
-        ends = np.concatenate([[0], np.cumsum(self.sizes[token])])[np.cumsum(counts)]
-        self.texts.update((r, decoded[a:b]) for r, a, b in zip(new, [0, *ends[:-1]], ends, strict=True))
-
-
-def _slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+        """The bytes that each run of ids stands for. Several runs are decoded at once and cut at their lengths."""
+        out = []
+        for at in range(0, len(runs), QUERY_WORDS):
+            some = runs[at : at + QUERY_WORDS]
+            token = np.frombuffer(b"".join(some), "<u4").astype(np.int32)
+            counts = np.array([len(r) // 4 for r in some])
+            run = np.repeat(np.arange(len(some), dtype=np.int32) // RUN_PIECES, counts)
+            self.engine.register("spans", pa.table({"run": run, "pos": np.arange(len(token), dtype=np.int32), "token": token}))
+            decoded = "".join(t for _, t in self.engine.execute(DECODE_SQL).fetchall()).encode("latin-1")
+            self.engine.unregister("spans")
+            ends = np.concatenate([[0], np.cumsum(self.sizes[token])])[np.cumsum(counts)].tolist()
+            out += [decoded[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+        return out
+
+
+class Store:
+    """What was found for strings, in two generations: what is asked for again stays, the rest goes in time."""
+
+    def __init__(self):
+        self.now: dict[str, tuple[bytes, bytes]] = {}
+        self.before: dict[str, tuple[bytes, bytes]] = {}
+
+    def get(self, keys: list[str]) -> tuple[list, list[str]]:
+        """What is known (None where not), and the distinct unknown keys."""
+        found = list(map(self.now.get, keys))
+        if None not in found:
+            return found, []
+        new = []
+        for k in set(itertools.compress(keys, map(operator.not_, found))):
+            if (old := self.before.get(k)) is None:
+                new.append(k)
+            else:
+                self.now[k] = old
+        return list(map(self.now.get, keys)), new
+
+    def age(self) -> None:
+        if len(self.now) > CACHED:
+            self.now, self.before = {}, self.now
+
+
+def _slices(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
     return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
 
 
@@ -178,7 +200,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text") ->
         codec = worker_cache(token, lambda: Codec(rank_path, pattern))
         for batch in batches:
             for part in _slices(batch):
-                runs = [b"".join(s) for s in codec.segments(part.column("text").to_pylist())]
+                runs = [b"".join(ids for ids, _ in parts) for parts in codec.parts(part.column("text").to_pylist())]
                 offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in runs])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(runs), "<u4").astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("row"), ids], ["row", "ids"])
@@ -205,30 +227,21 @@ def decode(encoded: DataFrame, rank_path: str, pattern: str, ids: str = "ids") -
 def round_trip(docs: DataFrame, rank_path: str, pattern: str, text: str = "text") -> DataFrame:
     """``row``, ``ids`` (decimal, joined by one space) and ``bytes`` decoded from the ids, in one pass over the texts.
 
-    The ids of each successive piece are decoded as a run of their own: runs that repeat are decoded once.
+    Words that repeat are encoded, and their ids decoded, once while a worker remembers them.
     """
     token = run_token()
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, decimals = worker_cache(token, lambda: (Codec(rank_path, pattern), {}))
+        codec = worker_cache(token, lambda: Codec(rank_path, pattern))
+        decimal = list(map(str, range(len(codec.sizes)))).__getitem__
         for batch in batches:
             for part in _slices(batch):
                 ids, back = [], []
-                found = codec.segments(part.column("text").to_pylist())
-                for runs, whole in zip(found, _decoded(codec, found), strict=True):
-                    if len(decimals) > CACHED:
-                        decimals.clear()
-                    for run in runs:
-                        if run not in decimals:
-                            decimals[run] = " ".join(map(str, np.frombuffer(run, "<u4")))
-                    ids.append(" ".join(map(decimals.__getitem__, runs)))
-                    back.append(whole)
+                for parts in codec.parts(part.column("text").to_pylist()):
+                    run = np.frombuffer(b"".join([p[0] for p in parts]), "<u4")
+                    ids.append(" ".join(map(decimal, run.tolist())))
+                    back.append(b"".join([p[1] for p in parts]))
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(ids, pa.string()), pa.array(back, pa.binary())], ["row", "ids", "bytes"])
 
     rows = packed(docs, text=text)
     return rows.mapInArrow(both, rows.select("row", F.lit("").alias("ids"), F.lit(b"").alias("bytes")).schema)
-
-
-def _decoded(codec: Codec, found: list[list[bytes]]) -> list[bytes]:
-    flat = iter(codec.decode([run for runs in found for run in runs]))
-    return [b"".join(itertools.islice(flat, len(runs))) for runs in found]

@@ -64,7 +64,7 @@ def test_byte_bpe_cuts_only_where_no_word_spans(ranks):
     library = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
     codec = byte_bpe.Codec(RANKS, public.PATTERN)
     for text in ("a  b", " a", "a ", " ", "a \n b", "a\n b", "a \tb c", "x y z", "x   y", "a\x0b b", "one two\nthree four"):
-        assert np.frombuffer(b"".join(codec.segments([text])[0]), "<u4").tolist() == library.encode_ordinary(text)
+        assert np.frombuffer(b"".join(ids for ids, _ in codec.parts([text])[0]), "<u4").tolist() == library.encode_ordinary(text)
 
 
 def pieces_of(frame):
