@@ -20,11 +20,19 @@ def _sided(df: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
     )
 
 
-def _by_key(df: DataFrame, keys: Sequence[str], side: str) -> tuple[DataFrame, DataFrame]:
-    complete = F.lit(True)
+def _lone(keys: Sequence[str]) -> Column:
+    """0 for rows with a full key, a number of its own for any other row: such rows meet nobody and spread over tasks."""
+    missing = F.lit(False)
     for k in keys:
-        complete = complete & F.col(f"{side}_k_{k}").isNotNull()
-    return df.where(complete), df.where(~complete)
+        missing = missing | F.col(k).isNull()
+    return F.when(missing, F.xxhash64(F.monotonically_increasing_id())).otherwise(F.lit(0).cast("long"))
+
+
+def require_unique(source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same rows; reading them fails if a full key occurs twice. The test is a filter, so no plan can drop it."""
+    counted = source.withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
+    failed = F.raise_error(F.concat(F.lit("source keys are not unique: "), F.to_json(F.struct(*keys)))).cast("boolean")
+    return counted.where(F.when(F.col("__n") > 1, failed).otherwise(F.lit(True))).drop("__n")
 
 
 def merge_into(
@@ -42,26 +50,27 @@ def merge_into(
     counts as updated only if some value differs. fill_nulls (J5): only empty stored values are filled.
     ``columns`` limits which columns a merge may write (J4); others keep the stored value and are null on
     insert unless the source has them. Null keys match nothing, as in SQL, unless ``null_safe_keys`` (J6).
-    Source keys must be unique (J8): see unique_source.
+    Source keys must be unique (J8), else reading the result fails: see unique_source.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
     keys = list(keys)
     writable = set(columns if columns is not None else [c for c in source.columns if c not in keys])
     old, new = _sided(target, keys, "old"), _sided(source, keys, "new")
-    if not null_safe_keys:
-        # rows without a full key meet nobody: they pass beside the join instead of crowding one partition
-        old, old_lone = _by_key(old, keys, "old")
-        new, new_lone = _by_key(new, keys, "new")
     condition = None
+    if not null_safe_keys:
+        old = old.withColumn("old_lone", _lone([f"old_k_{k}" for k in keys]))
+        new = new.withColumn("new_lone", _lone([f"new_k_{k}" for k in keys]))
+        condition = F.col("old_lone") == F.col("new_lone")
+        # the window has the join's own partitioning
+        new = require_unique(new, ["new_lone", *[f"new_k_{k}" for k in keys]])
+    else:
+        new = require_unique(new, [f"new_k_{k}" for k in keys])
     for k in keys:
         a, b = F.col(f"old_k_{k}"), F.col(f"new_k_{k}")
         term = a.eqNullSafe(b) if null_safe_keys else a == b
         condition = term if condition is None else condition & term
     joined = old.join(new, condition, "full_outer")
-    if not null_safe_keys:
-        for lone in (old_lone, new_lone):
-            joined = joined.unionByName(lone, allowMissingColumns=True)
 
     stored, arrived = F.col("old_here").isNotNull(), F.col("new_here").isNotNull()
     changes: list[Column] = []
@@ -97,9 +106,10 @@ def merge_into(
 
 
 def unique_source(source: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
-    """One incoming row per key, the first by the given order."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return source.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    """One incoming row per full key, the first by the given order; rows without a full key all stay."""
+    ranked = source.withColumn("__lone", _lone(keys))
+    rank = F.row_number().over(Window.partitionBy("__lone", *keys).orderBy(*order))
+    return ranked.withColumn("__rank", rank).where("__rank = 1").drop("__rank", "__lone")
 
 
 def insert_distinct(target: DataFrame, source: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -182,8 +182,12 @@ def monotonic_mileage(
     """Turn a counter that resets into a mileage that never falls.
 
     Missing readings repeat the previous one (leading ones the first); only positive steps count. With
-    ``anchors`` (key, anchor) the series continues from the stored mileage instead of its own start.
+    ``anchors`` (key, anchor) the series continues from the stored mileage instead of its own start. Rows without a
+    key or a time have no place in a series: they stay, with a null mileage.
     """
+    placed = F.col(key).isNotNull() & F.col(ts).isNotNull()
+    unplaced = samples.where(~placed)
+    samples = samples.where(placed)
     keyed = samples.withColumn("__block", time_block(F.col(ts), block_minutes))
     in_block = Window.partitionBy(key, "__block").orderBy(ts)
     before = in_block.rowsBetween(Window.unboundedPreceding, -1)
@@ -228,11 +232,12 @@ def monotonic_mileage(
     seen = F.last(raw, ignorenulls=True).over(upto).isNotNull()
     rows = steps(keyed).withColumn("__run", F.sum("__step").over(upto)).withColumn("__seen", seen)
     value = F.col("__start") + F.col("__offset") + F.col("__run") + F.when(F.col("__seen"), F.col("__across")).otherwise(0.0)
-    return (
+    filled = (
         rows.join(blocks, [key, "__block"])
         .withColumn(out, value)
         .drop("__block", "__step", "__run", "__seen", "__across", "__start", "__offset")
     )
+    return filled.unionByName(unplaced.withColumn(out, F.lit(None).cast(filled.schema[out].dataType)))
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
@@ -257,7 +262,8 @@ def keep_best_sample(df: DataFrame, keys: Sequence[str], *tie_break: Column) ->
 def trajectories(
     points: DataFrame, keys: Sequence[str], ts: str = "timestamp", block_minutes: int = BLOCK_MINUTES
 ) -> DataFrame:
-    """Points numbered along each track, tracks of one point left out.
+    """Points numbered along each track; tracks of one point are left out, and so are points of no track, those
+    without a full key or a time (``trackless`` gives them).
 
     Numbers are an offset per (track, block) plus a rank inside the block, so a long track spreads over tasks.
     """
@@ -280,6 +286,14 @@ def trajectories(
     )
 
 
+def trackless(points: DataFrame, keys: Sequence[str], ts: str = "timestamp") -> DataFrame:
+    """The points that ``trajectories`` cannot place on any track."""
+    missing = F.col(ts).isNull()
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    return points.where(missing)
+
+
 def track_pieces(points: DataFrame, keys: Sequence[str], ts: str = "timestamp", piece_points: int = 1000) -> DataFrame:
     """W11 as coordinate lists: each track cut into ordered (lat, lon) lists of at most ``piece_points``."""
     piece = F.sort_array(F.collect_list(F.struct("seq", "latitude", "longitude")))
@@ -303,19 +317,20 @@ def weekday_hour_minutes(sessions: DataFrame, start: str, end: str, tz: str = LO
     """Minutes of each session by local weekday (Monday 0) and hour, all 168 cells present.
 
     Hour borders are cut in UTC; the zone's offsets are whole hours, so they are local borders too.
-    Overlaps add up as intervals, exactly and in any order, per UTC hour before that hour is localized.
+    Overlaps add up as whole microseconds in decimals, exactly, in any order and without overflow, per UTC hour
+    before that hour is localized.
     """
     hour = F.expr("interval 1 hour")
     cut = (
         sessions.select(F.col(start).alias("s"), F.col(end).alias("e"))
         .where("e > s")
         .withColumn("b", F.explode(F.sequence(hour_floor(F.col("s")), F.col("e"), hour)))
-        .withColumn("overlap", F.least(F.col("e"), F.col("b") + hour) - F.greatest("s", "b"))
+        .withColumn("overlap", F.timestamp_diff("MICROSECOND", F.greatest("s", "b"), F.least(F.col("e"), F.col("b") + hour)).cast("decimal(20,0)"))
     )
     hours = cut.groupBy("b").agg(F.sum("overlap").alias("overlap"))
     local = utc_to_local(F.col("b"), tz)
     placed = evaluated(hours.select(F.weekday(local).alias("weekday"), F.hour(local).alias("hour"), "overlap"))
-    cells = placed.groupBy("weekday", "hour").agg((seconds(F.sum("overlap")) / 60).alias("m"))
+    cells = placed.groupBy("weekday", "hour").agg((F.sum("overlap").cast("double") / 60_000_000).alias("m"))
     spark = sessions.sparkSession
     grid = spark.range(168).select(
         F.floor(F.col("id") / 24).cast("int").alias("weekday"), (F.col("id") % 24).cast("int").alias("hour")
@@ -333,6 +348,7 @@ __all__ = [
     "sample_priority",
     "service_interval",
     "track_pieces",
+    "trackless",
     "trajectories",
     "vehicle_day",
     "weekday_hour_minutes",

@@ -352,8 +352,8 @@ def trip_report(sheet: DataFrame, codes: DataFrame, vehicle: DataFrame, *, unmap
 
 
 def trip_order() -> Column:
-    """Trip number (missing last), then place in the file, as one whole number."""
-    return F.coalesce(F.col("trip_num"), F.lit(2**20)).cast("bigint") * 2**42 + F.col("row_no")
+    """Trip number (missing last), then place in the file; compared field by field, so no number is too large."""
+    return F.struct(F.col("trip_num").isNull().alias("missing"), F.col("trip_num"), F.col("row_no"))
 
 
 # Headers of the daily trips sheet.

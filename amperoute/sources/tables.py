@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -68,23 +69,45 @@ def upsert_table(
     return dict(seen.get)
 
 
+def touched_rows(target: DataFrame, source: DataFrame, partition: str) -> DataFrame:
+    """Stored rows of the partitions that ``source`` has rows in, the null partition included.
+
+    The bounds reach the scan as partition filters, so partitions outside them are not read.
+    """
+    bounds = source.agg(F.min(partition).alias("low"), F.max(partition).alias("high"), F.max(F.col(partition).isNull()).alias("nulls"))
+    low, high, nulls = (bounds.select(c).scalar() for c in ("low", "high", "nulls"))
+    column = F.col(partition)
+    inside = target.where(((column >= low) & (column <= high)) | (column.isNull() & nulls))
+    touched = source.select(F.col(partition).alias("__touched")).distinct()
+    return inside.join(touched, inside[partition].eqNullSafe(touched["__touched"]), "left_semi")
+
+
 def upsert_partitions(
     source: DataFrame, path: str, keys: Sequence[str], *, partition: str = "date", policy: str = "overwrite",
-    columns: Sequence[str] | None = None,
-) -> None:
-    """S11 for a table partitioned by ``partition`` (one of the keys): only partitions the batch touches are rewritten."""
+    columns: Sequence[str] | None = None, staging: str | None = None,
+) -> dict[str, int]:
+    """S11 for a table partitioned by ``partition`` (one of the keys): only partitions the batch touches are rewritten.
+
+    The merged partitions are written to ``staging`` (a new folder beside the table unless given) first and then take
+    the place of the stored ones: the folder that is overwritten is not read by the job that overwrites it, and after a
+    failure the staged rows are whole. Large partitions are split over tasks. Returns the counts per action.
+    """
     if partition not in keys:
         raise ValueError("the partition column must be one of the keys")
     spark = source.sparkSession
     target = spark.read.parquet(path)
-    touched = source.select(partition).distinct()
-    merged = merge_into(target.join(touched, partition, "left_semi"), source, keys, policy=policy, columns=columns)
+    merged = merge_into(touched_rows(target, source, partition), source, keys, policy=policy, columns=columns)
+    seen = Observation()
+    actions = ("inserted", "updated", "unchanged", "kept")
+    watched = merged.observe(seen, *[F.count_if(F.col("merge_action") == a).alias(a) for a in actions])
+    staging = staging or f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    watched.select(*target.columns).hint("rebalance", partition).write.parquet(staging)
     (
-        merged.drop("merge_action")
-        .select(*target.columns)
-        .repartition(partition)
+        spark.read.schema(target.schema).parquet(staging)
+        .hint("rebalance", partition)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)
         .parquet(path)
     )
+    return dict(seen.get)

@@ -99,10 +99,9 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "case when l_orderkey % 9 = 0 then 0.0 else l_quantity * 2 end as tot_energy",
             "l_orderkey as id",
             "l_returnflag as report",
-            # the row's place: trip (missing last), order, quantity, discount, tax, cents
-            "((((coalesce(case when l_orderkey % 31 = 0 then null else cast(l_linenumber as bigint) end, 15) * 68719476736 + l_orderkey) * 64 "
-            "+ cast(l_quantity as bigint)) * 16 + cast(round(l_discount * 100) as bigint)) * 16 + cast(round(l_tax * 100) as bigint)) * 128 "
-            "+ cast(floor(l_extendedprice) as bigint) % 128 as place",
+            # the row's place: trip (missing last), then the columns that tell the rows of an order apart
+            "(case when l_orderkey % 31 = 0 then 1 else 0 end, case when l_orderkey % 31 = 0 then 0 else l_linenumber end, "
+            "l_orderkey, l_quantity, l_discount, l_tax, l_extendedprice) as place",
         ],
     ),
     "maintenance": (

@@ -36,8 +36,10 @@ def merge_batch(path: str, keys: Sequence[str], *, partition: str, policy: str,
         unique = unique_source(batch, keys, *order)
         try:
             batch.sparkSession.read.parquet(path).schema  # noqa: B018
-        except AnalysisException:
-            unique.repartition(partition).write.partitionBy(partition).parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            unique.hint("rebalance", partition).write.partitionBy(partition).parquet(path)
             return
         upsert_partitions(unique, path, keys, partition=partition, policy=policy)
 
