@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import itertools
-import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import packed, run_token, travels, worker_cache
+from .rows import Memory, packed, run_token, travels, worker_cache
 
 travels(__name__)
 
@@ -83,7 +82,9 @@ class Codec:
             self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
         self.find = regex.compile(pattern).findall
         self.apart = regex.compile(r"(?<=\S) (?=\S)").split
-        self.words, self.heads, self.tails = Store(), Store(), Store()
+        self.words = Memory(CACHED, self._learn)
+        self.heads = Memory(CACHED, lambda chunks: self._join(chunks, ""))
+        self.tails = Memory(CACHED, lambda chunks: self._join(chunks, " "))
         self.engine = duckdb.connect(config={"threads": 1, "memory_limit": f"{ENGINE_MB}MB"})
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         columns = [pa.array(c, pa.int32()) for c in zip(*pairs, strict=True)]
@@ -107,30 +108,22 @@ class Codec:
     def parts(self, texts: list[str | None]) -> list[list[tuple[bytes, bytes]]]:
         """Per text its successive parts as (ids as little-endian 32-bit numbers, the bytes these ids decode to)."""
         split = [self._pieces(t) if t else [] for t in texts]
-        heads = self._found(self.heads, [p[0] for p in split if p], "")
-        tails = self._found(self.tails, [c for p in split for c in p[1:]], " ")
-        first, rest = iter(heads), iter(tails)
+        first = iter(self.heads.get([p[0] for p in split if p]))
+        rest = iter(self.tails.get([c for p in split for c in p[1:]]))
         return [[next(first), *itertools.islice(rest, len(p) - 1)] if p else [] for p in split]
 
-    def _found(self, store: "Store", chunks: list[str], before: str) -> list[tuple[bytes, bytes]]:
-        found, new = store.get(chunks)
-        if new:
-            # Letters alone, with the space before them, are one word of the pattern.
-            single = {c: before + c for c in new if c.isalpha()}
-            cut = {c: self.find(before + c) for c in new if c not in single}
-            _, unknown = self.words.get([*single.values(), *itertools.chain.from_iterable(cut.values())])
-            self._learn(unknown)
-            known = self.words.now.__getitem__
-            store.now.update(zip(single, map(known, single.values())))
-            for c, words in cut.items():
-                ids, decoded = zip(*map(known, words), strict=True)
-                store.now[c] = (b"".join(ids), b"".join(decoded))
-            found = list(map(store.now.__getitem__, chunks))
-        for s in (store, self.words):
-            s.age()
-        return found
-
-    def _learn(self, words: list[str]) -> None:
+    def _join(self, chunks: list[str], before: str) -> Iterator[tuple[str, tuple[bytes, bytes]]]:
+        """Parts from their words. Letters alone, with the space before them, are one word of the pattern."""
+        cut = [[before + c] if c.isalpha() else self.find(before + c) for c in chunks]
+        known = iter(self.words.get(list(itertools.chain.from_iterable(cut))))
+        for chunk, words in zip(chunks, cut, strict=True):
+            if len(words) == 1:
+                yield chunk, next(known)
+            else:
+                ids, decoded = zip(*itertools.islice(known, len(words)), strict=True)
+                yield chunk, (b"".join(ids), b"".join(decoded))
+
+    def _learn(self, words: list[str]) -> Iterator[tuple[str, tuple[bytes, bytes]]]:
         ids = {w: self.ranks[b].to_bytes(4, "little") for w in words if (b := w.encode()) in self.ranks}  # a whole word needs no merges
         rest = [w for w in words if w not in ids]
         for at in range(0, len(rest), QUERY_WORDS):
@@ -145,7 +138,7 @@ class Codec:
             self.engine.unregister("symbols")
             flat, cuts = out.values.to_numpy().astype("<u4").tobytes(), 4 * out.offsets.to_numpy()
             ids.update((w, flat[a:b]) for w, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        self.words.now.update(zip(ids, zip(ids.values(), self.decode(list(ids.values())))))
+        return zip(ids, zip(ids.values(), self.decode(list(ids.values())), strict=True), strict=True)
 
     def decode(self, runs: list[bytes]) -> list[bytes]:
         """The bytes that each run of ids stands for. Several runs are decoded at once and cut at their lengths."""
@@ -163,31 +156,6 @@ class Codec:
         return out
 
 
-class Store:
-    """What was found for strings, in two generations: what is asked for again stays, the rest goes in time."""
-
-    def __init__(self):
-        self.now: dict[str, tuple[bytes, bytes]] = {}
-        self.before: dict[str, tuple[bytes, bytes]] = {}
-
-    def get(self, keys: list[str]) -> tuple[list, list[str]]:
-        """What is known (None where not), and the distinct unknown keys."""
-        found = list(map(self.now.get, keys))
-        if None not in found:
-            return found, []
-        new = []
-        for k in set(itertools.compress(keys, map(operator.not_, found))):
-            if (old := self.before.get(k)) is None:
-                new.append(k)
-            else:
-                self.now[k] = old
-        return list(map(self.now.get, keys)), new
-
-    def age(self) -> None:
-        if len(self.now) > CACHED:
-            self.now, self.before = {}, self.now
-
-
 def _slices(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
     return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import run_token, travels, worker_cache
+from .rows import Memory, run_token, travels, worker_cache
 
 travels(__name__)
 
@@ -33,13 +34,12 @@ END_ID = 2
 # Ids that one packing group gathers, and ids of a training step.
 GROUP_IDS = 1 << 21
 STEP_IDS = 1 << 18
-CACHED_WORDS = 500_000
+CACHED_WORDS = 500_000  # per generation
 ID_BYTES = 4
 
 
 class WordIds:
-    """Little-endian 32-bit ids of texts. No token of the vocabulary spans white space, so words are encoded once
-    and kept; the store starts anew beyond ``limit`` words."""
+    """Little-endian 32-bit ids of texts. No token of the vocabulary spans white space, so words are encoded alone and kept."""
 
     def __init__(self, path: str, limit: int = CACHED_WORDS):
         import os
@@ -49,31 +49,23 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-        self.limit = limit
+        self.known = Memory(limit, self._learn)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode().split() for t in texts]
-        if len(self.known) > self.limit:
-            self.known.clear()
-        found = [list(map(self.known.get, words)) for words in split]
-        short = [k for k, parts in enumerate(found) if None in parts]
-        new = list({w for k in short for w, ids in zip(split[k], found[k], strict=True) if ids is None})
-        for at in range(0, len(new), 2000):
-            self._learn(new[at : at + 2000])
-        for k in short:
-            found[k] = map(self.known.__getitem__, split[k])
-        return list(map(b"".join, found))
+        ids = iter(self.known.get([w for words in split for w in words]))
+        return [b"".join(itertools.islice(ids, len(words))) for words in split]
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _learn(self, new: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """One call for many words, joined by spaces: an id belongs to the word in which its token starts."""
-        words = [w.decode() for w in new]
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
-        cuts = np.searchsorted(starts, ends) * ID_BYTES
-        ids = np.array(found.ids, "<u4").tobytes()
-        self.known.update(zip(new, (ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts)), strict=True))
+        for at in range(0, len(new), 2000):
+            words = [w.decode() for w in new[at : at + 2000]]
+            found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+            ends = np.cumsum([len(w) + 1 for w in words])
+            starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+            cuts = (np.searchsorted(starts, ends) * ID_BYTES).tolist()
+            ids = np.array(found.ids, "<u4").tobytes()
+            yield from zip(new[at : at + 2000], (ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts)), strict=True)
 
 
 def plan(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[tuple[int, int, int]]]:

@@ -53,4 +53,36 @@ def worker_cache(token: str, make):
     return kept.value
 
 
+class Memory:
+    """What ``learn`` found for keys, kept in two generations of at most about ``limit`` each: keys asked for again stay.
+
+    ``learn`` takes distinct new keys and gives (key, value) pairs; values are never None.
+    """
+
+    def __init__(self, limit: int, learn):
+        self.limit, self.learn = limit, learn
+        self.now, self.before = {}, {}
+
+    def get(self, keys: list) -> list:
+        """The values of ``keys``, in order."""
+        found, gaps, at = list(map(self.now.get, keys)), [], -1
+        try:
+            while True:
+                at = found.index(None, at + 1)
+                gaps.append(at)
+        except ValueError:
+            pass
+        if gaps:
+            lacking = {keys[at] for at in gaps}
+            kept = {k: self.before[k] for k in lacking if k in self.before}
+            self.now.update(kept)
+            if len(kept) < len(lacking):
+                self.now.update(self.learn([k for k in lacking if k not in kept]))
+            for at in gaps:
+                found[at] = self.now[keys[at]]
+            if len(self.now) > self.limit:
+                self.now, self.before = {}, self.now
+        return found
+
+
 travels(__name__)

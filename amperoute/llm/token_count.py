@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rows import packed, run_token, travels, worker_cache
+from .rows import Memory, packed, run_token, travels, worker_cache
 
 travels(__name__)
 
-# Counts of words that a worker keeps at most; beyond it the store starts anew.
+# Counts of words that a worker keeps, per generation.
 CACHED_WORDS = 400_000
 
 
@@ -95,18 +95,17 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFr
     token = run_token()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, known = worker_cache(token, lambda: (Automaton(rank_file(vocabulary)), {}))
+        def made() -> Memory:
+            automaton = Automaton(rank_file(vocabulary))
+            return Memory(CACHED_WORDS, lambda words: [(w, automaton.count(b" " + w)) for w in words])
+
+        known = worker_cache(token, made)
         for batch in batches:
             n_words, n_tokens = [], []
             for value in batch.column("text"):
                 words = (value.as_py() or "").encode().split()
-                if len(known) > CACHED_WORDS:
-                    known.clear()
-                for word in words:
-                    if word not in known:
-                        known[word] = automaton.count(b" " + word)
                 n_words.append(len(words))
-                n_tokens.append(sum(map(known.__getitem__, words)))
+                n_tokens.append(sum(known.get(words)))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], ["row", "n_words", "n_tokens"])
 
     rows = packed(docs, text=text)
