@@ -45,8 +45,6 @@ from placed p join nodes n on n.depth = p.depth and n.prefix = p.hash >> ({shard
 def _spans_sql() -> str:
     def spans(order: int, rule: secrets.Rule) -> str:
         pattern = rule.pattern.replace("'", "''")
-        if rule.group == 0 and pattern.endswith("]+"):  # a run that is too short holds no longer run
-            pattern = pattern[:-1] + f"{{{max(rule.least - len(pattern.split('[')[0]), 1)},}}"
         whole = f"regexp_extract_all(t, '{pattern}', 0)"
         return f"""
         select doc_id, {order} as kind, '{rule.name}' as name,

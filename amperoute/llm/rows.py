@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 # ASCII white space, the separators between words, as the body of a character class.
 SPACE = r"\x20\x09-\x0D"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROW = "row"
 
 
@@ -25,11 +24,6 @@ def packed(docs: DataFrame, **columns: str) -> DataFrame:
     return docs.select(row, *[F.col(f"`{c}`").alias(name) for name, c in columns.items()])
 
 
-def lowered(text: Column) -> Column:
-    """A-Z in lower case, all else as it is."""
-    return F.translate(text, UPPER, UPPER.lower())
-
-
 def words_of(text: Column) -> Column:
     """All runs of anything but ASCII white space; no words for null."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"([^{SPACE}]+)"), F.lit(1)), F.array().cast("array<string>"))

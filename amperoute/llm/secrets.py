@@ -12,12 +12,13 @@ inside ``row``.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rows import ROW, lowered, packed
+from .rows import ROW, packed
 
 
 @dataclass(frozen=True)
@@ -44,8 +45,9 @@ _KEYWORD = "|".join([*map(_any_case, ("password", "passwd", "secret", "token")),
 # The three base rules in their listed order, then those this operator adds.
 BASE = (
     Rule("assign", rf"""({_KEYWORD})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, KEYWORDS),
-    Rule("access", "AKIA[A-Z0-9]+", 0, 18, ("akia",)),
-    Rule("hex", "[0-9a-f]+", 0, 16),
+    # Runs with their least length in the pattern: a run that is too short holds no longer one, so none is lost.
+    Rule("access", "AKIA[A-Z0-9]{14,}", 0, 18, ("akia",)),
+    Rule("hex", "[0-9a-f]{16,}", 0, 16),
 )
 ADDED = (
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1, ("-----begin ",)),
@@ -62,11 +64,19 @@ def trigram_query(rule: Rule) -> list[frozenset[str]]:
     return [] if any(not c for c in clauses) else clauses
 
 
+def _any_of(trigrams: list[str]) -> str:
+    """A pattern that stands before each of the trigrams, overlapping ones too; tried by first character."""
+    firsts: dict[str, list[str]] = {}
+    for t in sorted(trigrams):
+        firsts.setdefault(t[0], []).append(re.escape(t[1:]))
+    return "(?=(" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in firsts.items()) + "))"
+
+
 def postings(keyed: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(trigram, key) for every query trigram that a text contains; ``keyed`` has ``key`` and ``text``."""
-    low = lowered(F.col("text"))
-    held = F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams])
-    return keyed.select("key", F.explode(F.array_compact(held)).alias("trigram"))
+    """(trigram, key) once for every query trigram that a text contains; ``keyed`` has ``key`` and ``text``."""
+    low = F.lower("text")  # A-Z at least become a-z: what it changes besides can only add candidates
+    held = F.array_distinct(F.regexp_extract_all(low, F.lit(_any_of(trigrams)), F.lit(1)))
+    return keyed.select("key", F.explode(held).alias("trigram"))
 
 
 def candidates(keyed: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -50,8 +50,9 @@ def test_scores_part_junk_from_prose_and_rows_are_kept_whole(frame):
 
 def plain_spans(text):
     out = []
+    runs = {"access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
     for order, rule in enumerate(secrets.RULES):
-        for m in re.finditer(rule.pattern, text or ""):
+        for m in re.finditer(runs.get(rule.name, rule.pattern), text or ""):
             if len(m[rule.group]) >= rule.least:
                 out.append((m.start(), order, m.end()))
     return sorted(out)
