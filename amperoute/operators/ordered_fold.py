@@ -3,12 +3,10 @@
 A plain fold would hold a whole vehicle in one task. Here rows fall into (vehicle, time block), and blocks
 without anything unusual never leave the JVM: the state they pass on is known from their last row.
 
-A vehicle with few rows from its first unusual block on (``direct_rows``, counted per block) is folded
-through from there in one task, streaming. Any other vehicle is settled block by block: each unusual block
-is folded from a guessed entry state, every guess is compared with the exit of the block before, and blocks
-that guessed wrong are folded again, in runs whose length grows fourfold per round. The first wrong block
-of a vehicle is right after each round, so the result equals the sequential fold, and a chain of n wrong
-blocks settles in about log4(n) rounds. Only block-level states are kept between rounds (checkpointed files).
+Vehicles are settled block by block: each unusual block is folded from a guessed entry state, every guess is compared
+with the exit of the block before, and blocks that guessed wrong are folded again, in runs whose length grows fourfold
+per round. The first wrong block of a vehicle is right after each round, so the result equals the sequential fold, and a
+chain of n wrong blocks settles in about log4(n) rounds. Only block-level states are kept between rounds (checkpointed files).
 """
 
 from __future__ import annotations
@@ -32,9 +30,6 @@ from .sequences import BLOCK_MINUTES
 # Workers need not have this package installed: its functions travel with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Rows of one vehicle that one task may fold through in sequence.
-DIRECT_ROWS = 2_000_000
-
 Columns = dict[str, np.ndarray]
 # A fold takes one batch sorted by (key, run, order) and the carry of the batch before; it returns
 # the output columns, the state after every row, and the carry for the next batch.
@@ -97,37 +92,28 @@ def _exits(
 
 def _settle(
     rows: DataFrame, blocks: DataFrame, key: str, order: Sequence[str], reads: Sequence[str], state: Sequence[str],
-    known: Sequence[str], fold: BatchFold, direct_rows: int,
+    known: Sequence[str], fold: BatchFold,
 ) -> DataFrame:
     """Runs of one block each, with true entry states, for the blocks that need a fold; see _runs."""
     guess = [F.col(f"guess_{s}").alias(f"entry_{s}") for s in state]
     first = blocks.where("unusual").select(key, "block", F.col("block").alias("run"), *known, *guess)
     folded = _exits(rows, first, key, order, reads, state, fold)
     table = blocks.join(folded, [key, "block"], "left").select(
-        key, "block", "n", "unusual", *known, *[f"guess_{s}" for s in state], *guess,
+        key, "block", "unusual", *known, *[f"guess_{s}" for s in state], *guess,
         *[F.when(F.col("unusual"), F.col(f"exit_{s}")).otherwise(F.col(f"plain_{s}")).alias(f"exit_{s}") for s in state],
     ).checkpoint()
 
     length, settled = 2, []
     by_block = Window.partitionBy(key).orderBy("block")
-    whole = by_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     while True:
         actual = table.withColumns({f"actual_{s}": F.lag(f"exit_{s}").over(by_block) for s in state})
         actual = actual.withColumn("at", F.row_number().over(by_block)).withColumn("wrong", ~_same(state, "actual_", "entry_"))
         true_entry = [F.col(f"actual_{s}").alias(f"entry_{s}") for s in state]
         head = F.struct(F.col("at").alias("start"), F.col("block").alias("run"), *true_entry, *known)
         heads = F.when(F.col("wrong"), head)
-        first_wrong = F.min(F.when(F.col("wrong"), F.col("at"))).over(whole)
         runs = (
-            actual.withColumn("first_wrong", first_wrong)
-            .withColumn("short", F.sum(F.when(F.col("at") >= F.col("first_wrong"), F.col("n"))).over(whole) <= direct_rows)
-            .withColumn(
-                "head",
-                F.when(F.col("short"), F.first(heads, ignorenulls=True).over(whole)).otherwise(
-                    F.last(heads, ignorenulls=True).over(by_block)
-                ),
-            )
-            .where((F.col("at") >= F.col("head.start")) & (F.col("short") | (F.col("at") - F.col("head.start") < length)))
+            actual.withColumn("head", F.last(heads, ignorenulls=True).over(by_block))
+            .where((F.col("at") >= F.col("head.start")) & (F.col("at") - F.col("head.start") < length))
             .select(key, "block", "head.*")
             .drop("start")
         )
@@ -146,7 +132,7 @@ def _settle(
         moving = runs.select(key).distinct()
         settled.append(table.join(moving, key, "left_anti"))
         table = table.join(moving, key, "left_semi").join(redone, [key, "block"], "left").select(
-            key, "block", "n", "unusual", *known, *[f"guess_{s}" for s in state],
+            key, "block", "unusual", *known, *[f"guess_{s}" for s in state],
             *[
                 F.when(F.col("redone"), F.col(f"new_{side}_{s}")).otherwise(F.col(f"{side}_{s}")).alias(f"{side}_{s}")
                 for side in ("entry", "exit")
@@ -163,27 +149,17 @@ def _settle(
 
 def _runs(
     rows: DataFrame, blocks: DataFrame, key: str, order: Sequence[str], reads: Sequence[str], state: Sequence[str],
-    known: Sequence[str], fold: BatchFold, direct_rows: int,
+    known: Sequence[str], fold: BatchFold,
 ) -> DataFrame:
     """The blocks to fold as (key, block, run, entry_*, known): rows of one run are folded in sequence.
 
-    ``blocks`` has key, block, its row count ``n``, ``known`` columns, guess_* and plain_* states and ``unusual``.
+    ``blocks`` has key, block, ``known`` columns, guess_* and plain_* states and ``unusual``. Vehicles without an unusual
+    block need no fold at all.
     """
     ensure_checkpoint_dir(rows.sparkSession)
     blocks = blocks.checkpoint()
-    by_block = Window.partitionBy(key).orderBy("block")
-    whole = by_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    head = F.struct(F.col("block").alias("run"), *[F.col(f"guess_{s}").alias(f"entry_{s}") for s in state], *known)
-    marked = blocks.withColumn("head", F.first(F.when(F.col("unusual"), head), ignorenulls=True).over(by_block))
-    marked = marked.withColumn("left", F.sum(F.when(F.col("head").isNotNull(), F.col("n"))).over(whole))
-    direct = marked.where(F.col("head").isNotNull() & (F.col("left") <= direct_rows)).select(key, "block", "head.*")
-    busy = marked.where(F.col("left") > direct_rows)
-    if busy.isEmpty():
-        return direct
-    settled = _settle(
-        rows, busy.drop("head", "left"), key, order, reads, state, known, fold, direct_rows
-    )
-    return direct.unionByName(settled)
+    busy = blocks.join(blocks.where("unusual").select(key).distinct(), key, "left_semi")
+    return _settle(rows, busy, key, order, reads, state, known, fold)
 
 
 def _fold_rows(
@@ -280,7 +256,6 @@ def flag_gps_jumps(
     lon: str = "longitude",
     max_jump_miles: float = 5.0,
     block_minutes: int = BLOCK_MINUTES,
-    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Add ``gps_outlier`` to samples that are unique per (key, ts).
 
@@ -309,7 +284,7 @@ def flag_gps_jumps(
     fold = _jump_fold(key, ts, lat, lon, max_jump_miles)
     narrow = rows.select(key, "block", ts, lat, lon)
     reads = [ts, lat, lon]
-    runs = _runs(narrow, blocks, key, [ts], reads, ["lat", "lon"], ["prev_lat", "prev_lon", "prev_ts"], fold, direct_rows)
+    runs = _runs(narrow, blocks, key, [ts], reads, ["lat", "lon"], ["prev_lat", "prev_lon", "prev_ts"], fold)
     flagged = _fold_rows(rows, runs, key, [ts], reads, T.StructType([T.StructField("gps_outlier", T.BooleanType())]), fold)
     plain = _untouched(rows, runs, key).withColumn("gps_outlier", F.lit(False))
     return plain.unionByName(flagged).drop("block")
@@ -383,7 +358,6 @@ def repair_doubled(
     row: str = "row_no",
     tolerance: float = 0.05,
     block_minutes: int = BLOCK_MINUTES,
-    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Halve mileage and SOC readings that doubled against the last kept row; mark rows to drop.
 
@@ -416,7 +390,7 @@ def repair_doubled(
     fold = _doubling_fold(key, tolerance)
     narrow = rows.select(key, "block", *order, "mileage", "soc")
     reads = ["mileage", "soc"]
-    runs = _runs(narrow, blocks, key, order, reads, ["m", "s"], [], fold, direct_rows)
+    runs = _runs(narrow, blocks, key, order, reads, ["m", "s"], [], fold)
     flags = [T.StructField(c, T.BooleanType()) for c in ("kept", "mileage_fixed", "soc_fixed")]
     values = [T.StructField(c, T.DoubleType()) for c in ("mileage_new", "soc_new")]
     folded = _fold_rows(rows, runs, key, order, reads, T.StructType([*flags, *values]), fold)

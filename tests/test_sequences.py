@@ -146,8 +146,7 @@ def walk_jumps(points):
     return flags
 
 
-@pytest.mark.parametrize("direct_rows", [0, 50, 10**6])
-def test_gps_jumps_equal_sequential_walk(spark, direct_rows):
+def test_gps_jumps_equal_sequential_walk(spark):
     rng = random.Random(3)
     rows, expected = [], {}
     for veh in range(25):
@@ -166,7 +165,7 @@ def test_gps_jumps_equal_sequential_walk(spark, direct_rows):
             rows.append((veh, *p))
             expected[veh, p[0]] = flag
     track = frame(spark, rows, "veh_id long, timestamp timestamp_ntz, latitude double, longitude double")
-    got = ordered_fold.flag_gps_jumps(track, direct_rows=direct_rows).collect()
+    got = ordered_fold.flag_gps_jumps(track).collect()
     assert len(got) == len(rows)
     assert {(r.veh_id, r.timestamp): r.gps_outlier for r in got} == expected
     assert any(expected.values())
@@ -200,8 +199,7 @@ def walk_doubled(series, tol=0.05):
     return out
 
 
-@pytest.mark.parametrize("direct_rows", [0, 40, 10**6])
-def test_doubled_readings_equal_sequential_walk(spark, direct_rows):
+def test_doubled_readings_equal_sequential_walk(spark):
     rng = random.Random(11)
     rows, expected, n = [], {}, 0
     for veh in range(25):
@@ -220,7 +218,7 @@ def test_doubled_readings_equal_sequential_walk(spark, direct_rows):
         for (i, _, _), result in zip(series, walk_doubled([x[1:] for x in series])):
             expected[i] = result
     tel = frame(spark, rows, "veh_id long, timestamp timestamp_ntz, row_no long, mileage double, soc double")
-    got = ordered_fold.repair_doubled(tel, direct_rows=direct_rows).collect()
+    got = ordered_fold.repair_doubled(tel).collect()
     assert {r.row_no: (r.mileage, r.soc) if r.kept else None for r in got} == expected
 
 
