@@ -8,8 +8,8 @@ other: documents that link meet in a cell (pigeonhole). Cells are chosen rarest
 size, so that shared passages are joined on only where nothing else is left.
 
 1. Documents with equal sets form classes; only classes are joined.
-2. Classes that share a chosen cell form groups. Each group is first compared with its smallest member only, then a
-   few times with another one. Members of a group that are not connected afterwards are compared with all others of it,
+2. Classes that share a chosen cell form groups. Each group is first compared with its smallest member only, then
+   with a few others. Members of a group that are not connected afterwards are compared with all others of it,
    by their sketches, so no link is lost and a large group of near copies makes no pairs.
 3. Candidates are rejected by size and by the Hamming distance of one-bit sketches, which bounds the difference from
    below; the rest are verified on the whole sets.
@@ -47,8 +47,10 @@ COUNT_BITS = 20
 COUNT_SLICE = 1 << 12
 # A group is joined in parts of about this many rows.
 PART_ROWS = 20_000
-# Rounds in which open groups are compared with one more of their members, before all that is left is compared.
-TURNS = 4
+# Further members that an open group is compared with, before all that is left is compared.
+HUBS = 4
+# Documents whose texts are read for verifying beside the others if there are so few of them (16 bytes each are sent).
+FEW_DOCS = 10_000
 # Members of one side that are compared in one piece of work.
 BLOCK_ROWS = 4_096
 # Classes that a worker remembers to have sent, at most.
@@ -322,12 +324,12 @@ def open_members(groups_: DataFrame, roots: DataFrame, classes: DataFrame) -> Da
     return labelled.join(open_.select("group_id"), "group_id", "left_semi").join(classes.select("set_id", "n", "sketch"), "set_id")
 
 
-def further_stars(members: DataFrame, turn: int) -> DataFrame:
-    """(a, b): the members of an open group with another of them, picked by a hash, unless they are connected."""
-    order = F.struct(F.xxhash64("set_id", F.lit(turn)).alias("h"), F.col("set_id").alias("a"), F.col("root").alias("top"))
-    hubs = members.groupBy("group_id").agg(F.min(order).alias("hub")).select("group_id", "hub.a", "hub.top")
-    met = members.join(hubs, "group_id").where("root <> top")
-    return met.select(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
+def further_stars(members: DataFrame) -> DataFrame:
+    """(a, b): the members of an open group with ``HUBS`` of them, picked by hashes, unless they are connected."""
+    order = lambda turn: F.struct(F.xxhash64("set_id", F.lit(turn)).alias("h"), F.col("set_id").alias("a"), F.col("root").alias("top"))
+    hubs = members.groupBy("group_id").agg(F.array(*[F.min(order(turn)) for turn in range(HUBS)]).alias("hubs"))
+    met = members.join(hubs, "group_id").select("set_id", "root", F.explode("hubs").alias("hub")).where("root <> hub.top")
+    return met.select(F.least("hub.a", "set_id").alias("a"), F.greatest("hub.a", "set_id").alias("b")).distinct()
 
 
 def unconnected(members: DataFrame) -> DataFrame:
@@ -410,6 +412,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
 
     left = both.mapInArrow(possible, "a long, b long").checkpoint()
     wanted = left.select(F.col("a").alias("set_id")).union(left.select("b")).distinct().join(classes.select("set_id", "doc_id"), "set_id")
+    wanted = wanted.checkpoint()
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW_DOCS else wanted
     texts = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.set_id", "d.text")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,12 +448,8 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     met = groups(chosen_cells(read, counts)).checkpoint()
     links = verified(stars(met), classes, read).checkpoint()
     roots = components(links)
-    for turn in range(TURNS):
-        new = verified(further_stars(open_members(met, roots, classes), turn), classes, read).checkpoint()
-        if new.isEmpty():
-            break
-        links = links.union(new)
-        roots = components(links)
+    links = links.union(verified(further_stars(open_members(met, roots, classes)), classes, read).checkpoint())
+    roots = components(links)
     rest = verified(unconnected(open_members(met, roots, classes)), classes, read)
     roots = components(links.union(rest))
     named = classes.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))

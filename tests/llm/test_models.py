@@ -81,11 +81,12 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize(("part_rows", "block_rows", "turns"), [(20_000, 4_096, 4), (2, 2, 0)])
-def test_components_equal_brute_force(frame, empty, part_rows, block_rows, turns, monkeypatch):
+@pytest.mark.parametrize(("part_rows", "block_rows", "hubs", "few"), [(20_000, 4_096, 4, 10_000), (2, 2, 1, 0)])
+def test_components_equal_brute_force(frame, empty, part_rows, block_rows, hubs, few, monkeypatch):
     monkeypatch.setattr(near_duplicates, "PART_ROWS", part_rows)
     monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", block_rows)
-    monkeypatch.setattr(near_duplicates, "TURNS", turns)
+    monkeypatch.setattr(near_duplicates, "HUBS", hubs)
+    monkeypatch.setattr(near_duplicates, "FEW_DOCS", few)
     rows = near_rows()
     got = near_duplicates.link(frame(rows).repartition(3)).collect()
     assert sorted(((r.doc_id or -1, r.n_shingles, r.component_id) for r in got), key=str) == sorted(brute_components(rows), key=str)
