@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from amperoute.operators import conform, filters, merge
 from amperoute.plans.maintenance import fold_small
-from amperoute.sources.tables import read_seed, replace_table, upsert_partitions, upsert_table
+from amperoute.sources.tables import read_seed, replace_table, touched_rows, upsert_partitions, upsert_table
 
 SCHEMA = "k1 int, k2 date, a double, b int"
 D = date(2024, 1, 1)
@@ -148,3 +148,37 @@ def test_seed_rows(spark, tmp_path):
     schema = T.StructType.fromDDL("id int, name string, flag boolean, x double")
     got = read_seed(spark, str(tmp_path / "s.tsv"), schema).orderBy("id").collect()
     assert [tuple(r) for r in got] == [(1, "Depot A", True, None), (2, None, False, 1.5)]
+
+
+def test_null_partition_and_null_keys_survive_a_partitioned_upsert(spark, tmp_path):
+    path = str(tmp_path / "t")
+    kind = "k int, date date, a double"
+    replace_table(spark.createDataFrame([(1, date(2024, 1, 1), 1.0), (2, None, 2.0), (None, None, 3.0)], kind), path, ["date"])
+    batch = spark.createDataFrame([(7, None, 7.0), (1, date(2024, 1, 1), 4.0), (8, date(2024, 1, 1), 8.0)], kind)
+    counts = upsert_partitions(batch, path, ["k", "date"])
+    assert counts == {"inserted": 2, "updated": 1, "unchanged": 0, "kept": 2}
+    got = sorted(((r.k, r.date, r.a) for r in spark.read.parquet(path).collect()), key=str)
+    want = [(1, date(2024, 1, 1), 4.0), (8, date(2024, 1, 1), 8.0), (2, None, 2.0), (7, None, 7.0), (None, None, 3.0)]
+    assert got == sorted(want, key=str)
+
+
+def test_touched_partitions_are_bounded_in_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    replace_table(spark.createDataFrame([(k, date(2024, 1, k), 1.0) for k in range(1, 9)], "k int, date date, a double"), path, ["date"])
+    batch = spark.createDataFrame([(3, date(2024, 1, 3), 2.0)], "k int, date date, a double")
+    text = touched_rows(spark.read.parquet(path), batch, "date")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in text and "subquery" in text.split("PartitionFilters: [")[1].split("]")[0].lower()
+
+
+def test_duplicate_source_keys_fail_whatever_is_read(tables):
+    old, new = tables
+    twice = new.unionByName(new.where("k1 = 3"))
+    with pytest.raises(PySparkException, match="not unique"):
+        merge.merge_into(old, twice, ["k1", "k2"]).select("merge_action").collect()
+    assert merge.merge_into(old, merge.unique_source(twice, ["k1", "k2"], F.col("a")), ["k1", "k2"]).count() > 0
+
+
+def test_unique_source_keeps_rows_without_a_full_key(spark):
+    rows = [(1, "a", 1), (1, "a", 2), (None, "a", 3), (None, "a", 4), (2, None, 5)]
+    got = merge.unique_source(spark.createDataFrame(rows, "k int, c string, x int"), ["k", "c"], F.col("x").desc())
+    assert sorted(r.x for r in got.collect()) == [2, 3, 4, 5]

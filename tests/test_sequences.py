@@ -272,3 +272,34 @@ def test_empty_input_gives_empty_results(spark):
     assert ordered_fold.flag_gps_jumps(tel).isEmpty()
     assert ordered_fold.repair_doubled(tel).isEmpty()
     assert sequences.weekday_hour_minutes(tel.selectExpr("timestamp as s", "timestamp as e"), "s", "e").count() == 168
+
+
+def test_rows_without_key_or_time_stay_in_monotonic_mileage(spark):
+    rows = [(1, START, 5.0), (None, START, 6.0), (1, None, 7.0)]
+    got = sequences.monotonic_mileage(spark.createDataFrame(rows, "veh_id int, timestamp timestamp_ntz, mileage_raw double")).collect()
+    assert sorted(((r.veh_id, r.timestamp, r.mileage) for r in got), key=str) == sorted([(1, START, 5.0), (None, START, None), (1, None, None)], key=str)
+
+
+def test_trackless_points_are_given_apart(spark):
+    rows = [(1, START, 1.0), (1, START + timedelta(minutes=1), 2.0), (None, START, 3.0), (None, START, 4.0)]
+    points = spark.createDataFrame([(v, t, x, x) for v, t, x in rows], "veh_id int, timestamp timestamp_ntz, latitude double, longitude double")
+    assert sequences.trajectories(points, ["veh_id"]).count() == 2
+    assert sequences.trackless(points, ["veh_id"]).count() == 2
+
+
+def test_weekday_hours_hold_sums_beyond_the_interval_range(spark):
+    rows = spark.range(3_000_000).selectExpr("timestamp_ntz'2024-01-01 00:00:00' s", "timestamp_ntz'2024-01-01 01:00:00' e")
+    many = sequences.weekday_hour_minutes(rows, "s", "e", "UTC")
+    assert {r.minutes for r in many.where("minutes > 0").collect()} == {180_000_000.0}
+
+
+def test_trips_of_one_day_are_ordered_across_partitions(spark):
+    from amperoute.plans import loads
+
+    row = "vin string, date date, trip_num int, init_odo double, final_odo double, tot_dist double, tot_dura double, idle_time double, init_soc double, final_soc double, tot_energy double, row_no long"
+    day = START.date()
+    trips = [("v", day, 1, 100.0, 111.0, 1.0, 1.0, 0.0, 0.9, 0.8, 1.0, 1200 << 33), ("v", day, 2, 200.0, 222.0, 1.0, 1.0, 0.0, 0.7, 0.6, 1.0, 0)]
+    trips += [("w", day, None, 5.0, 6.0, 1.0, 1.0, 0.0, 0.9, 0.8, 1.0, 0), ("w", day, 3_000_000, 1.0, 2.0, 1.0, 1.0, 0.0, 0.7, 0.6, 1.0, 9)]
+    days = loads.trips_to_days(spark.createDataFrame(trips, row), ["vin", "date"], loads.trip_order())
+    got = {r.vin: (r.init_odo, r.final_odo) for r in days.collect()}
+    assert got == {"v": (100.0, 222.0), "w": (1.0, 6.0)}
