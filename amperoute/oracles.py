@@ -589,6 +589,9 @@ add("j6_insert_unmatched", "maintenance", """select id, veh_id, enter_shop from
     select 1 from maintenance s where s.warranty is not null and s.veh_id = t.veh_id and s.enter_shop = t.enter_shop)""")
 _EVENT = "date, maint_ob, maint_categ, maint_loc, enter_odo, warranty, veh_id, charger_id"
 add("j7_insert_distinct", "maintenance", f"select {_EVENT} from maintenance except select {_EVENT} from maintenance where maint_loc is not null")
+add("j8_unique_source", "veh_trip", """select veh_id, date, id, tot_dist from (
+    select *, row_number() over (partition by veh_id, date order by place) as place_no from (
+        select veh_id, case when id % 97 <> 0 then date end as date, id, tot_dist, place from veh_trip)) where date is null or place_no = 1""")
 add("j9_without_fleet", _CV, """select charger_id, count(*) as n from refuel_inf where charger_id not in (
     select c.id from charger c join fleet f on c.fleet_id = f.id where fleet_name = 'NATION_3') group by 1""")
 add("k3_overlap_counts", "veh_tel", f"""select count(*) as incoming, count(s.veh_id) as overlap_existing, count(*) - count(s.veh_id) as new_rows,

@@ -498,6 +498,13 @@ def j7_insert_distinct(t):
     return merge.insert_distinct(t.maintenance.where("maint_loc is not null"), t.maintenance, _EVENT)
 
 
+@query
+def j8_unique_source(t):
+    day = F.when(F.col("id") % 97 != 0, F.col("date")).alias("date")
+    trips = t.veh_trip.select("veh_id", day, "id", "tot_dist", "place")
+    return merge.unique_source(trips, ["veh_id", "date"], F.col("place")).drop("place")
+
+
 @query
 def j9_without_fleet(t):
     kept = merge.without_fleet_sessions(t.refuel_inf, t.charger, t.fleet, "NATION_3")
