@@ -225,11 +225,17 @@ def describe(docs: DataFrame) -> DataFrame:
 def count_table(described: DataFrame) -> np.ndarray:
     """Per bucket of cells at least as many documents as hold any one cell of it: 2^20 numbers at any size of the input."""
 
-    def summed(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c.as_py(), "<u2").astype(np.int64) for c in table.column("counts"))
-        return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()])})
+    def summed(kind: str):
+        def add(table: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(c.as_py(), kind).astype(np.int64) for c in table.column("counts"))
+            return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()])})
 
-    rows = described.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(summed, "slice int, counts binary")
+        return add
+
+    # First the tasks of a few, then all: no group holds a row of every task.
+    rows = described.where("slice is not null").select("slice", "counts", (F.spark_partition_id() % 64).alias("few"))
+    part = rows.groupBy("slice", "few").applyInArrow(summed("<u2"), "slice int, counts binary")
+    rows = part.groupBy("slice").applyInArrow(summed("<i4"), "slice int, counts binary")
     out = np.zeros(1 << COUNT_BITS, np.int32)
     for row in rows.collect():
         out[row.slice * COUNT_SLICE : (row.slice + 1) * COUNT_SLICE] = np.frombuffer(row.counts, "<i4")
