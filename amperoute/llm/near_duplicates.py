@@ -47,12 +47,12 @@ COUNT_BITS = 20
 COUNT_SLICE = 1 << 12
 # A group is joined in parts of about this many rows.
 PART_ROWS = 20_000
-# Further members that an open group is compared with, before all that is left is compared.
-HUBS = 4
+# Further members that a group is compared with, before all that is left is compared.
+HUBS = 3
 # Documents whose texts are read for verifying beside the others if there are so few of them (16 bytes each are sent).
 FEW_DOCS = 10_000
 # Members of one side that are compared in one piece of work.
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 1_024
 # Classes that a worker remembers to have sent, at most.
 SEEN = 500_000
 
@@ -330,35 +330,37 @@ def open_members(groups_: DataFrame, roots: DataFrame, classes: DataFrame) -> Da
     return labelled.join(open_.select("group_id"), "group_id", "left_semi").join(classes.select("set_id", "n", "sketch"), "set_id")
 
 
-def further_stars(members: DataFrame) -> DataFrame:
-    """(a, b): the members of an open group with ``HUBS`` of them, picked by hashes, unless they are connected."""
-    order = lambda turn: F.struct(F.xxhash64("set_id", F.lit(turn)).alias("h"), F.col("set_id").alias("a"), F.col("root").alias("top"))
-    hubs = members.groupBy("group_id").agg(F.array(*[F.min(order(turn)) for turn in range(HUBS)]).alias("hubs"))
-    met = members.join(hubs, "group_id").select("set_id", "root", F.explode("hubs").alias("hub")).where("root <> hub.top")
+def further_stars(groups_: DataFrame) -> DataFrame:
+    """(a, b): the members of a group of more than two with ``HUBS`` of them, picked by hashes."""
+    members = groups_.select("group_id", "set_id").distinct()
+    order = lambda turn: F.struct(F.xxhash64("set_id", F.lit(turn)).alias("h"), F.col("set_id").alias("a"))
+    hubs = members.groupBy("group_id").agg(F.count("*").alias("size"), F.array(*[F.min(order(turn)) for turn in range(HUBS)]).alias("hubs"))
+    met = members.join(hubs.where("size > 2"), "group_id").select("set_id", F.explode("hubs").alias("hub")).where("set_id <> hub.a")
     return met.select(F.least("hub.a", "set_id").alias("a"), F.greatest("hub.a", "set_id").alias("b")).distinct()
 
 
 def unconnected(members: DataFrame) -> DataFrame:
     """(a, b): members of one group that no link connects so far and whose sizes and sketches allow one.
 
-    Members outside a group's largest component are compared with all others of the group, by blocks and by sketches
-    alone; only pairs that pass leave the task.
+    Groups with the same largest component are taken together, as they share most members. Members outside that component
+    are compared with all others, by blocks and by sketches alone; only pairs that pass leave the task.
     """
     counts = members.groupBy("group_id", "root").agg(F.count("*").alias("n_root"))
-    group = counts.groupBy("group_id").agg(F.max(F.struct("n_root", "root")).alias("most"), F.sum("n_root").alias("size"))
-    group = group.select("group_id", F.col("most.root").alias("main"), F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks"))
-    placed = members.join(group, "group_id").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    most = counts.groupBy("group_id").agg(F.max(F.struct("n_root", "root")).alias("most")).select("group_id", F.col("most.root").alias("main"))
+    columns = ["main", "set_id", "root", "n", "sketch"]
+    gathered = members.join(most, "group_id").select(*columns).dropDuplicates(["main", "set_id"])
+    blocks = gathered.groupBy("main").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    placed = gathered.join(blocks, "main").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    columns = ["group_id", "set_id", "root", "n", "sketch"]
     asked = placed.where("root <> main").select(*columns, F.col("own").alias("probe"), F.explode(every).alias("block"), F.lit(True).alias("asks"))
     others = placed.select(*columns, F.explode(every).alias("probe"), F.col("own").alias("block"), F.lit(False).alias("asks"))
-    work = asked.unionByName(others).repartition("group_id", "probe", "block").sortWithinPartitions("group_id", "probe", "block")
+    work = asked.unionByName(others).repartition("main", "probe", "block").sortWithinPartitions("main", "probe", "block")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
         for batch in batches:
             rows = pa.Table.from_batches([batch]) if tail is None else pa.concat_tables([tail, pa.Table.from_batches([batch])])
-            keys_ = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("group_id", "probe", "block")], 1)
+            keys_ = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("main", "probe", "block")], 1)
             starts = np.flatnonzero(np.concatenate([[True], (keys_[1:] != keys_[:-1]).any(1)])) if len(keys_) else np.array([0])
             for a, b in zip(starts[:-1], starts[1:]):
                 yield from _passing(rows.slice(a, b - a))
@@ -452,9 +454,7 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     rows = described.where("slice is null").select("doc_id", "n", "set_id", "sketch")
     classes = rows.where("set_id is not null").groupBy("set_id", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("sketch").alias("sketch")).checkpoint()
     met = groups(chosen_cells(read, counts)).checkpoint()
-    links = verified(stars(met), classes, read).checkpoint()
-    roots = components(links)
-    links = links.union(verified(further_stars(open_members(met, roots, classes)), classes, read).checkpoint())
+    links = verified(stars(met).union(further_stars(met)).distinct(), classes, read).checkpoint()
     roots = components(links)
     rest = verified(unconnected(open_members(met, roots, classes)), classes, read)
     roots = components(links.union(rest))
