@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .rows import ROW, SPACE, packed, words_of
 
-# Buckets of hashed words and word endings: the ratio table is 8 * 2^15 bytes at any size of the input.
-BUCKETS = 1 << 15
+# Buckets of hashed words and word endings: the ratio table is 8 * 2^14 bytes at any size of the input.
+BUCKETS = 1 << 14
 # Trusted documents that the target is counted on, at most (those with the smallest hashed ids).
 TRUSTED_DOCS = 20_000
 # N-grams of prior evidence per bucket.
@@ -110,7 +110,8 @@ def verdicts(docs: DataFrame, trusted: DataFrame, carry: tuple[str, ...] = ("doc
     words are summed in the task that split them; one row per document leaves it.
     """
     table = log_ratios(docs, trusted, text, key, buckets, trusted_docs).first()["ratios"]
-    ratios = F.split(F.lit(" ".join(map(repr, table))), " ").cast("array<double>")
+    # Four decimals: the plan's texts, which Spark keeps on the driver, repeat the constant.
+    ratios = F.split(F.lit(" ".join(f"{x:.4f}" for x in table)), " ").cast("array<double>")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     kept = F.struct(*[F.col(f"{ROW}.`{c}`") for c in carry]).alias("carried")
     # The number of a row only keeps the rows of one scan apart; it is never compared with another scan's.
