@@ -1,5 +1,6 @@
 """Nearest neighbours, near duplicates, language model and pipeline."""
 
+import base64
 import math
 import random
 import zlib
@@ -165,6 +166,55 @@ def test_gradients_match_differences():
         model.weights[name][at] = kept
 
 
+def test_all_windows_train_and_all_ids_keep_their_pairs(frame, monkeypatch):
+    rng = np.random.default_rng(9)
+    listed = language_model.Listed(rng.integers(1, 9, 1300).astype(float))
+    for n in (1, 5, language_model.WINDOW, 3 * language_model.WINDOW + 7):
+        ids = rng.integers(0, 1300, n).astype(np.int32)
+        given, target, prior = language_model.training_windows(ids, listed)
+        assert (target >= 0).sum() == n and given.shape == target.shape == prior.shape
+        assert target[target >= 0].tolist() == listed.class_of[listed.place_of[ids]].tolist()
+        assert prior.ravel()[:n].tolist() == [ids[-1], *ids[:-1]]
+    # Words of one id each; the last forty are too rare to be listed and always stand in one order.
+    vocabulary = public.path("byte_bpe_50k.tiktoken")
+    subwords = language_model.Subwords(vocabulary, public.PATTERN)
+    with open(vocabulary, "rb") as lines:
+        words = [w.decode()[1:] for w in (base64.b64decode(line.split()[0]) for line in lines) if w[:1] == b" " and w[1:].isalpha() and w[1:].islower()][1000:2200]
+    assert all(len(subwords.sequence([w.encode()])) == 2 for w in words)
+    common, rare = words[:-40], words[-40:]
+    rows = [(i, " ".join(common[(i * 40 + k) % len(common)] for k in range(80))) for i in range(100)] + [(i, " ".join(rare)) for i in (501, 502, 503)]
+    assert not any(zlib.crc32(str(i).encode()) % 7 == 2 for i in (501, 502, 503))
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows += [(held[0], " ".join(rare)), (held[1], " ".join(rare[::-1])), (900, "a"), (901, None)]
+    scores = []
+    for limit in (10**6, 2000, 0):
+        monkeypatch.setattr(language_model, "FREQUENT_PAIRS", limit)
+        got = language_model.score(frame(rows).coalesce(1), vocabulary, public.PATTERN).collect()
+        scores.append({r.row.doc_id: r.score for r in got})
+    assert all(np.allclose(scores[0][i], s[i], rtol=1e-5) for s in scores for i in scores[0])
+    assert scores[0][held[0]] > scores[0][held[1]] + 20
+
+
+def test_class_likelihoods_of_all_ids_sum_to_one():
+    rng = np.random.default_rng(10)
+    n, counts = 1500, rng.integers(0, 9, 1500).astype(float)
+    listed = language_model.Listed(counts)
+    table = rng.integers(0, 3, (n, n)) * (rng.random((n, n)) < 0.1)
+    table[1200] = 0
+    left, right = np.nonzero(table)
+    c = table[left, right]
+    cls = listed.class_of[listed.place_of[right]]
+    grouped = np.zeros((n, language_model.CLASSES))
+    np.add.at(grouped, (left, cls), c - language_model.DISCOUNT)
+    some = np.nonzero(grouped)
+    every = language_model.Pairs(counts, listed, table.sum(1), (table > 0).sum(1), (*some, grouped[some]), left.astype(np.int64) << 32 | right, c)
+    assert np.allclose(every.classes.sum(1), 1, atol=1e-3)
+    for a in (3, 1200, 1499):
+        ids = np.arange(n)
+        each, _ = every.local(np.full(n, a), ids, np.zeros(n, np.int64), 1)
+        assert np.allclose(np.bincount(every.class_of, np.exp(each), language_model.CLASSES), 1, atol=1e-3)
+
+
 def test_base_scores_and_training_help(frame, empty):
     rows = texts() + [(100 + i, prose(800 + i, 400)) for i in range(120)]
     vocabulary = public.path("byte_bpe_50k.tiktoken")
