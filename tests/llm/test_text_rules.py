@@ -1,6 +1,7 @@
 """Quality rules, secret scans, extraction and sharding against plain versions."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -48,6 +49,28 @@ def test_scores_part_junk_from_prose_and_rows_are_kept_whole(frame):
     assert {r.score for r in quality.verdicts(rows, trusted.limit(0)).collect()} == {0.0}
 
 
+def test_word_order_and_every_kind_of_gram_count(frame):
+    clean = [(i, " ".join(prose(i % 4, 60).split())) for i in range(40)]
+    mixed = [(100 + i, " ".join(sorted(clean[i][1].split()))) for i in range(4)]
+    rows, ids = frame(clean + mixed), frame(clean).select("doc_id")
+    scores = {r.doc_id: r.score for r in quality.verdicts(rows, ids).collect()}
+    assert all(scores[100 + i] < scores[i] - 0.01 for i in range(4))
+
+    def grams(text):
+        words = text.split()
+        return [*((0, w) for w in words), *((1, w[-3:]) for w in words), *((2, pair) for pair in zip(words, words[1:]))]
+
+    raw, target = Counter(), Counter()
+    for i, text in clean + mixed:
+        raw.update(grams(text))
+        target.update(grams(text) if i < 100 else [])
+    share = [sum(n for (k, _), n in target.items() if k == kind) / sum(n for (k, _), n in raw.items() if k == kind) for kind in range(3)]
+    ratio = {g: math.log((target[g] + quality.PRIOR) / (n * share[g[0]] + quality.PRIOR)) for g, n in raw.items()}
+    for i, text in clean + mixed:
+        own = grams(text)
+        assert abs(scores[i] - sum(map(ratio.get, own)) / len(own)) < 1e-9
+
+
 def plain_spans(text):
     out = []
     runs = {"access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
