@@ -36,6 +36,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 MAIN = frozenset(("article", "main"))
 FURNITURE = frozenset("nav footer aside form head dialog menu".split())
+# What holds the whole page: words in its attributes tell of its layout.
+WHOLE_PAGE = frozenset(("html", "body"))
 NESTING = MAIN | FURNITURE | frozenset("header div section ul ol table dl details figure fieldset body td tr".split())
 FURNITURE_WORDS = re.compile(
     r"(?<![a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|side-?bar|footer|masthead|top-?bar|cookie\w*|consent|notice|popup|modal"
@@ -47,26 +49,29 @@ NAMED = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s
 FEATURES = ("in_main", "in_furniture", "page_has_main", "words", "link_density", "words_before", "density_before", "words_after", "density_after")
 
 
-def _kind(name: str, attributes: str, inside_main: bool) -> tuple[bool, bool]:
-    """Whether an element opens main text, and whether it opens page furniture."""
-    said = " ".join(NAMED.findall(attributes)) if "=" in attributes else ""
-    furniture = name in FURNITURE or (name == "header" and not inside_main) or bool(said and FURNITURE_WORDS.search(said))
-    main = name in MAIN or (not furniture and bool(said and MAIN_WORDS.search(said)))
-    return main and not furniture, furniture
+def _kind(name: str, attributes: str, inside_main: bool) -> tuple[bool, bool, bool]:
+    """Whether an element opens main text, and whether it opens page furniture by its name, or by its words (or a form)."""
+    said = " ".join(NAMED.findall(attributes)) if "=" in attributes and name not in WHOLE_PAGE else ""
+    named = (name in FURNITURE and name != "form") or (name == "header" and not inside_main)
+    worded = name == "form" or bool(said and FURNITURE_WORDS.search(said))
+    main = name in MAIN or (not named and not worded and bool(said and MAIN_WORDS.search(said)))
+    return main, named, worded
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     """(text, words, linked words, in main, in furniture) of each block with a word, in page order."""
     out, parts, linked, links = [], [], 0, 0
-    open_: list[tuple[str, int, int]] = []  # element, depth of main and of furniture inside it
-    main = furniture = at = 0
+    # Element, and the depths around it of main, furniture by name, furniture by words, that within main, and articles.
+    open_: list[tuple[str, int, int, int, int, int]] = []
+    main = named = worded = within = articles = at = 0
+    seen = False  # an article before
 
     def close() -> None:
         nonlocal parts, linked
         if parts:
             words = "".join(parts).split()
             if words:
-                out.append((" ".join(words), len(words), min(linked, len(words)), main > 0, furniture > 0))
+                out.append((" ".join(words), len(words), min(linked, len(words)), main > 0, named + worded > 0))
             parts, linked = [], 0
 
     def text(raw: str) -> None:
@@ -98,16 +103,25 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if token[2]:
             if any(e[0] == name for e in open_):
                 while True:
-                    gone, main, furniture = open_.pop()
+                    gone, main, named, worded, within, articles = open_.pop()
                     if gone == name:
                         break
         elif not token[4].endswith("/"):
-            opens_main, opens_furniture = _kind(name, token[4], main > 0)
-            open_.append((name, main, furniture))
-            if opens_furniture:
-                furniture += 1
+            opens_main, opens_named, opens_worded = _kind(name, token[4], main > 0)
+            if name in MAIN and not articles:
+                # What holds an article and was taken for furniture by its words is layout, unless it follows an article in main.
+                if not (within and seen):
+                    worded = within = 0
+                opens_worded = opens_worded and seen
+            open_.append((name, main, named, worded, within, articles))
+            if opens_named:
+                named += 1
+            elif opens_worded:
+                worded, within = worded + 1, within + (main > 0)
             elif opens_main:
-                main, furniture = main + 1, furniture
+                main += 1
+            if name in MAIN:
+                articles, seen = articles + (name == "article"), seen or name == "article"
     if at < len(page):
         text(page[at:])
     close()
@@ -138,6 +152,7 @@ SKETCHES = (
     "<article><h1>+5</h1><p>+@3</p><p>+2 @6</p><ul><li>+@2</li><li>+@4</li><li>+1 @2</li></ul><p>+1</p><p>+30</p></article><div>-40</div><div>-12</div>",
     "<div>-9</div><main><p>+1</p><p>+30</p><p>+2</p><p>+40</p><p>+@5</p><p>+@1</p></main><p>-20</p><p>-50</p><div>-8</div><div>-15</div>",
     "<div>-20</div><div>-30</div><article><p>+1</p><p>+@8</p><p>+1</p><p>+26</p></article><div>-22</div><p>-44</p><p>-70</p>",
+    "<body class=has-sidebar><div class='layout sidebar-right'><article class='post legal'><p>+9</p><p>+44</p><div class=related>-@6</div></article></div><p>-30</p></body>",
     "<p>-@1</p><p>-@1</p><p>-2</p><p>+36</p><p>+41</p><p>-1</p><p>-@2</p>",
 )
 

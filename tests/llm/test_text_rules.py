@@ -129,6 +129,17 @@ def test_tree_fits_its_table_and_held_out_sketches():
     assert extraction.main_text(page, tree)[0] == "x y z"
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<body class='has-sidebar nav-open'><article><p>one two</p></article></body>", "one two"),
+    ("<html class=search-enabled><body><div class='layout sidebar-right'><div class=menu>m</div><article class='post legal'><p>a b</p><div class=comments>no</div></article><p>x</p></div></body>", "a b"),
+    ("<main><div class='content has-sidebar'><article><p>a</p></article><article><p>b</p></article></div><div class=related><article><p>no</p></article></div></main>", "a b"),
+    ("<article><p>a</p></article><aside class=sidebar><article><p>no</p></article></aside><section class=comments><article class=comment><p>no</p></article></section>", "a"),
+    ("<form id=page><main><p>a</p><form>no</form></main></form>", "a"),
+])
+def test_layout_words_around_an_article_drop_nothing(page, want):
+    assert extraction.main_text(page, extraction.grow(*extraction.labelled_table()))[0] == want
+
+
 @pytest.mark.parametrize("limit", [1, 400, 3000, 10**9])
 def test_shards_fit_and_only_full_buckets_split(docs, limit):
     rows = sharding.shards(docs, limit).collect()
