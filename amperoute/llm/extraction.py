@@ -23,15 +23,18 @@ from .rows import packed, travels
 
 travels(__name__)
 
-# Comments, elements whose content is no text, tags (quoted attribute values may hold ">"), declarations.
+# Comments, tags (quoted attribute values may hold ">"), declarations.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object|select|textarea|button|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?/][^>]*>"
     r"|<[a-zA-Z][^<>]*>",
     re.S | re.I,
 )
+# Elements whose content is no text, and their next tag: its end; where they cannot nest, another start ends the search.
+UNREAD = {name: re.compile(rf"<(/){name}\s*>", re.I) for name in "script style noscript template svg iframe object textarea math".split()}
+UNREAD |= {name: re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I) for name in ("select", "button")}
+TO_THE_END = frozenset(("script", "style"))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 MAIN = frozenset(("article", "main"))
@@ -82,17 +85,27 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             if links:
                 linked += len(read.split())
 
-    for token in TOKEN.finditer(page):
+    unclosed: set[str] = set()  # elements without a further end tag
+    while token := TOKEN.search(page, at):
         if token.start() > at:
             text(page[at : token.start()])
         at = token.end()
-        name = token[3]
+        name = token[2]
         if name is None:
             continue
         name = name.lower()
+        if name in UNREAD and not token[1]:
+            if name in TO_THE_END or not token[3].endswith("/"):
+                end = None if name in unclosed else UNREAD[name].search(page, at)
+                if end is None:
+                    unclosed.add(name)
+                    at = len(page) if name in TO_THE_END else at
+                elif end[1]:
+                    at = end.end()
+            continue
         if name in INLINE:
             if name == "a":
-                links = 0 if token[2] else 1
+                links = 0 if token[1] else 1
             elif name == "br":
                 parts.append(" ")
             continue
@@ -100,14 +113,14 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         links = 0
         if name not in NESTING:
             continue
-        if token[2]:
+        if token[1]:
             if any(e[0] == name for e in open_):
                 while True:
                     gone, main, named, worded, within, articles = open_.pop()
                     if gone == name:
                         break
-        elif not token[4].endswith("/"):
-            opens_main, opens_named, opens_worded = _kind(name, token[4], main > 0)
+        elif not token[3].endswith("/"):
+            opens_main, opens_named, opens_worded = _kind(name, token[3], main > 0)
             if name in MAIN and not articles:
                 # What holds an article and was taken for furniture by its words is layout, unless it follows an article in main.
                 if not (within and seen):

@@ -140,6 +140,19 @@ def test_layout_words_around_an_article_drop_nothing(page, want):
     assert extraction.main_text(page, extraction.grow(*extraction.labelled_table()))[0] == want
 
 
+@pytest.mark.parametrize(("inside", "want"), [
+    ("<p>one <svg class='i'/> two</p><p>three</p>", "one two three"),
+    ("<p>one <svg><path/><text>no</text></svg> two</p><p>three</p>", "one two three"),
+    ("<p>one <object data='x' /> two</p><p>three <math/>four</p>", "one two three four"),
+    ("<p>one</p><button type=x><p>two</p><button>no</button><p>three</p>", "one two three"),
+    ("<p>one</p><iframe src=x><p>two</p><template><p>three</p>", "one two three"),
+    ("<button-group><p>one</p></button-group><style-guide>two</style-guide><p>three</p>", "one two three"),
+    ("<p>one</p><style>no</style ><SCRIPT>no</p></script><p>two<script>no <p>no</p>", "one two"),
+])
+def test_only_whole_elements_are_dropped(inside, want):
+    assert extraction.main_text(f"<article>{inside}</article>", extraction.grow(*extraction.labelled_table()))[0] == want
+
+
 @pytest.mark.parametrize("limit", [1, 400, 3000, 10**9])
 def test_shards_fit_and_only_full_buckets_split(docs, limit):
     rows = sharding.shards(docs, limit).collect()
