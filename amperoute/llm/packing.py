@@ -48,7 +48,6 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known = Memory(limit, self._learn)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

@@ -100,6 +100,15 @@ def test_packing_places_every_id_once_without_padding(docs, empty):
     assert packing.pack(empty, WORDS).count() == 0
 
 
+def test_packing_reads_special_tokens_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    library, words = Tokenizer.from_file(WORDS), packing.WordIds(WORDS)
+    for text in ("a <|endoftext|> b", "a<|endoftext|>b <|endoftext|><|endoftext|> c", "plain words only", "<|startoftext|> x\n<|endoftext|>"):
+        assert np.frombuffer(words.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(words.encode(["a <|endoftext|> b"])[0], "<u4").tolist() == [320, 49407, 321]
+
+
 def test_plan_closes_windows_of_all_tiers_and_steps_are_balanced():
     import random
 
