@@ -174,12 +174,16 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the labelled documents that are not held out. Starts a job; a bounded sample reaches the driver."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
-    short = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")) & (F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS))
-    known = short.join(marked, "doc_id").withColumn("deal", F.xxhash64(F.col("doc_id"), F.col("text")))
-    order = ["deal", "doc_id", "text"]
-    drawn = [known.where(f"label = {label}").orderBy(*order).limit(n) for label, n in ((0, TRAIN_ORDINARY), (1, TRAIN_TOXIC))]
-    rows = [row for part in drawn for row in part.select(*order, "label").collect()]
-    return Model([(windows(row.text), row.label) for row in rows])
+    dealt = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("deal"))
+    short = dealt.where(~held_out(F.col("doc_id")) & (F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS))
+    known = short.select("doc_id", "deal").join(marked, "doc_id").select("deal", "label").distinct()
+    # Numbers alone are ordered; the few texts that they choose follow.
+    drawn = [known.where(f"label = {label}").orderBy("deal").limit(n) for label, n in ((0, TRAIN_ORDINARY), (1, TRAIN_TOXIC))]
+    chosen = {row.deal: row.label for part in drawn for row in part.collect()}
+    picked = docs.sparkSession.createDataFrame(list(chosen), "long").toDF("deal")
+    texts = dealt.join(F.broadcast(picked), "deal", "left_semi").select("deal", "text").dropDuplicates(["deal"]).collect()
+    rows = sorted((row.deal, row.text) for row in texts)
+    return Model([(windows(text), chosen[deal]) for deal, text in rows])
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
