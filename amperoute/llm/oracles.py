@@ -68,3 +68,17 @@ from d left join found f using (doc_id)
 
 
 ORACLES["op9_secret_scans"] = _spans_sql()
+
+ORACLES["op12_hard_negatives"] = """
+with sound as (
+    select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda c: floor(256 * c::double)::bigint) as x
+    from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+scores as (
+    select a.vec_id as anchor, b.vec_id as other, a.label = b.label as same, coalesce(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])), 0)::bigint as score
+    from sound a join sound b on a.vec_id <> b.vec_id and len(a.x) = len(b.x) where a.vec_id % 100 = 0),
+positives as (select * from scores where same qualify row_number() over (partition by anchor order by score desc, other) <= 5)
+select p.anchor as anchor_id, p.other as positive_id, row_number() over (partition by p.anchor, p.other order by n.score desc, n.other)::int as rank,
+       n.other as negative_id, p.score as positive_score, n.score as negative_score
+from positives p join scores n on n.anchor = p.anchor and not n.same and 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score
+qualify row_number() over (partition by p.anchor, p.other order by n.score desc, n.other) <= 5
+"""

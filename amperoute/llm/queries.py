@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, extraction, language_model, near_duplicates, neighbours, packing, quality, secrets, sharding, token_count, toxicity
+from . import byte_bpe, extraction, hard_negatives, language_model, near_duplicates, neighbours, packing, quality, secrets, sharding, token_count, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,6 +96,16 @@ def op10_byte_bpe(spark, folder):
     return done.select("row.doc_id", n_tokens.cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+@query
+def op12_hard_negatives(spark, folder):
+    rows = table(spark, folder, "embeddings")
+    wrong = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    sound = rows.where(F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", wrong))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    return hard_negatives.mine(sound.select("vec_id", label.alias("label"), whole.alias("x")), F.col("id") % 100 == 0)
+
+
 @query
 def op13_toxicity(spark, folder):
     scored = toxicity.score(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
