@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, extraction, hard_negatives, language_model, near_duplicates, neighbours, packing, quality, secrets, sharding, token_count, toxicity
+from . import byte_bpe, conversation_repair, extraction, hard_negatives, language_model, near_duplicates, neighbours, packing, quality, secrets, sharding, token_count, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,6 +96,25 @@ def op10_byte_bpe(spark, folder):
     return done.select("row.doc_id", n_tokens.cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults at fixed rows: dropped, emptied, without ends of sentences, repeated, of the wrong role."""
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(told("conv_id"), F.lit(":"), told("turn"))) % 20
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace(told("text"), "[.!?]", "")).otherwise(told("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(told("role"))
+    kept = rows.withColumn("fault", fault).where("fault <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), "fault")
+    return kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("fault") == 3, 2).otherwise(1)))).drop("copy", "fault")
+
+
+@query
+def op11_conversation_repair(spark, folder):
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    repaired = conversation_repair.repair(damaged(rows)).withColumnRenamed("conv_id", "at")
+    every = rows.select("conv_id").distinct().join(repaired, F.col("conv_id").eqNullSafe(F.col("at")), "left")
+    nothing = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    return every.select("conv_id", *[F.coalesce(F.col(c), nothing.get(c, F.lit(0).cast("long"))).alias(c) for c in repaired.columns if c != "at"])
+
+
 @query
 def op12_hard_negatives(spark, folder):
     rows = table(spark, folder, "embeddings")
