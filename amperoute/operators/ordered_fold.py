@@ -1,22 +1,15 @@
 """Ordered folds whose state depends on earlier decisions: GPS jump clusters (W7), doubled readings.
 
-A plain fold would hold a whole vehicle in one task. Here rows fall into (vehicle, time block), and blocks
-without anything unusual never leave the JVM: the state they pass on is known from their last row.
-
-Vehicles are settled block by block: each unusual block is folded from a guessed entry state, every guess is compared
-with the exit of the block before, and blocks that guessed wrong are folded again, in runs whose length grows fourfold
-per round. The first wrong block of a vehicle is right after each round, so the result equals the sequential fold, and a
-chain of n wrong blocks settles in about log4(n) rounds. Only block-level states are kept between rounds (checkpointed files).
+A plain fold would hold a whole vehicle in one task. Here each is a rule for ``block_chain``: which states may stand at a
+block's end, which blocks may change a state, and how a block is folded from a given state.
 """
 
 from __future__ import annotations
 
-import math
 import sys
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,169 +17,12 @@ from pyspark.sql import types as T
 
 from ..functions.geo import EARTH_RADIUS_MILES, haversine_miles
 from ..functions.measures import time_block
-from ..session import ensure_checkpoint_dir
+from .block_chain import PLAIN, UNCHANGED, Columns, Fold, fold_rows, settle, untouched
 from .sequences import BLOCK_MINUTES
 
 # Workers need not have this package installed: its functions travel with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-Columns = dict[str, np.ndarray]
-# A fold takes one batch sorted by (key, run, order) and the carry of the batch before; it returns
-# the output columns, the state after every row, and the carry for the next batch.
-BatchFold = Callable[[Columns, object], tuple[Columns, Columns, object]]
-
-
-def _arrays(batch: pa.RecordBatch, names: Sequence[str]) -> Columns:
-    """Plain arrays: dates as days, instants as microseconds, null measures as NaN."""
-    out = {}
-    for name in names:
-        column = batch.column(name)
-        if pa.types.is_date32(column.type):
-            column = column.cast(pa.int32())
-        elif pa.types.is_timestamp(column.type):
-            column = column.cast(pa.int64()).fill_null(np.iinfo(np.int64).min)
-        out[name] = column.to_numpy(zero_copy_only=False)
-    return out
-
-
-def _same(names: Sequence[str], a: str, b: str) -> Column:
-    out = F.lit(True)
-    for n in names:
-        out = out & F.col(f"{a}{n}").eqNullSafe(F.col(f"{b}{n}"))
-    return out
-
-
-def _sorted_runs(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    return rows.repartition(key, "run").sortWithinPartitions(key, "run", *order)
-
-
-def _exits(
-    rows: DataFrame, runs: DataFrame, key: str, order: Sequence[str], reads: Sequence[str], state: Sequence[str], fold: BatchFold
-) -> DataFrame:
-    """Fold the rows of ``runs`` (key, block, run, entry states) and return each block's exit state."""
-    entries = [c for c in runs.columns if c not in (key, "block", "run")]
-    joined = rows.join(runs, [key, "block"])
-    fields = [joined.schema[c] for c in (key, "block", *order)]
-    out = T.StructType([*fields, *[T.StructField(f"exit_{s}", T.DoubleType()) for s in state]])
-
-    used = [key, "block", "run", *reads, *entries]
-
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = _arrays(batch, used)
-            _, states, carry = fold(columns, carry)
-            last = np.ones(batch.num_rows, dtype=bool)
-            last[:-1] = (columns[key][1:] != columns[key][:-1]) | (columns["block"][1:] != columns["block"][:-1])
-            found = batch.filter(pa.array(last)).select([key, "block", *order])
-            exits = [pa.array(states[s][last], from_pandas=True) for s in state]
-            yield pa.RecordBatch.from_arrays([*found.columns, *exits], names=[f.name for f in out.fields])
-
-    # a block cut by a batch border reports twice; its newest report counts
-    newest = F.struct(*order)
-    reports = _sorted_runs(joined, key, order).mapInArrow(ends, out)
-    return reports.groupBy(key, "block").agg(*[F.max_by(f"exit_{s}", newest).alias(f"exit_{s}") for s in state])
-
-
-def _settle(
-    rows: DataFrame, blocks: DataFrame, key: str, order: Sequence[str], reads: Sequence[str], state: Sequence[str],
-    known: Sequence[str], fold: BatchFold,
-) -> DataFrame:
-    """Runs of one block each, with true entry states, for the blocks that need a fold; see _runs."""
-    guess = [F.col(f"guess_{s}").alias(f"entry_{s}") for s in state]
-    first = blocks.where("unusual").select(key, "block", F.col("block").alias("run"), *known, *guess)
-    folded = _exits(rows, first, key, order, reads, state, fold)
-    table = blocks.join(folded, [key, "block"], "left").select(
-        key, "block", "unusual", *known, *[f"guess_{s}" for s in state], *guess,
-        *[F.when(F.col("unusual"), F.col(f"exit_{s}")).otherwise(F.col(f"plain_{s}")).alias(f"exit_{s}") for s in state],
-    ).checkpoint()
-
-    length, settled = 2, []
-    by_block = Window.partitionBy(key).orderBy("block")
-    while True:
-        actual = table.withColumns({f"actual_{s}": F.lag(f"exit_{s}").over(by_block) for s in state})
-        actual = actual.withColumn("at", F.row_number().over(by_block)).withColumn("wrong", ~_same(state, "actual_", "entry_"))
-        true_entry = [F.col(f"actual_{s}").alias(f"entry_{s}") for s in state]
-        head = F.struct(F.col("at").alias("start"), F.col("block").alias("run"), *true_entry, *known)
-        heads = F.when(F.col("wrong"), head)
-        runs = (
-            actual.withColumn("head", F.last(heads, ignorenulls=True).over(by_block))
-            .where((F.col("at") >= F.col("head.start")) & (F.col("at") - F.col("head.start") < length))
-            .select(key, "block", "head.*")
-            .drop("start")
-        )
-        if runs.isEmpty():
-            settled.append(table)
-            break
-        redone = _exits(rows, runs, key, order, reads, state, fold)
-        previous = Window.partitionBy(key, "run").orderBy("block")
-        inside = [
-            F.when(F.col("block") == F.col("run"), F.col(f"entry_{s}")).otherwise(F.lag(f"exit_{s}").over(previous)).alias(f"new_entry_{s}")
-            for s in state
-        ]
-        redone = runs.join(redone, [key, "block"]).select(
-            key, "block", *inside, *[F.col(f"exit_{s}").alias(f"new_exit_{s}") for s in state], F.lit(True).alias("redone")
-        )
-        moving = runs.select(key).distinct()
-        settled.append(table.join(moving, key, "left_anti"))
-        table = table.join(moving, key, "left_semi").join(redone, [key, "block"], "left").select(
-            key, "block", "unusual", *known, *[f"guess_{s}" for s in state],
-            *[
-                F.when(F.col("redone"), F.col(f"new_{side}_{s}")).otherwise(F.col(f"{side}_{s}")).alias(f"{side}_{s}")
-                for side in ("entry", "exit")
-                for s in state
-            ],
-        ).checkpoint()
-        length *= 4
-    table = settled[0]
-    for part in settled[1:]:
-        table = table.unionByName(part)
-    needs = F.col("unusual") | ~_same(state, "guess_", "entry_")
-    return table.where(needs).select(key, "block", F.col("block").alias("run"), *[f"entry_{s}" for s in state], *known)
-
-
-def _runs(
-    rows: DataFrame, blocks: DataFrame, key: str, order: Sequence[str], reads: Sequence[str], state: Sequence[str],
-    known: Sequence[str], fold: BatchFold,
-) -> DataFrame:
-    """The blocks to fold as (key, block, run, entry_*, known): rows of one run are folded in sequence.
-
-    ``blocks`` has key, block, ``known`` columns, guess_* and plain_* states and ``unusual``. Vehicles without an unusual
-    block need no fold at all.
-    """
-    ensure_checkpoint_dir(rows.sparkSession)
-    blocks = blocks.checkpoint()
-    busy = blocks.join(blocks.where("unusual").select(key).distinct(), key, "left_semi")
-    return _settle(rows, busy, key, order, reads, state, known, fold)
-
-
-def _fold_rows(
-    rows: DataFrame, runs: DataFrame, key: str, order: Sequence[str], reads: Sequence[str], out: T.StructType, fold: BatchFold
-) -> DataFrame:
-    """Fold the rows of the runs; columns the fold does not read pass untouched."""
-    joined = rows.join(runs, [key, "block"])
-    kept = rows.columns
-    used = [key, "run", *reads, *[c for c in runs.columns if c not in (key, "block", "run")]]
-    schema = T.StructType([*[joined.schema[c] for c in kept], *out.fields])
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns, _, carry = fold(_arrays(batch, used), carry)
-            added = [pa.array(columns[f.name], from_pandas=True) for f in out.fields]
-            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *added], names=[f.name for f in schema.fields])
-
-    return _sorted_runs(joined, key, order).mapInArrow(apply, schema)
-
-
-def _untouched(rows: DataFrame, runs: DataFrame, key: str) -> DataFrame:
-    """Rows outside all runs; the blocks in runs are the few, so they are what is matched."""
-    return rows.join(runs.select(key, "block"), [key, "block"], "left_anti")
-
 
 # ---------------------------------------------------------------- W7
 
@@ -197,54 +33,98 @@ def _miles(lat1, lon1, lat2, lon2):
     return 2 * EARTH_RADIUS_MILES * np.arcsin(np.sqrt(a))
 
 
-def _jump_fold(key: str, ts: str, lat: str, lon: str, limit: float) -> BatchFold:
-    def fold(batch: Columns, carry):
-        keys, runs, y, x, t = (batch[c] for c in (key, "run", lat, lon, ts))
-        n = len(keys)
-        new = np.ones(n, dtype=bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (runs[1:] != runs[:-1])
-        py, px, pt = np.roll(y, 1), np.roll(x, 1), np.roll(t, 1)
-        py[new], px[new], pt[new] = (batch[f"prev_{c}"][new] for c in ("lat", "lon", "ts"))
-        ay, ax = np.full(n, np.nan), np.full(n, np.nan)
-        ay[new], ax[new] = batch["entry_lat"][new], batch["entry_lon"][new]
-        if carry is not None and carry[0] == keys[0] and carry[1] == runs[0]:
-            _, _, py[0], px[0], pt[0], ay[0], ax[0] = carry
+class Track:
+    """The rows of one block, in order, with the step from the row before; the first row's is known from the block before."""
 
+    def __init__(self, y: np.ndarray, x: np.ndarray, t: np.ndarray, before: tuple[float, float, int], limit: float):
+        py, px, pt = np.roll(y, 1), np.roll(x, 1), np.roll(t, 1)
+        py[0], px[0], pt[0] = before
         has, had = ~(np.isnan(y) | np.isnan(x)), ~(np.isnan(py) | np.isnan(px))
-        valid = has & had & (t > pt)
-        step = np.full(n, np.inf)
-        step[valid] = _miles(py[valid], px[valid], y[valid], x[valid])
-        jump = valid & (step > limit)
-        flags = np.zeros(n, dtype=bool)
-        sy, sx = np.full(n, np.nan), np.full(n, np.nan)
-        ends = np.append(np.flatnonzero(new)[1:], n)
-        inside = ~np.isnan(ay)
-        free = 0
-        for i in np.flatnonzero(jump | inside):
-            if i < free:
-                continue
-            if inside[i]:
-                cy, cx, k = ay[i], ax[i], i
-            else:
-                cy, cx, k = py[i], px[i], i + 1
-                flags[i], sy[i], sx[i] = True, cy, cx
-            end = ends[np.searchsorted(ends, i, side="right")]
-            width = 64
-            free = end
-            while k < end:
-                to = min(k + width, end)
-                back = ~valid[k:to] | (_miles(cy, cx, y[k:to], x[k:to]) <= step[k:to])
-                stop = int(np.argmax(back)) if back.any() else to - k
-                flags[k : k + stop] = True
-                sy[k : k + stop], sx[k : k + stop] = cy, cx
-                k += stop
-                if k < to:
-                    free = k + 1
-                    break
-                width *= 2
-        return {"gps_outlier": flags}, {"lat": sy, "lon": sx}, (keys[-1], runs[-1], y[-1], x[-1], t[-1], sy[-1], sx[-1])
-
-    return fold
+        self.valid = has & had & (t > pt)
+        self.step = np.full(len(y), np.inf)
+        self.step[self.valid] = _miles(py[self.valid], px[self.valid], y[self.valid], x[self.valid])
+        self.y, self.x, self.py, self.px = y, x, py, px
+        self.jumps = np.flatnonzero(self.valid & (self.step > limit))
+
+    def first_return(self, cy: float, cx: float, k: int) -> int:
+        """The first row from ``k`` on that ends a cluster left at (cy, cx); the number of rows if none does."""
+        width, n = 64, len(self.y)
+        while k < n:
+            to = min(k + width, n)
+            back = ~self.valid[k:to] | (_miles(cy, cx, self.y[k:to], self.x[k:to]) <= self.step[k:to])
+            if back.any():
+                return k + int(np.argmax(back))
+            k, width = to, width * 2
+        return n
+
+    def walk(self, cy: float, cx: float) -> tuple[list[tuple[int, int]], int]:
+        """The clusters as (first row, end), from the entry state (NaN: none is open), and the state at the end."""
+        n, found, free = len(self.y), [], 0
+        if not np.isnan(cy):
+            end = self.first_return(cy, cx, 0)
+            found.append((0, end))
+            if end == n:
+                return found, UNCHANGED
+            free = end + 1
+        while (at := int(np.searchsorted(self.jumps, free))) < len(self.jumps):
+            j = int(self.jumps[at])
+            end = self.first_return(self.py[j], self.px[j], j + 1)
+            found.append((j, end))
+            if end == n:
+                return found, j
+            free = end + 1
+        return found, PLAIN
+
+
+class JumpFold(Fold):
+    """State: the last position before an open cluster. The plain state is none."""
+
+    def __init__(self, key: str, ts: str, lat: str, lon: str, limit: float):
+        super().__init__(key, [ts], [ts, lat, lon], ["prev_lat", "prev_lon", "prev_ts"])
+        self.ts, self.lat, self.lon, self.limit = ts, lat, lon, limit
+
+    def _tracks(self, columns: Columns, starts: np.ndarray, ends: np.ndarray) -> Iterator[Track]:
+        for i, j in zip(starts.tolist(), ends.tolist(), strict=True):
+            before = tuple(columns[c][i] for c in self.known)
+            yield Track(columns[self.lat][i:j], columns[self.lon][i:j], columns[self.ts][i:j], before, self.limit)
+
+    def open_states(self, columns, starts, ends):
+        out = []
+        for number, track in enumerate(self._tracks(columns, starts, ends)):
+            for j in track.jumps.tolist():
+                if track.first_return(track.py[j], track.px[j], j + 1) == len(track.y):
+                    out.append((number, j, track.py[j], track.px[j]))
+        number, code, y, x = zip(*out, strict=True) if out else [()] * 4
+        return np.array(number, int), np.array(code, int), np.array(y, float), np.array(x, float)
+
+    def meets(self, a, b, blocks):
+        n = len(blocks["unusual"])
+        if np.isnan(a):
+            return np.arange(n) == 0, np.arange(n) == 0
+        # The least distance to the box of a block's positions; a return is within the block's longest step.
+        high, low = blocks["lat_high"], blocks["lat_low"]
+        up = np.maximum(0, np.maximum(low - a, a - high))
+        side = np.maximum(0, np.maximum(blocks["lon_low"] - b, b - blocks["lon_high"]))
+        side = np.minimum(side, np.maximum(0, 360 - np.maximum(abs(blocks["lon_low"] - b), abs(blocks["lon_high"] - b))))
+        narrow = np.minimum(np.cos(np.radians(low)), np.cos(np.radians(high))).clip(0)
+        part = np.maximum(np.sin(np.radians(up) / 2) ** 2, np.cos(np.radians(a)) * narrow * np.sin(np.radians(np.minimum(side, 180)) / 2) ** 2)
+        least = 2 * EARTH_RADIUS_MILES * np.arcsin(np.sqrt(part.clip(0, 1)))
+        gap = blocks["gap"].astype(bool)
+        with np.errstate(invalid="ignore"):
+            possible = gap | ~(least > blocks["step"] * (1 + 1e-9) + 1e-6)
+            sure = gap | (_miles(a, b, blocks["far_lat"], blocks["far_lon"]) < blocks["step"] * (1 - 1e-9) - 1e-6)
+        return possible, sure
+
+    def leave(self, columns, starts, ends, block, a, b):
+        tracks = list(self._tracks(columns, starts, ends))
+        return np.array([tracks[i].walk(y, x)[1] for i, y, x in zip(block.tolist(), a.tolist(), b.tolist(), strict=True)], int)
+
+    def rows(self, columns, starts, ends, a, b):
+        flags = np.zeros(len(columns[self.lat]), bool)
+        for track, start, y, x in zip(self._tracks(columns, starts, ends), starts.tolist(), a.tolist(), b.tolist(), strict=True):
+            for first, end in track.walk(y, x)[0]:
+                flags[start + first : start + end] = True
+        return {"gps_outlier": flags}
 
 
 def flag_gps_jumps(
@@ -261,32 +141,45 @@ def flag_gps_jumps(
 
     A jump of more than ``max_jump_miles`` between neighbours opens a cluster; a point stays in it until it
     is at least as close to the last normal point as to its predecessor. A missing position, or time that
-    does not advance, ends it. Starts jobs: cluster states crossing blocks are settled before returning.
+    does not advance, ends it. Starts a fixed number of jobs: clusters crossing blocks are settled before returning.
     """
     rows = samples.withColumn("block", time_block(F.col(ts), block_minutes))
     in_block = Window.partitionBy(key, "block").orderBy(ts)
-    miles = haversine_miles(F.lag(lat).over(in_block), F.lag(lon).over(in_block), F.col(lat), F.col(lon))
-    last = F.struct(F.col(lat).alias("prev_lat"), F.col(lon).alias("prev_lon"), F.col(ts).alias("prev_ts"))
-    first = F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon"))
-    blocks = (
-        rows.select(key, "block", ts, lat, lon)
-        .withColumn("far", miles > max_jump_miles)
+    y, x = (F.when(~F.isnan(c), F.col(c)) for c in (lat, lon))
+    narrow = rows.select(key, "block", ts, y.alias(lat), x.alias(lon))
+    place = F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon"), F.col(ts).alias("ts"))
+    stepped = narrow.withColumn("before", F.lag(place).over(in_block))
+
+    def step(then: Column, now: Column) -> Column:
+        return F.when(now["ts"] > then["ts"], haversine_miles(then["lat"], then["lon"], now["lat"], now["lon"]))
+
+    longest = F.struct(F.col("step"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+    summed = (
+        stepped.withColumn("step", F.when(F.col("before").isNotNull(), step(F.col("before"), place)))
         .groupBy(key, "block")
-        .agg(F.max_by(last, ts).alias("last"), F.min_by(first, ts).alias("first"), F.bool_or("far").alias("far"), F.count("*").alias("n"))
+        .agg(
+            F.max_by(place, ts).alias("last"), F.min_by(place, ts).alias("first"),
+            F.max(F.when(F.col("step").isNotNull(), longest)).alias("longest"),
+            F.bool_or(F.col("before").isNotNull() & F.col("step").isNull()).alias("gap"),
+            *[f(c).alias(f"{name}_{side}") for name, c in (("lat", lat), ("lon", lon)) for side, f in (("low", F.min), ("high", F.max))],
+        )
         .withColumn("prev", F.lag("last").over(Window.partitionBy(key).orderBy("block")))
+        .withColumn("entry", step(F.col("prev"), F.col("first")))
     )
-    entry_miles = haversine_miles(F.col("prev.prev_lat"), F.col("prev.prev_lon"), F.col("first.lat"), F.col("first.lon"))
-    nothing = {f"{kind}_{s}": F.lit(None).cast("double") for kind in ("guess", "plain") for s in ("lat", "lon")}
-    blocks = blocks.select(
-        key, "block", "n", "prev.*",
-        F.coalesce(F.col("far") | (entry_miles > max_jump_miles), F.col("far"), entry_miles > max_jump_miles, F.lit(False)).alias("unusual"),
-    ).withColumns(nothing)
-    fold = _jump_fold(key, ts, lat, lon, max_jump_miles)
-    narrow = rows.select(key, "block", ts, lat, lon)
-    reads = [ts, lat, lon]
-    runs = _runs(narrow, blocks, key, [ts], reads, ["lat", "lon"], ["prev_lat", "prev_lon", "prev_ts"], fold)
-    flagged = _fold_rows(rows, runs, key, [ts], reads, T.StructType([T.StructField("gps_outlier", T.BooleanType())]), fold)
-    plain = _untouched(rows, runs, key).withColumn("gps_outlier", F.lit(False))
+    entered = F.when(F.col("entry").isNotNull(), F.struct(F.col("entry").alias("step"), F.col("first.lat").alias("lat"), F.col("first.lon").alias("lon")))
+    farthest = F.greatest("longest", entered)
+    nothing = F.lit(None).cast("double")
+    blocks = summed.select(
+        key, "block", *[F.col(f"prev.{c}").alias(f"prev_{c}") for c in ("lat", "lon", "ts")],
+        F.coalesce(F.col("longest.step") > max_jump_miles, F.lit(False)).__or__(F.coalesce(F.col("entry") > max_jump_miles, F.lit(False))).alias("unusual"),
+        nothing.alias("plain_a"), nothing.alias("plain_b"), (F.col("gap") | F.col("entry").isNull()).alias("gap"),
+        F.coalesce(farthest["step"], F.lit(0.0)).alias("step"), farthest["lat"].alias("far_lat"), farthest["lon"].alias("far_lon"),
+        "lat_low", "lat_high", "lon_low", "lon_high",
+    )
+    fold = JumpFold(key, ts, lat, lon, max_jump_miles)
+    entries = settle(narrow, blocks, fold, every_block=False)
+    flagged = fold_rows(rows, entries, fold, T.StructType([T.StructField("gps_outlier", T.BooleanType())]))
+    plain = untouched(rows, entries, key).withColumn("gps_outlier", F.lit(False))
     return plain.unionByName(flagged).drop("block")
 
 
@@ -299,42 +192,93 @@ def null_gps_jumps(samples: DataFrame, *, lat: str = "latitude", lon: str = "lon
 
 # ---------------------------------------------------------------- W8
 
+# Below this a kept mileage is too small for its halves to be judged by summaries.
+_SMALL = 1e-6
+# Values in one lockstep table.
+_CELLS = 4_000_000
 
-def _doubling_fold(key: str, tolerance: float) -> BatchFold:
-    def near(a: float, b: float) -> bool:
-        return abs(a - b) <= tolerance * max(abs(b), 1e-9)
 
-    def fold(batch: Columns, carry):
-        # plain Python numbers: scalar steps on arrays are several times slower
-        keys, runs, miles, socs, entry_m, entry_s = (
-            batch[c].tolist() for c in (key, "run", "mileage", "soc", "entry_m", "entry_s")
-        )
-        n = len(keys)
-        keep, fixed_m, fixed_s = [True] * n, [False] * n, [False] * n
-        new_m, new_s, state_m, state_s = miles[:], socs[:], miles[:], socs[:]
-        at_key, at_run, pm, ps = carry if carry is not None else (None, None, math.nan, math.nan)
-        lowest = 1.0 - tolerance
-        for i in range(n):
-            if runs[i] != at_run or keys[i] != at_key:
-                at_key, at_run, pm, ps = keys[i], runs[i], entry_m[i], entry_s[i]
-            m, s = miles[i], socs[i]
-            if pm == pm and near(m - pm, pm):
-                m, fixed_m[i] = m / 2.0, True
-            if ps == ps and s == s and near(s, 2.0 * ps):
-                s, fixed_s[i] = s / 2.0, True
-            if m < 0 or m < pm * lowest or s < 0 or s > 1:  # comparisons with NaN are false
-                keep[i] = False
-            else:
-                pm, ps = m, s
-                new_m[i], new_s[i] = m, s
-            state_m[i], state_s[i] = pm, ps
-        keep, fixed_m, fixed_s, new_m, new_s, state_m, state_s = (
-            np.array(x) for x in (keep, fixed_m, fixed_s, new_m, new_s, state_m, state_s)
-        )
-        out = {"kept": keep, "mileage_fixed": fixed_m, "soc_fixed": fixed_s, "mileage_new": new_m, "soc_new": new_s}
-        return out, {"m": state_m, "s": state_s}, (keys[-1], runs[-1], pm, ps)
+class DoublingFold(Fold):
+    """State: the last kept (mileage, soc). The plain state is the raw reading of the row before.
+
+    A state's code is 4 x row + 1 if the mileage was halved + 2 if the soc was.
+    """
 
-    return fold
+    def __init__(self, key: str, order: list[str], tolerance: float):
+        super().__init__(key, order, ["mileage", "soc"], [])
+        self.tolerance, self.lowest = tolerance, 1.0 - tolerance
+
+    def _near(self, a, b):
+        return np.abs(a - b) <= self.tolerance * np.maximum(np.abs(b), 1e-9)
+
+    def _lockstep(self, columns: Columns, starts: np.ndarray, ends: np.ndarray, pm: np.ndarray, ps: np.ndarray, each=None) -> np.ndarray:
+        """Fold all lanes side by side, one row of each per step; lanes of like length share a table. Codes at the end.
+
+        ``each`` gets (rows, kept, mileage halved, soc halved, mileage, soc) of every step.
+        """
+        sizes, codes = ends - starts, np.full(len(starts), UNCHANGED)
+        order = np.argsort(sizes, kind="stable")
+        miles, socs = columns["mileage"], columns["soc"]
+        with np.errstate(invalid="ignore"):
+            while len(order):
+                some = order[-max(1, _CELLS // max(1, int(sizes[order[-1]]))) :]
+                order = order[: len(order) - len(some)]
+                m0, s0, left, first = pm[some].copy(), ps[some].copy(), sizes[some], starts[some]
+                for r in range(int(left.max(initial=0))):
+                    cut = int(np.searchsorted(left, r, side="right"))  # shorter lanes have ended
+                    rows = first[cut:] + r
+                    m, s, pm_, ps_ = miles[rows], socs[rows], m0[cut:], s0[cut:]
+                    half_m, half_s = self._near(m - pm_, pm_), self._near(s, 2.0 * ps_)
+                    m, s = np.where(half_m, m / 2.0, m), np.where(half_s, s / 2.0, s)
+                    kept = ~((m < 0) | (m < pm_ * self.lowest) | (s < 0) | (s > 1))
+                    m0[cut:], s0[cut:] = np.where(kept, m, pm_), np.where(kept, s, ps_)
+                    codes[some[cut:]] = np.where(kept, 4 * r + half_m + 2 * half_s, codes[some[cut:]])
+                    if each is not None:
+                        each(rows, kept, half_m, half_s, m, s)
+        return codes
+
+    def open_states(self, columns, starts, ends):
+        m, s = columns["mileage"], columns["soc"]
+        block = np.repeat(np.arange(len(starts)), ends - starts)
+        row = np.arange(len(m)) - starts[block]
+        with np.errstate(invalid="ignore"):
+            sound = np.where((m >= 0) & ~((s < 0) | (s > 1)) | np.isnan(m), m, -np.inf)
+            # The greatest sound mileage behind each row of its block: a running maximum from the end, block by block.
+            behind = np.full(len(m), -np.inf)
+            for i, j in zip(starts.tolist(), ends.tolist(), strict=True):
+                behind[i : j - 1] = np.maximum.accumulate(sound[i + 1 : j][::-1])[::-1]
+            out = []
+            for variant in range(4):
+                a, b = (m / 2 if variant & 1 else m), (s / 2 if variant & 2 else s)
+                lasting = (behind < a * self.lowest) | (a < _SMALL)
+                kept = ~((a < 0) | (b < 0) | (b > 1)) & ~((variant & 2 > 0) & np.isnan(s))
+                plain = (row == (ends - starts)[block] - 1) & (variant == 0)
+                at = np.flatnonzero(lasting & kept & ~plain)
+                out.append((block[at], 4 * row[at] + variant, a[at], b[at]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def meets(self, a, b, blocks):
+        with np.errstate(invalid="ignore"):
+            sound = ~np.isnan(blocks["sound"].astype(float)) | blocks["odd_mileage"].astype(bool)
+            enough = sound if np.isnan(a) else (blocks["sound"].astype(float) >= a * self.lowest) | blocks["odd_mileage"].astype(bool)
+        sure = enough & (np.isnan(a) or a >= _SMALL)
+        return sure | blocks["high_soc"].astype(bool) | (a < _SMALL), sure
+
+    def leave(self, columns, starts, ends, block, a, b):
+        codes = self._lockstep(columns, starts[block], ends[block], a, b)
+        return np.where(codes == 4 * (ends - starts)[block] - 4, PLAIN, codes)
+
+    def rows(self, columns, starts, ends, a, b):
+        n = len(columns["mileage"])
+        out = {"kept": np.zeros(n, bool), "mileage_fixed": np.zeros(n, bool), "soc_fixed": np.zeros(n, bool)}
+        out |= {"mileage_new": columns["mileage"].copy(), "soc_new": columns["soc"].copy()}
+
+        def each(rows, kept, half_m, half_s, m, s):
+            out["kept"][rows], out["mileage_fixed"][rows], out["soc_fixed"][rows] = kept, half_m, half_s
+            out["mileage_new"][rows[kept]], out["soc_new"][rows[kept]] = m[kept], s[kept]
+
+        self._lockstep(columns, starts, ends, a, b, each)
+        return out
 
 
 def _unusual(m: Column, s: Column, pm: Column, ps: Column, tolerance: float) -> Column:
@@ -373,29 +317,26 @@ def repair_doubled(
         F.col("mileage"), F.col("soc"), F.lag("mileage").over(in_block), F.lag("soc").over(in_block), tolerance
     )
     place = F.struct(*order)
+    sound = (F.col("mileage") >= 0) & F.coalesce(F.col("soc").between(0, 1), F.lit(True))
     by_block = Window.partitionBy(key).orderBy("block")
     blocks = (
         rows.select(key, "block", *order, "mileage", "soc")
         .withColumn("odd", odd)
         .groupBy(key, "block")
-        .agg(F.min_by(here, place).alias("first"), F.max_by(here, place).alias("last"), F.bool_or("odd").alias("odd"), F.count("*").alias("n"))
+        .agg(F.min_by(here, place).alias("first"), F.max_by(here, place).alias("last"), F.bool_or("odd").alias("odd"),
+             F.max(F.when(sound, F.col("mileage"))).alias("sound"), F.bool_or(F.isnan("mileage")).alias("odd_mileage"), F.bool_or(F.coalesce(F.col("soc") > 1, F.lit(False))).alias("high_soc"))
         .withColumn("prev", F.lag("last").over(by_block))
     )
     entry_odd = _unusual(F.col("first.m"), F.col("first.s"), F.col("prev.m"), F.col("prev.s"), tolerance)
     blocks = blocks.select(
-        key, "block", "n", (F.col("odd") | entry_odd).alias("unusual"),
-        *[F.col(f"prev.{s}").alias(f"guess_{s}") for s in "ms"],
-        *[F.col(f"last.{s}").alias(f"plain_{s}") for s in "ms"],
+        key, "block", (F.col("odd") | entry_odd).alias("unusual"), F.col("prev.m").alias("plain_a"), F.col("prev.s").alias("plain_b"),
+        F.col("sound").cast("double").alias("sound"), "odd_mileage", "high_soc",
     )
-    fold = _doubling_fold(key, tolerance)
-    narrow = rows.select(key, "block", *order, "mileage", "soc")
-    reads = ["mileage", "soc"]
-    runs = _runs(narrow, blocks, key, order, reads, ["m", "s"], [], fold)
+    fold = DoublingFold(key, order, tolerance)
+    entries = settle(rows.select(key, "block", *order, "mileage", "soc"), blocks, fold, every_block=True)
     flags = [T.StructField(c, T.BooleanType()) for c in ("kept", "mileage_fixed", "soc_fixed")]
     values = [T.StructField(c, T.DoubleType()) for c in ("mileage_new", "soc_new")]
-    folded = _fold_rows(rows, runs, key, order, reads, T.StructType([*flags, *values]), fold)
+    folded = fold_rows(rows, entries, fold, T.StructType([*flags, *values]))
     folded = folded.withColumns({"mileage": F.col("mileage_new"), "soc": F.col("soc_new")}).drop("mileage_new", "soc_new")
-    plain = _untouched(rows, runs, key).withColumns(
-        {"kept": F.lit(True), "mileage_fixed": F.lit(False), "soc_fixed": F.lit(False)}
-    )
+    plain = untouched(rows, entries, key).withColumns({"kept": F.lit(True), "mileage_fixed": F.lit(False), "soc_fixed": F.lit(False)})
     return plain.unionByName(folded).drop("block")
