@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import written
 
 # Workers need not have this package installed: its functions travel with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -213,13 +213,12 @@ def settle(rows: DataFrame, blocks: DataFrame, fold: Fold, every_block: bool) ->
     ``blocks`` has key, block, unusual, plain_a and plain_b (the plain state at its start) and the columns that the fold's
     ``meets`` and ``known`` name. Keys without an unusual block are left out. ``every_block``: usual blocks have open states too.
     """
-    ensure_checkpoint_dir(rows.sparkSession)
     key = fold.key
-    busy = blocks.withColumn("busy", F.bool_or("unusual").over(Window.partitionBy(key))).where("busy").drop("busy").checkpoint()
-    states = _states(rows, busy if every_block else busy.where("unusual"), fold).checkpoint()
-    meetings = _meetings(busy, states, fold).checkpoint()
+    busy = written(blocks.withColumn("busy", F.bool_or("unusual").over(Window.partitionBy(key))).where("busy").drop("busy"))
+    states = written(_states(rows, busy if every_block else busy.where("unusual"), fold))
+    meetings = written(_meetings(busy, states, fold))
     entries = _walked(busy, _left(rows, busy, meetings, fold), states, fold)
-    return entries.join(busy.select(key, "block", *fold.known), [key, "block"]).checkpoint()
+    return written(entries.join(busy.select(key, "block", *fold.known), [key, "block"]))
 
 
 def fold_rows(rows: DataFrame, entries: DataFrame, fold: Fold, out: T.StructType) -> DataFrame:

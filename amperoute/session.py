@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 # Fixed value: the JVM compiles no method above this many bytecodes.
@@ -39,3 +40,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="amperoute-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """``rows`` written once to the shared checkpoint folder and read again, so that lost executors cost no recomputation.
+
+    An eager ``checkpoint()`` evaluates its last stage twice, once for the count and once for the files.
+    """
+    spark = rows.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
