@@ -71,24 +71,14 @@ def asof_anchor(
 ) -> DataFrame:
     """J-8: per key, the newest stored value strictly before the batch's first instant.
 
-    The stored side is reduced per (key, day) first; only the day of the batch start is looked at row by
-    row, so a long history meets the join as one row per day.
+    Both sides are read once. The newest of the batch's first instants bounds the scan of the stored side, whose rows meet
+    one row per key and are reduced to one row per key and task before they are shuffled for the answer.
     """
     first = batch.groupBy(key).agg(F.min(ts).alias("__first"))
-    known = stored.where(F.col(value).isNotNull()).select(key, F.col(ts).alias("__ts"), F.col(value).alias("__v"))
-    daily = (
-        known.groupBy(key, F.to_date("__ts").alias("__d"))
-        .agg(F.max("__ts").alias("__ts"), F.max_by("__v", "__ts").alias("__v"))
-    )
-    earlier_days = daily.join(first, key).where(F.col("__d") < F.to_date("__first")).select(key, "__ts", "__v")
-    same_day = (
-        known.withColumn("__d", F.to_date("__ts"))
-        .join(first.withColumn("__d", F.to_date("__first")), [key, "__d"])
-        .where("__ts < __first")
-        .groupBy(key)
-        .agg(F.max("__ts").alias("__ts"), F.max_by("__v", "__ts").alias("__v"))
-    )
-    best = earlier_days.unionByName(same_day).groupBy(key).agg(F.max_by("__v", "__ts").alias("anchor"))
+    bound = batch.groupBy(key).agg(F.min(ts).alias("__first")).agg(F.max("__first").alias("bound")).scalar()
+    known = stored.where(F.col(value).isNotNull() & (F.col(ts) < bound)).select(key, F.col(ts).alias("__ts"), F.col(value).alias("__v"))
+    earlier = known.join(first, key).where("__ts < __first")
+    best = earlier.groupBy(key).agg(F.max_by("__v", "__ts").alias("anchor"))
     return first.join(best, key, "left").select(key, F.col("__first").alias("first_ts"), "anchor")
 
 

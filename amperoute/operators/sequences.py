@@ -9,6 +9,7 @@ No window over raw rows spans a whole vehicle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.measures import floor_at_zero, hour_floor, round_to, seconds, time_block
 from ..functions.staging import evaluated
 from ..functions.zones import LOCAL_TZ, utc_to_local
+from ..session import written
 
 # Rows of one vehicle are ordered within blocks of this length. Shorter blocks split a busy vehicle over
 # more tasks, longer ones leave fewer block summaries.
@@ -308,31 +310,67 @@ def track_pieces(points: DataFrame, keys: Sequence[str], ts: str = "timestamp",
 
 
 def dense_slot(dim: DataFrame, name: str, slots: int, out: str = "slot") -> DataFrame:
-    """Stable series slot of each sorted name; the dimension is one row per name, not per fact."""
-    order = Window.orderBy(name)
-    return dim.select(name, ((F.row_number().over(order) - 1) % slots).alias(out))
+    """Stable series slot of each sorted name. Starts jobs.
+
+    Names are dealt into ranges, numbered inside each range, and shifted by the number of names before the range; only the
+    ranges' sizes reach the driver.
+    """
+    ranged = written(dim.select(name).repartitionByRange(name).withColumn("__range", F.spark_partition_id()))
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("n")).orderBy("__range").collect()
+    starts = list(accumulate((row.n for row in sizes), initial=0))
+    shifts = ranged.sparkSession.createDataFrame([(row["__range"], start) for row, start in zip(sizes, starts)], "__range int, __before long")
+    order = Window.partitionBy("__range").orderBy(name)
+    rank = F.col("__before") + F.row_number().over(order) - 1
+    return ranged.join(F.broadcast(shifts), "__range").select(name, (rank % slots).cast("int").alias(out))
 
 
 def weekday_hour_minutes(sessions: DataFrame, start: str, end: str, tz: str = LOCAL_TZ) -> DataFrame:
     """Minutes of each session by local weekday (Monday 0) and hour, all 168 cells present.
 
-    Hour borders are cut in UTC; the zone's offsets are whole hours, so they are local borders too.
-    Overlaps add up as whole microseconds in decimals, exactly, in any order and without overflow, per UTC hour
-    before that hour is localized.
+    A sweep over UTC hours: a session gives its partial first and last hour, +1 where its full hours begin and -1 where they
+    end, so at most three rows however long it is. Running sums per year, shifted by the sums of the years before, tell how
+    many sessions fill the hours up to the next border; only these stretches of the calendar are cut into hours. The zone's
+    offsets are whole hours, so UTC hours are local ones. Sums are whole microseconds in decimals, exact in any order.
     """
-    hour = F.expr("interval 1 hour")
-    cut = (
+    hour, exact = F.expr("interval 1 hour"), "decimal(38,0)"
+    full = F.lit(3_600_000_000).cast("decimal(20,0)")
+
+    def border(at: Column, partial: Column, change: int) -> Column:
+        return F.struct(at.alias("b"), partial.cast("decimal(20,0)").alias("partial"), F.lit(change).alias("change"))
+
+    def span(a: Column, b: Column) -> Column:
+        return F.timestamp_diff("MICROSECOND", a, b)
+
+    s, e = F.col("s"), F.col("e")
+    first, last = hour_floor(s), hour_floor(e)
+    inside = F.array(border(first, span(s, e), 0))
+    across = F.array(border(first, span(s, first + hour), 0), border(first + hour, F.lit(0), 1), border(last, span(last, e), -1))
+    borders = (
         sessions.select(F.col(start).alias("s"), F.col(end).alias("e"))
         .where("e > s")
-        .withColumn("b", F.explode(F.sequence(hour_floor(F.col("s")), F.col("e"), hour)))
-        .withColumn("overlap", F.timestamp_diff("MICROSECOND", F.greatest("s", "b"), F.least(F.col("e"), F.col("b") + hour)).cast("decimal(20,0)"))
+        .select(F.inline(F.when(first == last, inside).otherwise(across)))
+        .groupBy("b")
+        .agg(F.sum("partial").cast(exact).alias("partial"), F.sum("change").alias("change"))
+        .withColumn("year", F.year("b"))
+    )
+    # One row per calendar year, so the windows over them stay small.
+    years = borders.groupBy("year").agg(F.sum("change").alias("change"), F.min("b").alias("first"))
+    by_year = Window.partitionBy(F.lit(0)).orderBy("year")
+    years = years.select(
+        "year", F.coalesce(F.sum("change").over(by_year.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.lead("first").over(by_year).alias("after"),
     )
-    hours = cut.groupBy("b").agg(F.sum("overlap").alias("overlap"))
+    in_year = Window.partitionBy("year").orderBy("b")
+    swept = borders.withColumns({"active": F.sum("change").over(in_year), "next": F.lead("b").over(in_year)}).join(years, "year")
+    swept = swept.select("b", "partial", (F.col("active") + F.col("before")).alias("active"), F.coalesce("next", "after").alias("next"))
+    day = F.expr("interval 1 day")
+    stretch = swept.where("active > 0").select("b", "next", "active", F.explode(F.sequence(F.col("b"), F.col("next") - hour, day)).alias("d"))
+    filled = stretch.select(F.explode(F.sequence(F.col("d"), F.least(F.col("d") + day, F.col("next")) - hour, hour)).alias("b"), (F.col("active").cast("decimal(17,0)") * full).cast(exact).alias("overlap"))
+    hours = swept.select("b", F.col("partial").alias("overlap")).unionByName(filled).where("overlap > 0")
     local = utc_to_local(F.col("b"), tz)
     placed = evaluated(hours.select(F.weekday(local).alias("weekday"), F.hour(local).alias("hour"), "overlap"))
     cells = placed.groupBy("weekday", "hour").agg((F.sum("overlap").cast("double") / 60_000_000).alias("m"))
-    spark = sessions.sparkSession
-    grid = spark.range(168).select(
+    grid = sessions.sparkSession.range(168).select(
         F.floor(F.col("id") / 24).cast("int").alias("weekday"), (F.col("id") % 24).cast("int").alias("hour")
     )
     return grid.join(cells, ["weekday", "hour"], "left").select(

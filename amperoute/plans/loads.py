@@ -352,8 +352,10 @@ def trip_report(sheet: DataFrame, codes: DataFrame, vehicle: DataFrame, *, unmap
 
 
 def trip_order() -> Column:
-    """Trip number (missing last), then place in the file; compared field by field, so no number is too large."""
-    return F.struct(F.col("trip_num").isNull().alias("missing"), F.col("trip_num"), F.col("row_no"))
+    """Trip number (missing last), then place in the file, as one exact number of fixed width, which hash aggregates keep in place."""
+    digits = "decimal(38,0)"
+    number = F.coalesce(F.col("trip_num").cast("long").cast(digits), F.lit(str(2**63)).cast(digits))
+    return (number * F.lit(str(2**63)).cast("decimal(20,0)") + F.col("row_no").cast("long").cast(digits)).cast(digits)
 
 
 # Headers of the daily trips sheet.

@@ -99,9 +99,11 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "case when l_orderkey % 9 = 0 then 0.0 else l_quantity * 2 end as tot_energy",
             "l_orderkey as id",
             "l_returnflag as report",
-            # the row's place: trip (missing last), then the columns that tell the rows of an order apart
-            "(case when l_orderkey % 31 = 0 then 1 else 0 end, case when l_orderkey % 31 = 0 then 0 else l_linenumber end, "
-            "l_orderkey, l_quantity, l_discount, l_tax, l_extendedprice) as place",
+            # the row's place as one number: trip (missing last), order, then what tells the rows of an order apart, in hundredths
+            "cast(case when l_orderkey % 31 = 0 then 10 else l_linenumber end as decimal(38,0)) * cast(10000000000000000000000000000000 as decimal(38,0)) "
+            "+ cast(l_orderkey as decimal(38,0)) * cast(1000000000000000000 as decimal(38,0)) + cast(cast(round(l_quantity) as bigint) * 1000000000000000 "
+            "+ cast(round(l_discount * 100) as bigint) * 1000000000000 + cast(round(l_tax * 100) as bigint) * 1000000000 "
+            "+ cast(round(l_extendedprice * 100) as bigint) as decimal(38,0)) as place",
         ],
     ),
     "maintenance": (

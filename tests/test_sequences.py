@@ -303,3 +303,75 @@ def test_trips_of_one_day_are_ordered_across_partitions(spark):
     days = loads.trips_to_days(spark.createDataFrame(trips, row), ["vin", "date"], loads.trip_order())
     got = {r.vin: (r.init_odo, r.final_odo) for r in days.collect()}
     assert got == {"v": (100.0, 222.0), "w": (1.0, 6.0)}
+
+
+def test_weekday_hours_of_a_century_need_few_rows(spark):
+    from zoneinfo import ZoneInfo
+
+    long = (datetime(1970, 1, 1, 5, 30), datetime(2070, 1, 1, 5, 10))
+    rows = [long, (datetime(1969, 12, 31, 23, 0), datetime(1970, 1, 1, 0, 0)), (datetime(2030, 5, 1, 3, 20), datetime(2030, 5, 1, 6, 40))]
+    got = sequences.weekday_hour_minutes(frame(spark, rows, "s timestamp_ntz, e timestamp_ntz"), "s", "e")
+    cells = {}
+    zone, utc = ZoneInfo("America/New_York"), ZoneInfo("UTC")
+    for s, e in rows:
+        at = s
+        while at < e:
+            end = min(e, at.replace(minute=0) + timedelta(hours=1))
+            local = at.replace(tzinfo=utc).astimezone(zone)
+            cells[local.weekday(), local.hour] = cells.get((local.weekday(), local.hour), 0) + (end - at).seconds / 60
+            at = end
+    assert {(r.weekday, r.hour): r.minutes for r in got.collect()} == cells
+
+
+def test_dense_slots_over_many_ranges(spark):
+    names = [f"n{i:06d}" for i in random.Random(2).sample(range(1_000_000), 3000)]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = sequences.dense_slot(spark.createDataFrame([(n,) for n in names], "name string").repartition(5), "name", 24).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert {r.name: r.slot for r in got} == {n: i % 24 for i, n in enumerate(sorted(names))}
+
+
+def test_asof_reads_each_side_once_and_bounds_the_stored_one(spark, tmp_path):
+    rows = [(v, START + timedelta(hours=h), float(100 * v + h)) for v in range(40) for h in range(30)]
+    schema = "veh_id int, timestamp timestamp_ntz, mileage double"
+    frame(spark, rows, schema).write.parquet(f"{tmp_path}/stored")
+    frame(spark, [(v, START + timedelta(hours=v % 7), 0.0) for v in range(0, 50, 2)], schema).write.parquet(f"{tmp_path}/batch")
+    found = asof_anchor(spark.read.parquet(f"{tmp_path}/batch"), spark.read.parquet(f"{tmp_path}/stored"))
+    got = {r.veh_id: r.anchor for r in found.collect()}
+    assert got == {v: None if v >= 40 or v % 7 == 0 else 100.0 * v + v % 7 - 1 for v in range(0, 50, 2)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "mileage" in line for line in plan.splitlines()) == 1
+    assert "scalar-subquery" in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("block_minutes", [30, 600])
+def test_folds_chain_over_many_blocks(spark, block_minutes):
+    """Clusters that span many blocks, moves never taken back, kept readings too high for all that follow, lasting doubles."""
+    rng = random.Random(block_minutes)
+    rows, flags, repairs, n = [], {}, {}, 0
+    for veh in range(30):
+        t, m, lat, away, factor, points, series = START, 50.0, 40.0, 0.0, 1, [], []
+        for _ in range(150):
+            t += timedelta(minutes=rng.choice([5, 20, 45, 300]))
+            m += rng.random() * 3
+            lat += rng.uniform(-0.01, 0.01) + (0.4 if rng.random() < 0.01 else 0)
+            if rng.random() < 0.05:
+                away = 0.0 if away else rng.choice([0.3, 1.0, -3.0, 40.0])
+            if rng.random() < 0.03:
+                factor = rng.choice([1, 1, 2, 2, 4, 1.2, 0.5])
+            shown = m * factor * (30 if rng.random() < 0.004 else 1) * (-1 if rng.random() < 0.005 else 1)
+            soc = rng.choice([None, 0.4, 0.41, 0.8, 0.82, 1.6, -0.1, 0.0])
+            n += 1
+            rows.append((veh, t, n, shown, soc, None if rng.random() < 0.01 else lat + away, -77.0))
+            points.append(rows[-1][1:2] + rows[-1][5:])
+            series.append((n, shown, soc))
+        flags |= {(veh, p[0]): f for p, f in zip(points, walk_jumps(points))}
+        repairs |= {i: result for (i, _, _), result in zip(series, walk_doubled([x[1:] for x in series]))}
+    tel = frame(spark, rows, "veh_id long, timestamp timestamp_ntz, row_no long, mileage double, soc double, latitude double, longitude double")
+    got = ordered_fold.flag_gps_jumps(tel, block_minutes=block_minutes).collect()
+    assert {(r.veh_id, r.timestamp): r.gps_outlier for r in got} == flags and len(got) == len(rows)
+    got = ordered_fold.repair_doubled(tel, block_minutes=block_minutes).collect()
+    assert {r.row_no: (r.mileage, r.soc) if r.kept else None for r in got} == repairs
