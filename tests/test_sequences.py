@@ -338,7 +338,7 @@ def test_asof_reads_each_side_once_and_bounds_the_stored_one(spark, tmp_path):
     rows = [(v, START + timedelta(hours=h), float(100 * v + h)) for v in range(40) for h in range(30)]
     schema = "veh_id int, timestamp timestamp_ntz, mileage double"
     frame(spark, rows, schema).write.parquet(f"{tmp_path}/stored")
-    frame(spark, [(v, START + timedelta(hours=v % 7), 0.0) for v in range(0, 50, 2)], schema).write.parquet(f"{tmp_path}/batch")
+    frame(spark, [(v, START + timedelta(hours=v % 7), 0.0) for v in range(0, 50, 2)], schema).drop("mileage").write.parquet(f"{tmp_path}/batch")
     found = asof_anchor(spark.read.parquet(f"{tmp_path}/batch"), spark.read.parquet(f"{tmp_path}/stored"))
     got = {r.veh_id: r.anchor for r in found.collect()}
     assert got == {v: None if v >= 40 or v % 7 == 0 else 100.0 * v + v % 7 - 1 for v in range(0, 50, 2)}
