@@ -50,7 +50,7 @@ BASE = (
     Rule("hex", "[0-9a-f]{16,}", 0, 16),
 )
 ADDED = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1, ("-----begin ",)),
+    Rule("private_key", r"-----BEGIN (?:[A-Z][A-Z ]* )?PRIVATE KEY-----", 0, 1, ("-----begin ",)),
     Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1, ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, (".eyj",)),

@@ -179,3 +179,14 @@ def test_copies_of_one_row_are_dealt_into_pages(frame, empty):
     assert sharding.shards(empty).count() == 0
     digests = {r.hash for r in sharding.entries(frame([(1, "a")])).collect()}
     assert digests == {int(hashlib.md5(b"1:a+").hexdigest()[:15], 16)}
+
+
+def test_long_runs_of_rule_prefixes_end_no_executor(frame):
+    million = 1_000_000
+    rows = [
+        (1, "-----BEGIN " + "AAA " * (million // 4)), (2, "-----BEGIN " + "AAA " * 3000 + "PRIVATE KEY-----"), (3, "-----BEGIN PRIVATE KEY-----"),
+        (4, "password" * (million // 8)), (5, "token=" + "a" * million), (6, "AKIA" * (million // 4)), (7, "f" * million),
+        (8, "ghp_" + "a1" * (million // 2)), (9, "xoxb-" + "a-" * (million // 2)), (10, "eyJ" + "a" * million + ".eyJ" + "b" * 9 + "." + "c" * 9),
+    ]
+    got = {r.row.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in secrets.scan(frame(rows)).collect()}
+    assert got == {i: plain_spans(t) for i, t in rows} and got[1] == [] and len(got[2]) == 1
