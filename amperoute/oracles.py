@@ -76,6 +76,7 @@ _VEH_DAY = f"""select veh_id, date, cast(case when nm = 0 then 0 else 1 + coales
     cast(null as double) as tot_energy, cast(null as integer) as peak_payload
     from agg left join breaks using (veh_id, date)"""
 add("q01_vehicle_day", "veh_tel", _VEH_DAY, *_W1)
+add("k5_trips", "veh_tel", _VEH_DAY, *_W1)
 
 _OF = [
     ("own", "select t.* from veh_tel t join vehicle v on v.id = t.veh_id where v.fleet_id in (0, 3, 5, 8, 12, 19, 20, 23)"),

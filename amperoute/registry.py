@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +16,10 @@ from .operators import filters, joins, merge, ordered_fold, sequences
 from .operators.conform import resolve_key
 from .plans import charging, fleet, health, loads, maintenance, telematics, usage
 from .schema import DAILY_VALUES
-from .session import prepare
+from .session import ensure_checkpoint_dir, prepare
 from .sources import sheets
 from .sources.views import Tables
+from .streaming import vehicle_days
 
 Query = Callable[[Tables], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -587,3 +590,26 @@ def dq6_repairs(t):
 @query
 def dq7_duplicate_codes(t):
     return health.duplicate_codes(t.vehicle.select("fleet_id", "make", "model"), ["fleet_id", "make", "model"])
+
+
+@query
+def k5_trips(t):
+    """The vehicle-days of a stream that arrives in three parts, some samples half an hour late, over three restarts."""
+    tel = t.veh_tel.where("veh_id is not null and timestamp is not null")
+    spark = tel.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/k5-{uuid.uuid4().hex}"
+    samples = tel.select("id", "veh_id", "timestamp", "mileage", "soc", "speed")
+    low, high = samples.agg(F.min("timestamp"), F.max("timestamp")).first()
+    low, high = low or datetime(2000, 1, 1), high or datetime(2000, 1, 1)
+    borders = [low, low + (high - low) / 3, low + (high - low) * 2 / 3, high + timedelta(days=1)]
+    arrival = F.col("timestamp") + F.when(F.col("id") % 3 == 0, F.expr("interval 30 minutes")).otherwise(F.expr("interval 0 minutes"))
+    for number, (start, end) in enumerate(zip(borders, borders[1:])):
+        part = samples.where((arrival < F.lit(end)) & ((arrival >= F.lit(start)) if number else F.lit(True)))
+        vehicle_days.drained(part.drop("id"), f"{folder}/in", f"{folder}/out", f"{folder}/marks")
+    # A sample of no vehicle, days later, ends every day.
+    close = spark.createDataFrame([(-1, high + timedelta(days=3))], "veh_id long, timestamp timestamp_ntz")
+    last = close.select(*[F.col(c).cast(k) if c in close.columns else F.lit(None).cast(k).alias(c) for c, k in part.drop("id").dtypes])
+    vehicle_days.drained(last, f"{folder}/in", f"{folder}/out", f"{folder}/marks")
+    nothing = {"tot_energy": F.lit(None).cast("double"), "peak_payload": F.lit(None).cast("int")}
+    return spark.read.parquet(f"{folder}/out").withColumns(nothing)

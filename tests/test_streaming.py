@@ -71,3 +71,32 @@ def test_touched_days_are_recomputed(spark, tmp_path):
     trips.refresh_days(tel, daily, columns=DAILY_VALUES)(late, 0)
     got = {(r.veh_id, r.date.day): (r.tot_dist, r.peak_payload) for r in spark.read.parquet(daily).collect()}
     assert got == {(1, 2): (90.0, 100), (1, 3): (30.0, 100), (2, 2): (30.0, 100), (2, 3): (30.0, 100)}
+
+
+def test_streamed_vehicle_days_equal_the_batch_over_restarts(spark, tmp_path):
+    import random
+
+    from amperoute.streaming import vehicle_days
+
+    rng, rows = random.Random(4), []
+    for veh in range(6):
+        at = datetime(2024, 1, 2, 6)
+        for _ in range(80):
+            at += timedelta(minutes=rng.choice([1, 5, 14, 15, 16, 90]))
+            rows.append((veh, at, rng.choice([None, float(len(rows))]), rng.choice([None, 0.5, 0.7]), rng.choice([0.0, 5.0, 9.0, None])))
+    schema = "veh_id int, timestamp timestamp_ntz, mileage double, soc double, speed double"
+    rows.append((None, datetime(2024, 1, 2, 9), 1.0, 0.1, 3.0))
+    rows.append((9, None, 1.0, 0.1, 3.0))
+    late = lambda r: (r[1] or datetime(2024, 1, 3)) + timedelta(minutes=rng.choice([0, 40]))
+    arriving = sorted(((late(r), r) for r in rows), key=lambda x: x[0])
+    parts = [[], [], [], [(-1, datetime(2024, 2, 1), None, None, None)]]
+    for when, row in arriving:
+        parts[0 if when < datetime(2024, 1, 3) else 1 if when < datetime(2024, 1, 3, 20) else 2].append(row)
+    folders = [str(tmp_path / n) for n in ("in", "out", "marks")]
+    for part in parts:
+        vehicle_days.drained(spark.createDataFrame(part, schema), *folders)
+    vehicle_days.drained(spark.createDataFrame([], schema), *folders)
+    got = spark.read.parquet(folders[1])
+    want = vehicle_day(spark.createDataFrame(rows, schema).where("veh_id is not null")).select(*got.columns)
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and got.count() == 12
