@@ -91,18 +91,15 @@ def localize_in_row_order(
 ) -> DataFrame:
     """For repeated wall times, a step back in row order starts the second pass.
 
-    Only rows of one key and local day are compared, so no group grows with the history. A repeated
+    Only repeated times are ordered, within one key and local day; all other rows pass without a shuffle. A repeated
     hour with no step back cannot be told apart and yields null.
     """
-    day = F.to_date(F.col(local))
-    scope = Window.partitionBy(*keys, "__day", "__twice").orderBy(*row_order)
-    group = Window.partitionBy(*keys, "__day", "__twice")
-    stepped = F.coalesce((F.lag(local).over(scope) > F.col(local)).cast("int"), F.lit(0))
-    marked = (
-        df.withColumn("__day", day)
-        .withColumn("__twice", is_ambiguous(F.col(local), tz))
-        .withColumn("__step", stepped)
-    )
+    told = evaluated(df.withColumn("__twice", F.coalesce(is_ambiguous(F.col(local), tz), F.lit(False))))
+    once = local_to_utc(told.where(~F.col("__twice")), {local: out}, tz)
+    group = Window.partitionBy(*keys, "__day")
+    scope = group.orderBy(*row_order)
+    again = told.where("__twice").withColumn("__day", F.to_date(F.col(local)))
+    again = again.withColumn("__step", F.coalesce((F.lag(local).over(scope) > F.col(local)).cast("int"), F.lit(0)))
     fold = F.when(F.max("__step").over(group) == 1, F.max("__step").over(scope))
-    resolved = local_to_utc(marked.withColumn("__fold", fold), {local: out}, tz, fold=F.col("__fold"))
-    return resolved.drop("__day", "__twice", "__step", "__fold")
+    twice = local_to_utc(again.withColumn("__fold", fold), {local: out}, tz, fold=F.col("__fold"))
+    return once.drop("__twice").unionByName(twice.drop("__twice", "__day", "__step", "__fold"))

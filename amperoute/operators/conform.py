@@ -87,10 +87,9 @@ def resolve_key(
         condition = term if condition is None else condition & term
     joined = df.join(side, condition, "inner" if unmapped == "drop" else "left").drop(*[f"__{f}" for f in on])
     if unmapped == "fail":
-        codes = F.to_json(F.struct(*on))
-        joined = joined.withColumn(
-            out, F.when(F.col(out).isNull(), F.raise_error(F.concat(F.lit("unmapped key "), codes))).otherwise(F.col(out))
-        )
+        # A filter, so no plan can drop the test with the column.
+        failed = F.raise_error(F.concat(F.lit("unmapped key "), F.to_json(F.struct(*on)))).cast("boolean")
+        joined = joined.where(F.when(F.col(out).isNull(), failed).otherwise(F.lit(True)))
     return joined
 
 

@@ -630,3 +630,43 @@ add("dq3_latest_per_fleet", _PV, "select fact, fleet_name, latest_date from per"
 add("dq4_rows_per_fleet", _PV, "select fact, fleet_name, n_points from per", _DAILY, _OWN, _PER)
 add("dq4_rows_of_fleets", _PV, "select fact, fleet_name, n_points from per where fleet_name in ('NATION_1', 'NATION_9', 'Unspecified')", _DAILY, _OWN, _PER)
 add("dq7_duplicate_codes", "vehicle", "select fleet_id, make, model, count(*) as n from vehicle group by all having count(*) > 1")
+
+
+add("b06_codes_of_two_fleets", "veh_trip vehicle", """select s.fleet_id, s.unit, s.n, c.id as veh_id from s left join c on c.fleet_id = s.fleet_id and c.unit = s.unit""",
+    ("c", "select fleet_id, concat('V', cast(id % 50 as string)) as unit, min(id) as id from vehicle group by 1, 2"),
+    ("s", "select veh_id % 26 as fleet_id, concat('V', cast(veh_id % 50 as string)) as unit, count(*) as n from veh_trip where veh_id is not null group by 1, 2"))
+add("b10_fill_dimension", "vehicle", """select fleet_id, fleet_vehicle_id, case when id % 3 <> 0 and id % 5 <> 0 and make is not null then make
+    else concat('seed ', coalesce(make, '-')) end as make, case when id % 3 <> 0 then model else concat('seed ', model) end as model from vehicle""")
+add("b11_rekey", "veh_trip vehicle", "select v.id as veh_id, count(*) as n from veh_trip t join vehicle v on v.id = t.veh_id group by 1")
+add("c30_points", "veh_tel", """select id, case when latitude is not null then longitude end as lon, case when longitude is not null then latitude end as lat,
+    latitude is null or longitude is null as nowhere from veh_tel""")
+_SESSION = ["refuel_end", "tot_energy", "start_soc", "end_soc", "veh_id"]
+add("q23_sessions_merged", _CV + " vehicle", "select coalesce(o.charger_id, n.charger_id) as charger_id, coalesce(o.refuel_start, n.refuel_start) as refuel_start, "
+    + ", ".join(f"case when n.here then n.{c} else o.{c} end as {c}" for c in _SESSION)
+    + ", case when n.here is null then 'kept' when o.here is null then 'inserted' when "
+    + " or ".join(f"n.{c} is distinct from o.{c}" for c in _SESSION)
+    + " then 'updated' else 'unchanged' end as merge_action from o full join n on o.charger_id = n.charger_id and o.refuel_start = n.refuel_start",
+    ("l", "select charger_id, refuel_start, " + ", ".join(_SESSION) + f""" from (select refuel_start, refuel_end, tot_energy,
+        cast(round(start_soc * 100) as integer) / 100 as start_soc, cast(round(end_soc * 100) as integer) / 100 as end_soc, c.id as charger_id,
+        case when r.id % 6 in (0, 1) and r.id % 4 = 0 then null else v.id end as veh_id
+        from refuel_inf r {_PLUG} left join vehicle v on v.id = r.veh_id where refuel_end > refuel_start and tot_ref_dura > 0 and tot_energy > 0)"""),
+    ("n", "select *, true as here from l qualify row_number() over (partition by charger_id, refuel_start order by "
+        + ", ".join(f"{c} nulls first" for c in _SESSION) + ") = 1"),
+    ("o", "select charger_id, refuel_start, " + ", ".join(_SESSION) + ", true as here from refuel_inf where id % 3 <> 0"))
+add("q22_samples_merged", "veh_tel vehicle", f"""select coalesce(o.veh_id, n.veh_id) as veh_id, coalesce(o.{TS}, n.{TS}) as {TS}, coalesce(o.speed, n.speed) as speed,
+    coalesce(o.mileage, n.mileage) as mileage, coalesce(o.soc, n.soc) as soc,
+    case when n.here is null then 'kept' when o.here is null then 'inserted' when (o.speed is null and n.speed is not null) or (o.mileage is null and n.mileage is not null)
+    or (o.soc is null and n.soc is not null) then 'updated' else 'unchanged' end as merge_action
+    from o full join n on o.veh_id = n.veh_id and o.{TS} = n.{TS}""", *_REPORT,
+    ("n", f"""select veh_id, {TS}, speed, mileage, soc, true as here from (select * from ok
+    qualify row_number() over (partition by veh_id, {TS} order by (case when speed > 0 then 4 else 0 end)
+    + (case when lower(details) like '%ignition%' then 0 else 2 end)
+    + (case when latitude is not null and longitude is not null then 1 else 0 end) desc, coalesce(speed, -1) desc, id desc) = 1)"""),
+    ("o", f"""select veh_id, {TS}, speed + 1 as speed, mileage, case when hour({TS}) % 4 = 0 then soc end as soc, true as here from n where hour({TS}) % 2 = 0
+    union all select veh_id, {TS} + interval 400 day, speed, mileage, soc, true from veh_tel where id % 50 = 0"""))
+add("c05_repeated_hours", "veh_tel", """select id, veh_id, case when not twice then local + case when local < '2024-11-03 01:00' then interval 4 hour else interval 5 hour end
+    when any_step = 1 then local + case when run = 0 then interval 4 hour else interval 5 hour end end as utc from d""",
+    ("a", "select id, veh_id, timestamp '2024-11-03' + to_minutes(cast(id % 240 as bigint)) as local from veh_tel"),
+    ("b", "select *, local >= '2024-11-03 01:00' and local < '2024-11-03 02:00' as twice from a"),
+    ("c", "select *, coalesce(cast(lag(local) over (partition by veh_id, twice order by id) > local as integer), 0) as step from b"),
+    ("d", "select *, max(step) over (partition by veh_id, twice) as any_step, max(step) over (partition by veh_id, twice order by id) as run from c"))

@@ -9,11 +9,12 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import geo
 from .functions import parse as p
 from .functions.measures import round_to
-from .functions.zones import local_to_utc
+from .functions.zones import local_to_utc, localize_in_row_order
 from .operators import filters, joins, merge, ordered_fold, sequences
-from .operators.conform import resolve_key
+from .operators.conform import fill_dimension, rekey, resolve_key
 from .plans import charging, fleet, health, loads, maintenance, telematics, usage
 from .schema import DAILY_VALUES
 from .session import ensure_checkpoint_dir, prepare
@@ -613,3 +614,64 @@ def k5_trips(t):
     vehicle_days.drained(last, f"{folder}/in", f"{folder}/out", f"{folder}/marks")
     nothing = {"tot_energy": F.lit(None).cast("double"), "peak_payload": F.lit(None).cast("int")}
     return spark.read.parquet(f"{folder}/out").withColumns(nothing)
+
+
+@query
+def b06_codes_of_two_fleets(t):
+    """Codes that several fleets use, resolved inside the fleet that reports them."""
+    code = lambda c: F.concat(F.lit("V"), (F.col(c) % 50).cast("string"))
+    coded = t.vehicle.groupBy("fleet_id", code("id").alias("unit")).agg(F.min("id").alias("id"))
+    seen = t.veh_trip.where("veh_id is not null").groupBy((F.col("veh_id") % 26).alias("fleet_id"), code("veh_id").alias("unit")).agg(F.count("*").alias("n"))
+    return resolve_key(seen, coded, {"fleet_id": "fleet_id", "unit": "unit"}, "id", "veh_id")
+
+
+@query
+def b10_fill_dimension(t):
+    """Members that are missing are added, empty makes are filled, known models stay."""
+    known = t.vehicle.where("id % 3 <> 0").select("fleet_id", "fleet_vehicle_id", F.when(F.col("id") % 5 != 0, F.col("make")).alias("make"), "model")
+    seeds = t.vehicle.select("fleet_id", "fleet_vehicle_id", F.concat(F.lit("seed "), F.coalesce("make", F.lit("-"))).alias("make"), F.concat(F.lit("seed "), F.col("model")).alias("model"))
+    return fill_dimension(known, seeds, ["fleet_id", "fleet_vehicle_id"])
+
+
+@query
+def b11_rekey(t):
+    """Trip counts that still name vehicles by their code get keys; a code without a vehicle would fail the query."""
+    counts = t.veh_trip.join(t.vehicle.select(F.col("id").alias("veh_id"), "fleet_vehicle_id"), "veh_id").groupBy("fleet_vehicle_id").agg(F.count("*").alias("n"))
+    return rekey(counts.withColumnRenamed("fleet_vehicle_id", "veh_id"), t.vehicle, "veh_id", "fleet_vehicle_id")
+
+
+@query
+def c30_points(t):
+    position = geo.point(F.col("latitude"), F.col("longitude"))
+    return t.veh_tel.select("id", position["lon"].alias("lon"), position["lat"].alias("lat"), position.isNull().alias("nowhere"))
+
+
+_SESSION = ["charger_id", "refuel_start"]
+
+
+@query
+def q23_sessions_merged(t):
+    """Loaded sessions on their unique key (charger and start) over stored ones: incoming values win, rows count by action."""
+    values = ["refuel_end", "tot_energy", "start_soc", "end_soc", "veh_id"]
+    loaded = loads.load_utc_sessions(sheets.utc_sessions(t), t.charger, t.vehicle).select(*_SESSION, *values)
+    unique = merge.unique_source(loaded, _SESSION, *[F.col(c).asc_nulls_first() for c in values])
+    stored = t.refuel_inf.where("id % 3 <> 0").select(*_SESSION, *values)
+    return merge.merge_into(stored, unique, _SESSION, policy="overwrite")
+
+
+@query
+def q22_samples_merged(t):
+    """Cleaned samples on (vehicle, time) over stored ones: stored values stay, empty ones are filled, new samples are added."""
+    columns = ["veh_id", "timestamp", "speed", "mileage", "soc"]
+    loaded = loads.load_report(sheets.report_sheet(t), sheets.serial_codes(t), t.vehicle).select(*columns)
+    older = F.hour("timestamp") % 2 == 0
+    stored = loaded.where(older).withColumns({"speed": F.col("speed") + 1, "soc": F.when(F.hour("timestamp") % 4 == 0, F.col("soc"))})
+    others = t.veh_tel.where("id % 50 = 0").select("veh_id", (F.col("timestamp") + F.expr("interval 400 day")).alias("timestamp"), *columns[2:])
+    return merge.merge_into(stored.unionByName(others), loaded, ["veh_id", "timestamp"], policy="fill_nulls")
+
+
+@query
+def c05_repeated_hours(t):
+    """Samples told again as clock times of an autumn change day, whose second hour occurs twice."""
+    clock = F.lit(datetime(2024, 11, 3)).cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("id") % 240).cast("int"))
+    return localize_in_row_order(t.veh_tel.select("id", "veh_id", clock.alias("local")), "local", "utc", ["veh_id"], ["id"]).select("id", "veh_id", "utc")

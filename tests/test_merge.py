@@ -182,3 +182,10 @@ def test_unique_source_keeps_rows_without_a_full_key(spark):
     rows = [(1, "a", 1), (1, "a", 2), (None, "a", 3), (None, "a", 4), (2, None, 5)]
     got = merge.unique_source(spark.createDataFrame(rows, "k int, c string, x int"), ["k", "c"], F.col("x").desc())
     assert sorted(r.x for r in got.collect()) == [2, 3, 4, 5]
+
+
+def test_unmapped_keys_fail_also_where_the_key_is_not_read(spark):
+    facts = spark.createDataFrame([("a", 1), ("b", 2)], "code string, n int")
+    dim = spark.createDataFrame([(7, "a")], "id int, code string")
+    with pytest.raises(PySparkException, match="unmapped key"):
+        conform.resolve_key(facts, dim, {"code": "code"}, "id", "key", unmapped="fail").select("n").collect()
