@@ -23,10 +23,10 @@ from .rows import packed, travels
 
 travels(__name__)
 
-# Comments, tags (quoted attribute values may hold ">"), declarations.
+# Comments, tags (attribute values quoted right behind "=" may hold ">"), declarations.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?=[\s/>])((?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>"
     r"|<[!?/][^>]*>"
     r"|<[a-zA-Z][^<>]*>",
     re.S | re.I,
@@ -47,26 +47,29 @@ FURNITURE_WORDS = re.compile(
     r"|newsletter|subscri\w*|sign-?up|log-?in|share|sharing|social|related|recommend\w*|comments?|comment-\w+|disqus|replies|reply|respond|widget|pagination|pager|toolbar|search|copyright|legal)(?![a-z])",
     re.I,
 )
+# Whole class names of what readers wrote and of what points to other articles: an article in there is no main text.
+OTHER_ARTICLES = re.compile(r"comments?|comment-?list|comments?-(?:area|section|thread|body|list|wrap\w*)|replies|respond|disqus\w*|related(?:-\w+)?|recommend\w*", re.I)
 MAIN_WORDS = re.compile(r"(?<![a-z])(?:article|article-?body|post-?body|post-?content|entry-?content|main-?content|story|story-?body)(?![a-z])", re.I)
 NAMED = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 FEATURES = ("in_main", "in_furniture", "page_has_main", "words", "link_density", "words_before", "density_before", "words_after", "density_after")
 
 
-def _kind(name: str, attributes: str, inside_main: bool) -> tuple[bool, bool, bool]:
-    """Whether an element opens main text, and whether it opens page furniture by its name, or by its words (or a form)."""
+def _kind(name: str, attributes: str, inside_main: bool) -> tuple[bool, bool, bool, bool]:
+    """Whether an element opens main text, page furniture by its name, or by its words (or a form), or others' articles."""
     said = " ".join(NAMED.findall(attributes)) if "=" in attributes and name not in WHOLE_PAGE else ""
     named = (name in FURNITURE and name != "form") or (name == "header" and not inside_main)
     worded = name == "form" or bool(said and FURNITURE_WORDS.search(said))
     main = name in MAIN or (not named and not worded and bool(said and MAIN_WORDS.search(said)))
-    return main, named, worded
+    other = worded and any(OTHER_ARTICLES.fullmatch(word) for word in re.split(r"[\s\"']+", said))
+    return main, named, worded, other
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     """(text, words, linked words, in main, in furniture) of each block with a word, in page order."""
     out, parts, linked, links = [], [], 0, 0
-    # Element, and the depths around it of main, furniture by name, furniture by words, that within main, and articles.
-    open_: list[tuple[str, int, int, int, int, int]] = []
-    main = named = worded = within = articles = at = 0
+    # Element, and the depths around it of main, furniture by name, furniture by words, that within main, articles, others' articles.
+    open_: list[tuple[str, int, int, int, int, int, int]] = []
+    main = named = worded = within = articles = others = at = 0
     seen = False  # an article before
 
     def close() -> None:
@@ -116,24 +119,26 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if token[1]:
             if any(e[0] == name for e in open_):
                 while True:
-                    gone, main, named, worded, within, articles = open_.pop()
+                    gone, main, named, worded, within, articles, others = open_.pop()
                     if gone == name:
                         break
         elif not token[3].endswith("/"):
-            opens_main, opens_named, opens_worded = _kind(name, token[3], main > 0)
-            if name in MAIN and not articles:
+            opens_main, opens_named, opens_worded, opens_others = _kind(name, token[3], main > 0)
+            own = not (others or opens_others)
+            if name in MAIN and not articles and own:
                 # What holds an article and was taken for furniture by its words is layout, unless it follows an article in main.
                 if not (within and seen):
                     worded = within = 0
                 opens_worded = opens_worded and seen
-            open_.append((name, main, named, worded, within, articles))
+            open_.append((name, main, named, worded, within, articles, others))
+            others += opens_others
             if opens_named:
                 named += 1
             elif opens_worded:
                 worded, within = worded + 1, within + (main > 0)
             elif opens_main:
                 main += 1
-            if name in MAIN:
+            if name in MAIN and own:
                 articles, seen = articles + (name == "article"), seen or name == "article"
     if at < len(page):
         text(page[at:])

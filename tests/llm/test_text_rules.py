@@ -135,6 +135,10 @@ def test_tree_fits_its_table_and_held_out_sketches():
     ("<main><div class='content has-sidebar'><article><p>a</p></article><article><p>b</p></article></div><div class=related><article><p>no</p></article></div></main>", "a b"),
     ("<article><p>a</p></article><aside class=sidebar><article><p>no</p></article></aside><section class=comments><article class=comment><p>no</p></article></section>", "a"),
     ("<form id=page><main><p>a</p><form>no</form></main></form>", "a"),
+    ("<main><div class='post-content'><p>a b</p></div><ol class='comment-list'><li><article class='comment'><p>" + "reader " * 40 + "</p></article></li></ol></main>", "a b"),
+    ("<div class='related'><article><p>teaser card</p></article></div><main><div class=body><p>a b</p></div></main><div class='related-posts'><article>" + "card " * 30 + "</article></div>", "a b"),
+    ("<div class='has-comments'><article><p>a b</p></article></div>", "a b"),
+    ("<article data-x=o'b><p>it's a</p><p>don't b</p></article><p title='x>y'>c</p>", "it's a don't b"),
 ])
 def test_layout_words_around_an_article_drop_nothing(page, want):
     assert extraction.main_text(page, extraction.grow(*extraction.labelled_table()))[0] == want
