@@ -16,6 +16,7 @@ from __future__ import annotations
 import bisect
 import heapq
 import itertools
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -38,8 +39,16 @@ CACHED_WORDS = 500_000  # per generation
 ID_BYTES = 4
 
 
+# A word of Latin letters that the tokenizer cuts into one run of letters and at most one run of signs behind it.
+LETTERS_SIGNS = r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)"
+END_OF_RUN = "</w>"
+
+
 class WordIds:
-    """Little-endian 32-bit ids of texts. No token of the vocabulary spans white space, so words are encoded alone and kept."""
+    """Little-endian 32-bit ids of texts. No token of the vocabulary spans white space, so words are encoded alone and kept.
+
+    New words of Latin letters and signs are put together from their runs, which are kept too: many words share them.
+    """
 
     def __init__(self, path: str, limit: int = CACHED_WORDS):
         import os
@@ -48,7 +57,12 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.parted = re.compile(LETTERS_SIGNS).fullmatch
+        ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith(END_OF_RUN)]
+        self.ends = np.zeros(max(ends) + 2, bool)
+        self.ends[ends] = True
         self.known = Memory(limit, self._learn)
+        self.runs = Memory(limit, self._learn_runs)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode().split() for t in texts]
@@ -56,6 +70,36 @@ class WordIds:
         return [b"".join(itertools.islice(ids, len(words))) for words in split]
 
     def _learn(self, new: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        runs, whole, parts = [], [], []
+        for word in new:
+            found = self.parted(word.decode())
+            if found is None:
+                whole.append(word)
+                parts.append(0)
+                continue
+            letters, signs = found.groups()
+            runs.append(letters.lower())
+            if signs:
+                runs.append(signs)
+            parts.append(2 if signs else 1)
+        run, other = iter(self.runs.get(runs)), iter(self._learn_whole(whole))
+        for word, n in zip(new, parts, strict=True):
+            yield word, next(run) if n == 1 else next(run) + next(run) if n else next(other)
+
+    def _learn_runs(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each run ends with its only token that carries the vocabulary's mark of an end, so ids need no offsets."""
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
+            found = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            ids = np.array(found, "<u4")
+            cuts = ((np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1) * ID_BYTES).tolist()
+            flat = ids.tobytes()
+            if len(cuts) == len(some) and cuts[-1] == len(flat):
+                yield from zip(some, [flat[a:b] for a, b in zip([0, *cuts[:-1]], cuts)], strict=True)
+            else:  # another vocabulary without such marks
+                yield from zip(some, self._learn_whole([r.encode() for r in some]), strict=True)
+
+    def _learn_whole(self, new: list[bytes]) -> Iterator[bytes]:
         """One call for many words, joined by spaces: an id belongs to the word in which its token starts."""
         for at in range(0, len(new), 2000):
             words = [w.decode() for w in new[at : at + 2000]]
@@ -64,7 +108,7 @@ class WordIds:
             starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
             cuts = (np.searchsorted(starts, ends) * ID_BYTES).tolist()
             ids = np.array(found.ids, "<u4").tobytes()
-            yield from zip(new[at : at + 2000], (ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts)), strict=True)
+            yield from [ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
 
 
 def plan(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[tuple[int, int, int]]]:
