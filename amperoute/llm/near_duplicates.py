@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from .components import components
-from .rows import run_token, travels, worker_cache
+from .rows import row_hash, run_token, travels, unused, worker_cache
 
 travels(__name__)
 
@@ -191,12 +191,12 @@ def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds. Documents: doc_id, n, set_id, sketch. Counts: slice (not null), counts (16-bit, per task)."""
+    """Rows of two kinds. Documents: doc_id, mark, n, set_id, sketch. Counts: slice (not null), counts (16-bit, per task)."""
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << COUNT_BITS, np.int64)
-        names = ["doc_id", "n", "set_id", "sketch", "slice", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+        names = ["doc_id", "mark", "n", "set_id", "sketch", "slice", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
         some = False
         for batch in batches:
             for part in _slices(batch):
@@ -211,15 +211,15 @@ def describe(docs: DataFrame) -> DataFrame:
                     some = True
                     table += np.bincount((np.concatenate(seen) >> U(64 - COUNT_BITS)).astype(np.int64), minlength=len(table))
                 none = pa.nulls(len(n))
-                columns = [part.column("doc_id"), n, ids, sketches, none, none]
+                columns = [part.column("doc_id"), part.column("mark"), n, ids, sketches, none, none]
                 yield pa.RecordBatch.from_arrays([c.cast(k) if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
         if some:
             parts = np.minimum(table, 65_535).astype("<u2").reshape(-1, COUNT_SLICE)
             none = pa.nulls(len(parts))
-            columns = [none, none, none, none, list(range(len(parts))), [p.tobytes() for p in parts]]
+            columns = [none, none, none, none, none, list(range(len(parts))), [p.tobytes() for p in parts]]
             yield pa.RecordBatch.from_arrays([c.cast(k) if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return docs.mapInArrow(described, "doc_id long, n long, set_id long, sketch binary, slice int, counts binary")
+    return docs.mapInArrow(described, "doc_id long, mark long, n long, set_id long, sketch binary, slice int, counts binary")
 
 
 def count_table(described: DataFrame) -> np.ndarray:
@@ -444,14 +444,12 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return left.mapInArrow(linking, "a long, b long")
 
 
-def link(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id, copies) of every row: the component's id is the smallest document id that links
-    reach, ``copies`` the number of rows with the same set. Texts without words have no set: they are their own component."""
-    ensure_checkpoint_dir(docs.sparkSession)
-    read = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+def _rooted(read: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (doc_id, text, mark): their (doc_id, mark, n, set_id), and the classes (set_id, doc_id, copies, root)."""
+    ensure_checkpoint_dir(read.sparkSession)
     described = describe(read).checkpoint()
     counts = count_table(described)
-    rows = described.where("slice is null").select("doc_id", "n", "set_id", "sketch")
+    rows = described.where("slice is null").select("doc_id", "mark", "n", "set_id", "sketch")
     classes = rows.where("set_id is not null").groupBy("set_id", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("sketch").alias("sketch")).checkpoint()
     met = groups(chosen_cells(read, counts)).checkpoint()
     links = verified(stars(met).union(further_stars(met)).distinct(), classes, read).checkpoint()
@@ -459,9 +457,16 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     rest = verified(unconnected(open_members(met, roots, classes)), classes, read)
     roots = components(links.union(rest))
     named = classes.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    return rows.drop("sketch"), named.select("set_id", "doc_id", "copies", "root")
+
+
+def link(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id, copies) of every row: the component's id is the smallest document id that links
+    reach, ``copies`` the number of rows with the same set. Texts without words have no set: they are their own component."""
+    rows, named = _rooted(docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.lit(None).cast("long").alias("mark")))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(smallest, "root").select("set_id", "component_id", "copies")
-    placed = rows.drop("sketch").join(of_class, "set_id", "left")
+    placed = rows.join(of_class, "set_id", "left")
     return placed.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
@@ -470,10 +475,21 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is its component's: one document of each group, that with the smallest id.
+    """One row of each component: that with the smallest id (rows without id come last), then the smallest hash of the row.
 
-    Rows without words stay, and so do rows without an id, which cannot be named; repeated rows of a kept id all stay.
+    Rows are named by a 64-bit hash of the whole row, so one id with two texts keeps both unless they link, and of
+    equal rows one stays. Rows without words link with nothing and all stay.
     """
-    linked_ = link(docs, text, key)
-    gone = linked_.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[key] == gone["__gone"], "left_anti")
+    mark = unused("row_hash", docs.columns)
+    marked = docs.withColumn(mark, row_hash(docs))
+    rows, named = _rooted(marked.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(mark).alias("mark")))
+    names = rows.where("n > 0").groupBy("set_id", "doc_id", "mark").agg(F.count("*").alias("rows"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "rows")
+    # Least of a class first, so that the join with the classes meets one row of each.
+    least = names.groupBy("set_id").agg(F.min(order).alias("least")).join(named.select("set_id", "root"), "set_id")
+    stays = least.groupBy("root").agg(F.min("least").alias("least")).select("least.mark", "least.rows").checkpoint()
+    gone = names.select("mark").join(stays.select("mark"), "mark", "left_anti")
+    repeated = stays.where("rows > 1").select(F.col("mark").alias(mark))
+    apart = gone.select(F.col("mark").alias(mark)).union(repeated).distinct()
+    once = marked.join(repeated, mark, "left_semi").dropDuplicates([mark])
+    return marked.join(apart, mark, "left_anti").unionByName(once).drop(mark)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .rows import ROW, SPACE, packed, words_of
+from .rows import ROW, SPACE, packed, row_hash, unused, words_of
 
 # Kinds of n-grams, and buckets of each: the ratio table has at most 3 * 2^18 rows at any size of the input.
 KINDS = ("word", "ending", "pair")
@@ -140,7 +140,7 @@ def verdicts(docs: DataFrame, trusted: DataFrame, carry: tuple[str, ...] = ("doc
 
 def kept_rows(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that are kept. Equal rows are judged alike, so a hash of the whole row names the rejected."""
-    mark = "__row_hash"
-    marked = docs.withColumn(mark, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    mark = unused("row_hash", docs.columns)
+    marked = docs.withColumn(mark, row_hash(docs))
     judged = verdicts(marked, trusted, (mark,), text, key, **options)
     return marked.join(judged.where(~F.col("kept")).select(mark).distinct(), mark, "left_anti").drop(mark)

@@ -29,6 +29,19 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"([^{SPACE}]+)"), F.lit(1)), F.array().cast("array<string>"))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column is called so (Spark does not tell cases apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A 64-bit hash of the whole row: equal rows agree."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def travels(module: str) -> None:
     """Workers need not have this package installed: the module's functions travel with the task."""
     cloudpickle.register_pickle_by_value(sys.modules[module])

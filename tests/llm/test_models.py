@@ -94,6 +94,31 @@ def test_components_equal_brute_force(frame, empty, part_rows, block_rows, hubs,
     assert near_duplicates.link(empty).count() == 0
 
 
+def brute_stays(rows):
+    """One row of each component, the least by (no id, id, row hash); rows without words all stay. Rows are (id, text, hash)."""
+    lone, least = [], {}
+    # Every row gets an id of its own, so components are told apart whatever the ids of the rows are.
+    for (i, t, h), (_, n, root) in zip(rows, sorted(brute_components([(k, t) for k, (_, t, _) in enumerate(rows)])), strict=True):
+        if n:
+            least[root] = min(least.get(root, (True, 1 << 62, 0, None)), (i is None, i or 0, h, t))
+        else:
+            lone.append((i, t))
+    return sorted(lone + [(None if none else i, t) for none, i, _, t in least.values()], key=str)
+
+
+def test_one_row_of_each_component_stays(frame, empty):
+    base, other = prose(1, 60), prose(800, 50)
+    rows = near_rows() + [(31, base)] * 40 + [(None, other)] * 5 + [(None, other + " tail"), (40, prose(801, 30)), (40, base), (41, other), (42, None), (42, None), (None, "")]
+    made = frame(rows).withColumn("row_hash", F.lit("kept")).withColumn("ROW_HASH_", F.lit("kept too"))
+    hashed = made.select("doc_id", "text", F.xxhash64(*[F.col(c) for c in made.columns]).alias("h")).collect()
+    got = near_duplicates.one_of_each(made.repartition(4))
+    assert got.columns == made.columns
+    kept = got.collect()
+    assert sorted([(r.doc_id, r.text) for r in kept], key=str) == brute_stays([(r.doc_id, r.text, r.h) for r in hashed])
+    assert {(r.row_hash, r["ROW_HASH_"]) for r in kept} == {("kept", "kept too")}
+    assert near_duplicates.one_of_each(empty).count() == 0
+
+
 def test_sketches_bound_differences_and_pigeonhole_holds():
     rng = np.random.default_rng(4)
     for n in (1, 3, 7, 8, 40, 63, 64, 300, 700, 5000):
@@ -275,5 +300,5 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
 
 
 def test_registered_queries():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert set(ORACLES) <= set(QUERIES) and corpus_pipeline.ORACLE_SQL is None

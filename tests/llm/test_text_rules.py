@@ -49,6 +49,12 @@ def test_scores_part_junk_from_prose_and_rows_are_kept_whole(frame):
     assert {r.score for r in quality.verdicts(rows, trusted.limit(0)).collect()} == {0.0}
 
 
+def test_kept_rows_leave_columns_of_any_name(frame):
+    made = frame([(k, prose(k, 40)) for k in range(6)] + [(7, "short")]).withColumn("row_hash", F.col("doc_id")).withColumn("__row_hash", F.lit("x"))
+    got = quality.kept_rows(made, made.select("doc_id"), trusted_docs=10)
+    assert got.columns == made.columns and {(r.doc_id, r["__row_hash"]) for r in got.collect()} <= {(k, "x") for k in range(6)} and got.where("row_hash <> doc_id").count() == 0
+
+
 def test_word_order_and_every_kind_of_gram_count(frame):
     clean = [(i, " ".join(prose(i % 4, 60).split())) for i in range(40)]
     mixed = [(100 + i, " ".join(sorted(clean[i][1].split()))) for i in range(4)]
