@@ -49,8 +49,9 @@ COUNT_SLICE = 1 << 12
 PART_ROWS = 20_000
 # Further members that a group is compared with, before all that is left is compared.
 HUBS = 3
-# Documents whose texts are read for verifying beside the others if there are so few of them (16 bytes each are sent).
-FEW_DOCS = 10_000
+# Marks of the ids whose texts are fetched for verifying: so many bits at any size of the input, in rows of 2^15.
+MARK_BITS = 25
+MARK_ROW_BITS = 15
 # Members of one side that are compared in one piece of work.
 BLOCK_ROWS = 1_024
 # Classes that a worker remembers to have sent, at most.
@@ -321,13 +322,13 @@ def stars(groups_: DataFrame) -> DataFrame:
     return inside.union(hubs.join(least, "group_id").select("a", "b")).where("a <> b").distinct()
 
 
-def open_members(groups_: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """(group_id, set_id, root, n, sketch) of the groups whose members are not all connected, three members at least:
+def open_members(groups_: DataFrame, roots: DataFrame) -> DataFrame:
+    """(group_id, set_id, root) of the groups whose members are not all connected, three members at least:
     in a group of two, the one pair has been compared."""
     labelled = groups_.select("group_id", "set_id").distinct().join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
     labelled = labelled.withColumn("root", F.coalesce("root", "set_id"))
     open_ = labelled.groupBy("group_id").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high and size > 2")
-    return labelled.join(open_.select("group_id"), "group_id", "left_semi").join(classes.select("set_id", "n", "sketch"), "set_id")
+    return labelled.join(open_.select("group_id"), "group_id", "left_semi")
 
 
 def further_stars(groups_: DataFrame) -> DataFrame:
@@ -339,7 +340,7 @@ def further_stars(groups_: DataFrame) -> DataFrame:
     return met.select(F.least("hub.a", "set_id").alias("a"), F.greatest("hub.a", "set_id").alias("b")).distinct()
 
 
-def unconnected(members: DataFrame) -> DataFrame:
+def unconnected(members: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): members of one group that no link connects so far and whose sizes and sketches allow one.
 
     Groups with the same largest component are taken together, as they share most members. Members outside that component
@@ -348,9 +349,9 @@ def unconnected(members: DataFrame) -> DataFrame:
     counts = members.groupBy("group_id", "root").agg(F.count("*").alias("n_root"))
     most = counts.groupBy("group_id").agg(F.max(F.struct("n_root", "root")).alias("most")).select("group_id", F.col("most.root").alias("main"))
     columns = ["main", "set_id", "root", "n", "sketch"]
-    gathered = members.join(most, "group_id").select(*columns).dropDuplicates(["main", "set_id"])
+    gathered = members.join(most, "group_id").select("main", "set_id", "root").distinct()
     blocks = gathered.groupBy("main").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    placed = gathered.join(blocks, "main").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    placed = gathered.join(blocks, "main").join(classes.select("set_id", "n", "sketch"), "set_id").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     asked = placed.where("root <> main").select(*columns, F.col("own").alias("probe"), F.explode(every).alias("block"), F.lit(True).alias("asks"))
     others = placed.select(*columns, F.explode(every).alias("probe"), F.col("own").alias("block"), F.lit(False).alias("asks"))
@@ -403,6 +404,19 @@ def _fold(sketches: np.ndarray, length: int) -> np.ndarray:
     return sketches
 
 
+def marked_only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text) of all ``docs`` whose id is in ``wanted``, and few others: texts that nobody asks for are not shuffled.
+
+    The marks are bits at the ids' hashes, 4 MB at any number of ids, so they are broadcast.
+    """
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << MARK_BITS) - 1))
+    part, bit = F.shiftright(place, MARK_ROW_BITS), place.bitwiseAND(F.lit((1 << MARK_ROW_BITS) - 1))
+    marks = wanted.select(part.alias("part"), bit.alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.substr("bits", F.shiftright("bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    placed = docs.select("doc_id", "text", part.alias("part"), bit.alias("bit")).join(F.broadcast(marks), "part")
+    return placed.where(F.getbit(byte, F.col("bit").bitwiseAND(F.lit(7)).cast("int")) == 1).select("doc_id", "text")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` that link. Sizes and sketches reject most others before any set is fetched."""
     ensure_checkpoint_dir(docs.sparkSession)
@@ -421,8 +435,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     left = both.mapInArrow(possible, "a long, b long").checkpoint()
     wanted = left.select(F.col("a").alias("set_id")).union(left.select("b")).distinct().join(classes.select("set_id", "doc_id"), "set_id")
     wanted = wanted.checkpoint()
-    wanted = F.broadcast(wanted) if wanted.count() <= FEW_DOCS else wanted
-    texts = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.set_id", "d.text")
+    texts = marked_only(docs, wanted).alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.set_id", "d.text")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -454,7 +467,7 @@ def _rooted(read: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = groups(chosen_cells(read, counts)).checkpoint()
     links = verified(stars(met).union(further_stars(met)).distinct(), classes, read).checkpoint()
     roots = components(links)
-    rest = verified(unconnected(open_members(met, roots, classes)), classes, read)
+    rest = verified(unconnected(open_members(met, roots), classes), classes, read)
     roots = components(links.union(rest))
     named = classes.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     return rows.drop("sketch"), named.select("set_id", "doc_id", "copies", "root")

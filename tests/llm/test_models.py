@@ -82,18 +82,26 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize(("part_rows", "block_rows", "hubs", "few"), [(20_000, 4_096, 4, 10_000), (2, 2, 1, 0)])
-def test_components_equal_brute_force(frame, empty, part_rows, block_rows, hubs, few, monkeypatch):
+@pytest.mark.parametrize(("part_rows", "block_rows", "hubs", "mark_bits"), [(20_000, 4_096, 4, 25), (2, 2, 1, 16)])
+def test_components_equal_brute_force(frame, empty, part_rows, block_rows, hubs, mark_bits, monkeypatch):
     monkeypatch.setattr(near_duplicates, "PART_ROWS", part_rows)
     monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", block_rows)
     monkeypatch.setattr(near_duplicates, "HUBS", hubs)
-    monkeypatch.setattr(near_duplicates, "FEW_DOCS", few)
+    monkeypatch.setattr(near_duplicates, "MARK_BITS", mark_bits)
     rows = near_rows()
     got = near_duplicates.link(frame(rows).repartition(3)).collect()
     assert sorted(((r.doc_id or -1, r.n_shingles, r.component_id) for r in got), key=str) == sorted(brute_components(rows), key=str)
     assert near_duplicates.link(empty).count() == 0
 
 
+def test_marks_let_all_wanted_ids_through_and_few_others(spark):
+    docs = spark.range(20_000).selectExpr("case when id > 0 then id end as doc_id", "cast(id as string) as text")
+    wanted = docs.where("doc_id is null or doc_id % 10 = 3").select("doc_id")
+    got = {r.doc_id for r in near_duplicates.marked_only(docs, wanted).select("doc_id").collect()}
+    assert {None, *range(3, 20_000, 10)} <= got and len(got) < 2_010
+    assert near_duplicates.marked_only(docs, wanted.limit(0)).count() == 0
+
+
 def brute_stays(rows):
     """One row of each component, the least by (no id, id, row hash); rows without words all stay. Rows are (id, text, hash)."""
     lone, least = [], {}
