@@ -420,11 +420,12 @@ def marked_only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` that link. Sizes and sketches reject most others before any set is fetched."""
     ensure_checkpoint_dir(docs.sparkSession)
-    small = classes.select("set_id", "n", "sketch")
     both = pairs
     for side in "ab":
-        both = both.join(small.select(F.col("set_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+        both = both.join(classes.select(F.col("set_id").alias(side), F.col("n").alias(f"n_{side}")), side)
     both = both.where(SHARE[1] * F.least("n_a", "n_b") >= SHARE[0] * F.greatest("n_a", "n_b"))
+    for side in "ab":
+        both = both.join(classes.select(F.col("set_id").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
