@@ -1,88 +1,29 @@
 """Vehicle-days from a stream, exact (K5): the rules of W1-W3 as keyed state.
 
-State is one vehicle and day: what its settled samples add up to, and samples the watermark has not passed yet, which may
-still be preceded by late ones. Samples are settled in time order once nothing earlier can arrive; a day is given when
-the watermark passes its end. So a batch that is replayed after a failure, or samples that are up to ``late_minutes``
-late, give the day that ``operators.sequences.vehicle_day`` gives. Later samples are left to ``trips.refresh_days``.
+State is one vehicle and day: its samples, kept by Spark's own aggregation until the watermark passes the day's end, then put
+in time order and folded by built-in expressions, so no Python call is made per day. So a batch that is replayed after a
+failure, or samples that are up to ``late_minutes`` late, give the day that ``operators.sequences.vehicle_day`` gives. Samples
+later than that still count while their day is open; behind its end they are left to ``trips.refresh_days``.
 """
 
 from __future__ import annotations
 
-import pickle
-import sys
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.measures import floor_at_zero, round_to
-from .trips import event_time
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-DAY_US = 86_400_000_000
-RAW = "veh_id long, date date, trips long, init_odo double, final_odo double, drive_us long, idle_us long, init_soc double, final_soc double"
-
-
-@dataclass
-class Day:
-    """What the settled samples of a vehicle's day add up to. Times are microseconds."""
-
-    threshold: int
-    samples: int = 0
-    init_odo: float | None = None
-    final_odo: float | None = None
-    init_soc: float | None = None
-    final_soc: float | None = None
-    move_from: int | None = None
-    move_to: int | None = None
-    stop_from: int | None = None  # the first sample behind the last moving one
-    drive: int = 0
-    opened: int = 0
-    last_opens: bool = False
-    waiting: list = field(default_factory=list)  # (time, mileage, soc, moving), not settled yet
 
-    def settle(self, ts: int, mileage: float | None, soc: float | None, moving: bool) -> None:
-        if not self.samples:
-            self.init_odo = mileage
-        self.samples, self.final_odo = self.samples + 1, mileage
-        if soc is not None:
-            self.init_soc = soc if self.init_soc is None else self.init_soc
-            self.final_soc = soc
-        if self.move_to is not None and self.stop_from is None:
-            self.stop_from = ts
-        if not moving:
-            return
-        if self.move_to is None:
-            self.move_from, self.last_opens = ts, False
-        else:
-            self.drive += self.stop_from - self.move_to
-            self.last_opens = self.stop_from < ts and ts - self.stop_from >= self.threshold
-            self.opened += self.last_opens
-        self.move_to, self.stop_from = ts, None
+# Stored instants are UTC wall clocks; read as UTC in every session zone, so that windows of a day are dates.
+_UTC = "timestampadd(MICROSECOND, timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', timestamp), timestamp'1970-01-01 00:00:00Z')"
 
-    def settle_until(self, ts: int) -> None:
-        """Settle the waiting samples up to ``ts``, in time order."""
-        ready = sorted((s for s in self.waiting if s[0] <= ts), key=lambda s: s[0])
-        self.waiting = [s for s in self.waiting if s[0] > ts]
-        for sample in ready:
-            self.settle(*sample)
-
-    def row(self, veh_id: int, date) -> dict:
-        moved = self.move_to is not None
-        return {
-            "veh_id": veh_id, "date": date, "trips": 1 + self.opened - self.last_opens if moved else 0, "init_odo": self.init_odo, "final_odo": self.final_odo,
-            "drive_us": self.drive, "idle_us": self.move_to - self.move_from - self.drive if moved else 0, "init_soc": self.init_soc, "final_soc": self.final_soc,
-        }
-
-
-def _known(x) -> float | None:
-    return None if x is None or x != x else float(x)
+# ``stop`` is the first sample behind the last moving one; a moving sample that follows a stop of the threshold opens a trip.
+_OPENS = "(m.z is not null and coalesce(m.stop, x.ts) < x.ts and x.ts - coalesce(m.stop, x.ts) >= {threshold})"
+_FOLD = f"""aggregate(samples,
+    named_struct('a', cast(null as long), 'z', cast(null as long), 'stop', cast(null as long), 'drive', 0L, 'opened', 0L, 'last_opens', false),
+    (m, x) -> if(not x.moving,
+        named_struct('a', m.a, 'z', m.z, 'stop', if(m.z is null, cast(null as long), coalesce(m.stop, x.ts)), 'drive', m.drive, 'opened', m.opened, 'last_opens', m.last_opens),
+        named_struct('a', coalesce(m.a, x.ts), 'z', x.ts, 'stop', cast(null as long), 'drive', m.drive + coalesce(coalesce(m.stop, x.ts) - m.z, 0L),
+            'opened', m.opened + if({_OPENS}, 1L, 0L), 'last_opens', {_OPENS})))"""
 
 
 def vehicle_days(samples: DataFrame, *, idle_threshold_minutes: float = 15.0, late_minutes: int = 60) -> DataFrame:
@@ -92,29 +33,28 @@ def vehicle_days(samples: DataFrame, *, idle_threshold_minutes: float = 15.0, la
     """
     threshold = int(idle_threshold_minutes * 60_000_000)
 
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        day = Day(**pickle.loads(state.get[0])) if state.exists else Day(threshold)
-        for frame in frames:
-            times = frame["ts"].to_numpy(np.int64)
-            rows = zip(times.tolist(), map(_known, frame["mileage"].tolist()), map(_known, frame["soc"].tolist()), frame["moving"].tolist(), strict=True)
-            day.waiting += [(ts, mileage, soc, bool(moving)) for ts, mileage, soc, moving in rows]
-        passed = state.getCurrentWatermarkMs() * 1000
-        end = (key[1] - pd.Timestamp("1970-01-01").date()).days * DAY_US + DAY_US
-        if passed >= end:
-            day.settle_until(end)
-            state.remove()
-            yield pd.DataFrame([day.row(int(key[0]), key[1])])
-        else:
-            day.settle_until(passed)
-            state.update((pickle.dumps(vars(day)),))
-            state.setTimeoutTimestamp(end // 1000)
+    def known(c: str) -> Column:
+        value = F.col(c).cast("double")
+        return F.when(~F.isnan(value), value).alias(c)
 
-    rows = event_time(samples.where("veh_id is not null and timestamp is not null")).withWatermark("event_time", f"{late_minutes} minutes")
+    rows = samples.where("veh_id is not null and timestamp is not null").withColumn("event_time", F.expr(_UTC)).withWatermark("event_time", f"{late_minutes} minutes")
     rows = rows.select(
-        F.col("veh_id").cast("long").alias("veh_id"), F.to_date("timestamp").alias("date"), "event_time", F.unix_micros("event_time").alias("ts"),
-        F.col("mileage").cast("double").alias("mileage"), F.col("soc").cast("double").alias("soc"), F.coalesce(F.col("speed") > 0, F.lit(False)).alias("moving"),
+        F.col("veh_id").cast("long").alias("veh_id"), F.to_date("timestamp").alias("date"), "event_time",
+        F.struct(F.unix_micros("event_time").alias("ts"), known("mileage"), known("soc"), F.coalesce(F.col("speed") > 0, F.lit(False)).alias("moving")).alias("sample"),
+    )
+    days = rows.groupBy("veh_id", "date", F.window("event_time", "1 day")).agg(F.collect_list("sample").alias("samples"))
+    days = days.select("veh_id", "date", F.array_sort("samples").alias("samples"))
+    socs = F.filter("samples", lambda x: x["soc"].isNotNull())
+    days = days.select(
+        "veh_id", "date", F.expr(_FOLD.format(threshold=threshold)).alias("sums"),
+        F.get("samples", F.lit(0))["mileage"].alias("init_odo"), F.element_at("samples", -1)["mileage"].alias("final_odo"),
+        F.get(socs, F.lit(0))["soc"].alias("init_soc"), F.get(socs, F.size(socs) - 1)["soc"].alias("final_soc"),
+    )
+    moved, drive = F.col("sums.z").isNotNull(), F.col("sums.drive")
+    days = days.select(
+        "veh_id", "date", F.when(moved, 1 + F.col("sums.opened") - F.col("sums.last_opens").cast("long")).otherwise(0).alias("trips"), "init_odo", "final_odo",
+        drive.alias("drive_us"), F.when(moved, F.col("sums.z") - F.col("sums.a") - drive).otherwise(0).alias("idle_us"), "init_soc", "final_soc",
     )
-    days = rows.groupBy("veh_id", "date").applyInPandasWithState(advance, RAW, "day binary", "append", GroupStateTimeout.EventTimeTimeout)
 
     def hours(c: str) -> Column:
         return round_to(F.col(c) / 3_600_000_000, 2)

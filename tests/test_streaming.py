@@ -100,3 +100,21 @@ def test_streamed_vehicle_days_equal_the_batch_over_restarts(spark, tmp_path):
     want = vehicle_day(spark.createDataFrame(rows, schema).where("veh_id is not null")).select(*got.columns)
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and got.count() == 12
+
+
+def test_streamed_days_make_no_python_call_per_day_and_take_late_samples_of_open_days(spark, tmp_path):
+    from amperoute.streaming import vehicle_days
+
+    schema = "veh_id int, timestamp timestamp_ntz, mileage double, soc double, speed double"
+    at = lambda hour, minute=0, day=2: datetime(2024, 1, day, hour, minute)
+    first = [(1, at(8), None, None, 5.0), (1, at(8, 20), 10.0, 0.9, 0.0), (1, at(9), 20.0, 0.8, 5.0), (2, at(23), 1.0, 0.5, 0.0)]
+    late = [(1, at(8, 10), 5.0, 0.95, 5.0), (-1, at(0, day=9), None, None, None)]  # the first is behind the watermark, its day is open
+    folders = [str(tmp_path / n) for n in ("in", "out", "marks")]
+    for part in (first, late[:1], late[1:]):
+        vehicle_days.drained(spark.createDataFrame(part, schema).coalesce(1), *folders)
+    got = spark.read.parquet(folders[1])
+    want = vehicle_day(spark.createDataFrame(first + late[:1], schema)).select(*got.columns)
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and got.count() == 2
+    stream = vehicle_days.vehicle_days(spark.readStream.schema(schema).parquet(folders[0]))
+    assert "Pandas" not in stream._jdf.queryExecution().analyzed().toString()
