@@ -21,15 +21,14 @@ from ..operators.filters import (
 from ..operators.joins import asof_anchor
 from ..operators.ordered_fold import null_gps_jumps, repair_doubled
 from ..operators.sequences import keep_best_sample, keep_last, monotonic_mileage
-from ..session import ensure_checkpoint_dir
+from ..session import written
 
 TEL_KEY = ["veh_id", "timestamp"]
 
 
 def _landed(df: DataFrame) -> DataFrame:
-    """Parsed rows as checkpointed files: the ordered steps after it read them several times."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Parsed rows as checkpointed files: the ordered steps after it read them several times, each only its columns."""
+    return written(df)
 
 
 def _located(df: DataFrame) -> DataFrame:

@@ -109,3 +109,11 @@ def test_area_layer(spark, tmp_path):
     path.write_text(json.dumps({"type": "FeatureCollection", "features": [{"properties": {"A": 1}, "geometry": None}]}))
     with pytest.raises(MissingColumns):
         areas.read_flagged_layer(spark, str(path))
+
+
+def test_parsed_sheets_land_as_files_read_by_column(spark):
+    from amperoute.plans import loads
+
+    rows = spark.range(5).selectExpr("id as row_no", "string(null) as elevation")
+    landed = loads._landed(rows)
+    assert landed.inputFiles() and sorted(r.row_no for r in landed.collect()) == [0, 1, 2, 3, 4] and landed.dtypes == rows.dtypes
