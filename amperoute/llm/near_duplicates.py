@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import bound_batches, ensure_checkpoint_dir
 from .components import components
 from .rows import row_hash, run_token, travels, unused, worker_cache
 
@@ -193,8 +193,10 @@ def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
 
 def describe(docs: DataFrame) -> DataFrame:
     """Rows of two kinds. Documents: doc_id, mark, n, set_id, sketch. Counts: slice (not null), counts (16-bit, per task)."""
+    token = run_token()
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(token, lambda: None)  # frees what an earlier operator left in this worker
         table = np.zeros(1 << COUNT_BITS, np.int64)
         names = ["doc_id", "mark", "n", "set_id", "sketch", "slice", "counts"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
@@ -461,6 +463,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
 def _rooted(read: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows (doc_id, text, mark): their (doc_id, mark, n, set_id), and the classes (set_id, doc_id, copies, root)."""
     ensure_checkpoint_dir(read.sparkSession)
+    bound_batches(read.sparkSession)
     described = describe(read).checkpoint()
     counts = count_table(described)
     rows = described.where("slice is null").select("doc_id", "mark", "n", "set_id", "sketch")

@@ -127,6 +127,15 @@ def test_one_row_of_each_component_stays(frame, empty):
     assert near_duplicates.one_of_each(empty).count() == 0
 
 
+@pytest.mark.parametrize("operator", [near_duplicates.link, near_duplicates.one_of_each, lambda docs: packing.pack(docs, public.path("word_bpe_49k.json"))])
+def test_long_texts_travel_to_workers_in_small_batches(spark, empty, operator):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    operator(empty)
+    long = spark.range(300, numPartitions=1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    sizes = [r.size for r in long.mapInArrow(lambda batches: (b.from_pydict({"size": [b.nbytes]}) for b in batches), "size long").collect()]
+    assert sum(sizes) >= 30_000_000 and max(sizes) <= 3_000_000
+
+
 def test_sketches_bound_differences_and_pigeonhole_holds():
     rng = np.random.default_rng(4)
     for n in (1, 3, 7, 8, 40, 63, 64, 300, 700, 5000):
