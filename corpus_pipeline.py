@@ -18,6 +18,9 @@ from amperoute.llm import near_duplicates, packing, quality, secrets
 from amperoute.llm.queries import vocabulary
 from amperoute.session import ensure_checkpoint_dir
 
+# Words that packing remembers per generation: few, as other stages run beside what its workers still hold.
+CACHED_WORDS = 120_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -43,7 +46,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with a checksum of their ids."""
-    pieces = packing.pack(docs, vocabulary("word_bpe_49k.json"))
+    pieces = packing.pack(docs, vocabulary("word_bpe_49k.json"), cached_words=CACHED_WORDS)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
