@@ -41,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         now = tied.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if now == state:
+        if now == state or not now.n:
             break
         state, parts = now, -(-now.n // PART_EDGES) or 1
         tied = _small_star(_large_star(tied, parts), parts).checkpoint()

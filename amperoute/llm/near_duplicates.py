@@ -350,14 +350,16 @@ def unconnected(members: DataFrame, classes: DataFrame) -> DataFrame:
     """
     counts = members.groupBy("group_id", "root").agg(F.count("*").alias("n_root"))
     most = counts.groupBy("group_id").agg(F.max(F.struct("n_root", "root")).alias("most")).select("group_id", F.col("most.root").alias("main"))
-    columns = ["main", "set_id", "root", "n", "sketch"]
-    gathered = members.join(most, "group_id").select("main", "set_id", "root").distinct()
+    gathered = members.join(most, "group_id").select("main", "set_id", "root").distinct().checkpoint()
     blocks = gathered.groupBy("main").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     placed = gathered.join(blocks, "main").join(classes.select("set_id", "n", "sketch"), "set_id").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    asked = placed.where("root <> main").select(*columns, F.col("own").alias("probe"), F.explode(every).alias("block"), F.lit(True).alias("asks"))
-    others = placed.select(*columns, F.explode(every).alias("probe"), F.col("own").alias("block"), F.lit(False).alias("asks"))
-    work = asked.unionByName(others).repartition("main", "probe", "block").sortWithinPartitions("main", "probe", "block")
+    # A member answers in the pieces of all probes and, outside the largest component, asks in those of all blocks.
+    every, own = F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")
+    piece = lambda probe, block, asks: F.struct(probe.alias("probe"), block.alias("block"), F.lit(asks).alias("asks"))
+    answers = F.transform(every, lambda k: piece(k, own, False))
+    asked = F.transform(F.filter(every, lambda _: F.col("root") != F.col("main")), lambda k: piece(own, k, True))
+    work = placed.select("main", "set_id", "root", "n", "sketch", F.inline(F.concat(answers, asked)))
+    work = work.repartition("main", "probe", "block").sortWithinPartitions("main", "probe", "block")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
@@ -460,6 +462,15 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return left.mapInArrow(linking, "a long, b long")
 
 
+def further_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(root, least) of the roots that more ``links`` (a, b) tie to each other: what ``roots`` has joined is not linked again."""
+    ties = links
+    for side in "ab":
+        ties = ties.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    tied = components(ties.select(*[F.coalesce(f"root_{side}", side).alias(side) for side in "ab"]))
+    return tied.select(F.col("node").alias("root"), F.col("root").alias("least"))
+
+
 def _rooted(read: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows (doc_id, text, mark): their (doc_id, mark, n, set_id), and the classes (set_id, doc_id, copies, root)."""
     ensure_checkpoint_dir(read.sparkSession)
@@ -471,9 +482,11 @@ def _rooted(read: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = groups(chosen_cells(read, counts)).checkpoint()
     links = verified(stars(met).union(further_stars(met)).distinct(), classes, read).checkpoint()
     roots = components(links)
-    rest = verified(unconnected(open_members(met, roots), classes), classes, read)
-    roots = components(links.union(rest))
+    # Written out before it is used several times: else each use brings its whole plan along, and the driver plans and starts all of them.
+    open_ = open_members(met, roots).checkpoint()
+    rest = verified(unconnected(open_, classes), classes, read)
     named = classes.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    named = named.join(further_roots(roots, rest), "root", "left").withColumn("root", F.coalesce("least", "root"))
     return rows.drop("sketch"), named.select("set_id", "doc_id", "copies", "root")
 
 

@@ -3,6 +3,7 @@
 import base64
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -94,6 +95,28 @@ def test_components_equal_brute_force(frame, empty, part_rows, block_rows, hubs,
     assert near_duplicates.link(empty).count() == 0
 
 
+@pytest.mark.parametrize("operator", [near_duplicates.link, near_duplicates.one_of_each])
+def test_no_plan_brings_an_earlier_one_along_many_times(frame, operator, monkeypatch):
+    made, sizes = frame(near_rows()), []
+    kept = type(made).checkpoint
+
+    def checkpoint(self, *args, **options):
+        sizes.append(len(re.findall(r"\b(?:Aggregate|Join) ", self._jdf.queryExecution().optimizedPlan().toString())))
+        return kept(self, *args, **options)
+
+    monkeypatch.setattr(type(made), "checkpoint", checkpoint)
+    operator(made)
+    assert len(sizes) > 5 and max(sizes) < 20
+
+
+def test_further_links_tie_components(spark):
+    roots = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "node long, root long")
+    links = spark.createDataFrame([(2, 6), (6, 7), (3, 4), (8, 9)], "a long, b long")
+    got = {r.root: r.least for r in near_duplicates.further_roots(roots, links).collect()}
+    assert got == {1: 1, 5: 1, 7: 1, 3: 3, 4: 3}
+    assert near_duplicates.further_roots(roots, links.limit(0)).count() == 0
+
+
 def test_marks_let_all_wanted_ids_through_and_few_others(spark):
     docs = spark.range(20_000).selectExpr("case when id > 0 then id end as doc_id", "cast(id as string) as text")
     wanted = docs.where("doc_id is null or doc_id % 10 = 3").select("doc_id")
