@@ -260,6 +260,40 @@ def test_all_windows_train_and_all_ids_keep_their_pairs(frame, monkeypatch):
     assert scores[0][held[0]] > scores[0][held[1]] + 20
 
 
+def test_every_text_is_encoded_once(frame, tmp_path, monkeypatch):
+    kept, calls = language_model.Subwords.of, str(tmp_path / "calls")
+
+    def of(self, words):
+        with open(calls, "a") as log:
+            log.write("x")
+        return kept(self, words)
+
+    monkeypatch.setattr(language_model.Subwords, "of", of)
+    rows = [(i, prose(i, 30)) for i in range(40)]
+    assert language_model.score(frame(rows), public.path("byte_bpe_50k.tiktoken"), public.PATTERN).count() == 40
+    with open(calls) as log:
+        assert len(log.read()) == 40
+
+
+@pytest.mark.parametrize("scale", [0.3, 40.0])
+def test_scoring_sees_the_states_that_training_sees(scale):
+    rng = np.random.default_rng(12)
+    listed = language_model.Listed(rng.integers(1, 9, 1300).astype(float))
+    model = language_model.Model(listed, rng.integers(0, 3, (language_model.LISTED + 1,) * 2).astype(float))
+    model.weights |= {n: model.weights[n] * scale for n in ("query", "key")}
+    given = rng.integers(0, language_model.LISTED, (5, language_model.WINDOW))
+    tables = model.tables()
+    assert tables[-1] == (scale < 1)
+    x, q, k, v, a, o, h = model.forward(given)
+    assert np.isfinite(h).all() and np.allclose(a.sum(-1), 1, atol=1e-4) and not np.triu(a, 1).any()
+    exponents = (x.astype(float) @ model.weights["query"]) @ (x @ model.weights["key"]).transpose(0, 2, 1) / 4
+    plain = np.exp(exponents - np.where(np.tril(np.ones_like(exponents)) > 0, exponents, -1e9).max(-1, keepdims=True)) if scale < 1 else None
+    if plain is not None:
+        plain = np.tril(plain)
+        assert np.allclose(a, plain / plain.sum(-1, keepdims=True), atol=1e-4)
+    assert np.allclose(model.hidden(given, tables), h, rtol=1e-2, atol=1e-3)
+
+
 def test_class_likelihoods_of_all_ids_sum_to_one():
     rng = np.random.default_rng(10)
     n, counts = 1500, rng.integers(0, 9, 1500).astype(float)
